@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, secrets
+from . import bpe, chat, decontaminate, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_bpe": bpe.op4_bpe,
     "op5_chat": chat.op5_chat,
+    "op6_warc": warc.op6_warc,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
-SQL = {**chat.SQL}
+SQL = {**chat.SQL, **warc.SQL, **decontaminate.SQL}
