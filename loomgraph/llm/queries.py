@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, secrets, warc
+from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op4_bpe": bpe.op4_bpe,
     "op5_chat": chat.op5_chat,
     "op6_warc": warc.op6_warc,
+    "op7_sharding": sharding.op7_sharding,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
-SQL = {**chat.SQL, **warc.SQL, **decontaminate.SQL}
+SQL = {**jaccard.SQL, **chat.SQL, **warc.SQL, **decontaminate.SQL}
