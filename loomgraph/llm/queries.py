@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, warc
+from . import bpe, chat, decontaminate, jaccard, langid, lm, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_bpe": bpe.op4_bpe,
     "op5_chat": chat.op5_chat,
     "op6_warc": warc.op6_warc,
