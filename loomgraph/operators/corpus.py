@@ -1,0 +1,200 @@
+"""Corpus engineering: quality gate, duplicates, decontamination, splits, reports, audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import text as X
+from .iterate import cut
+from .similarity import simhash_pairs
+
+
+def gate_reason(text: Column, min_chars: int = 20, min_ratio: float = 0.35, script: str = K.ARABIC_BLOCK) -> Column:
+    """The first rule that a text fails (empty, too_short, low_script_ratio), null if none."""
+    c = F.coalesce(text, F.lit(""))
+    n = F.length(X.collapse_space(c))
+    return F.when(n == 0, "empty").when(n < min_chars, "too_short").when(X.script_ratio(c, script) < min_ratio, "low_script_ratio")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, first_id): documents by hash key with the least id of the same key. Sums only; no hot key is gathered."""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), X.text_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    return keyed.join(keyed.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")), "text_hash").select("doc_id", "text_hash", "first_id")
+
+
+def earliest_accepted(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, accepted): in id order a node is accepted unless one accepted before it is its neighbour; `pairs` (src < dst).
+
+    Each round settles every node whose earlier neighbours are all settled, so rounds are as many
+    as the longest chain of decisions, not as many as nodes. Nodes without pairs are accepted.
+    """
+    open_pairs = cut(pairs.select("src", "dst"))
+    decided = None
+    waiting = cut(open_pairs.select(F.col("src").alias("node")).union(open_pairs.select(F.col("dst").alias("node"))).distinct())
+    for _ in range(max_rounds):
+        if waiting.isEmpty():
+            break
+        blocked = open_pairs.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        won = cut(waiting.join(blocked, "node", "left_anti"))
+        lost = cut(open_pairs.join(won.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(waiting, "node", "left_semi"))
+        step = won.withColumn("accepted", F.lit(True)).union(lost.withColumn("accepted", F.lit(False)))
+        decided = step if decided is None else decided.union(step)
+        gone = step.select("node")
+        waiting = cut(waiting.join(gone, "node", "left_anti"))
+        open_pairs = cut(open_pairs.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    else:
+        raise RuntimeError("decisions did not settle")
+    if decided is None:
+        return nodes.select("node", F.lit(True).alias("accepted"))
+    return nodes.join(decided, "node", "left").select("node", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+
+def build_corpus(
+    docs: DataFrame,
+    eval_texts: DataFrame | None = None,
+    min_chars: int = 20,
+    min_ratio: float = 0.35,
+    script: str = K.ARABIC_BLOCK,
+    near_threshold: float | None = 0.92,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, text_hash, chars, script_ratio, reason): the first reason that rejects a document, null if accepted.
+
+    Order: gate, exact duplicate and near duplicate of an accepted earlier document, text of the
+    evaluation set (one column `text`). A contaminated document accepts nothing and rejects nothing.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), X.text_hash(text).alias("text_hash"), F.length(X.collapse_space(text)).cast("long").alias("chars"), X.script_ratio(text, script).alias("script_ratio"),
+        gate_reason(text, min_chars, min_ratio, script).alias("gate"), X.simhash(X.tokenize(F.lower(text))).alias("simhash"),
+    )
+    rows = cut(rows)
+    passed = rows.filter("gate IS NULL")
+    if eval_texts is not None:
+        known = eval_texts.select(X.text_hash(F.coalesce("text", F.lit(""))).alias("text_hash")).distinct().withColumn("eval", F.lit(True))
+        passed = passed.join(known, "text_hash", "left")
+    else:
+        passed = passed.withColumn("eval", F.lit(None).cast("boolean"))
+    # copies fall together: the earliest of a key stands for it, so a hot key is one row from here
+    first = passed.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
+    passed = cut(passed.join(first, "text_hash"))
+    heads = passed.filter("doc_id = first_id")
+    if near_threshold is not None:
+        distance = int((1 - near_threshold) * 64 + 1e-9)
+        # a text of the evaluation set is never accepted, so it can only be rejected
+        acceptors = heads.filter("eval IS NULL").select(F.col("doc_id").alias("id"), "simhash")
+        pairs = cut(simhash_pairs(heads.select(F.col("doc_id").alias("id"), "simhash"), distance)).select("src", "dst")
+        inner = pairs.join(acceptors.select(F.col("id").alias("src")), "src", "left_semi").join(acceptors.select(F.col("id").alias("dst")), "dst", "left_semi")
+        accepted = earliest_accepted(inner, acceptors.select(F.col("id").alias("node"))).filter("accepted").select(F.col("node").alias("src"))
+        ways = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        near = ways.join(accepted, "src", "left_semi").groupBy(F.col("dst").alias("doc_id")).agg(F.min("src").alias("near_from"))
+        heads = heads.join(near, "doc_id", "left")
+    else:
+        heads = heads.withColumn("near_from", F.lit(None).cast(heads.schema["doc_id"].dataType))
+    # a row is judged by the accepted texts before it: its own key's first text, or one near to it
+    heads = heads.select("text_hash", "near_from", (F.col("eval").isNull() & F.col("near_from").isNull()).alias("taken"))
+    later = F.when(F.col("taken") & (F.col("doc_id") != F.col("first_id")), "exact_duplicate").when(F.col("near_from") < F.col("doc_id"), "near_duplicate").when(F.col("eval"), "eval_contamination")
+    judged = passed.join(heads, "text_hash").select("doc_id", later.alias("later"))
+    return rows.join(judged, "doc_id", "left").select("doc_id", "text_hash", "chars", "script_ratio", F.coalesce("gate", "later").alias("reason"))
+
+
+def split_counts(n: int, val: float, test: float) -> tuple[int, int]:
+    """(validation, test) rows of n: halves round to even, at least one where the ratio asks for some and rows remain."""
+    t = round(n * test)
+    v = round(n * val)
+    if test > 0 and n > 2:
+        t = max(1, t)
+    if val > 0 and n > 1:
+        v = max(1, v)
+    t = min(t, max(0, n - 1))
+    return min(v, max(0, n - t - 1)), t
+
+
+def split(records: DataFrame, val: float = 0.1, test: float = 0.05, seed: int = 0, key: str = "text_hash") -> DataFrame:
+    """`records` with `split` (train, validation, test): exact counts, members by a hash of the seed and key.
+
+    The cut points are two order statistics of the hash, read from the range-sorted hashes, so
+    the rows themselves are neither sorted nor ranked in one place.
+    """
+    n = records.count()
+    v, t = split_counts(n, val, test)
+    u = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256)
+    ranked = records.withColumn("split_key", u)
+    edges = [r[0] for r in ranked.select("split_key").orderBy("split_key").limit(v + t).agg(F.sort_array(F.collect_list("split_key")).alias("k")).select(F.explode(F.expr(f"array(element_at(k, {max(t, 1)}), element_at(k, {max(v + t, 1)}))"))).collect()] if v + t else [None, None]
+    low, high = edges
+    kind = F.lit("train")
+    if v:
+        kind = F.when(F.col("split_key") <= high, "validation").otherwise(kind)
+    if t:
+        kind = F.when(F.col("split_key") <= low, "test").otherwise(kind)
+    return ranked.withColumn("split", kind).drop("split_key")
+
+
+def split_hashes(records: DataFrame, key: str = "text_hash") -> DataFrame:
+    """(split, n, digest): sha256 of the sorted hashes of each split, by groups of their first two digits, so no split is gathered whole."""
+    part = records.groupBy("split", F.substring(key, 1, 2).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h"))
+    return part.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), "\n"), 256).alias("digest"))
+
+
+def quality_report(verdicts: DataFrame, by: str | None = None) -> DataFrame:
+    """(source?, reason, n, chars): counts by reason and in total, by rollup; `accepted` has no reason, totals are `all`."""
+    reason = F.coalesce("reason", F.lit("accepted"))
+    rows = verdicts.withColumn("why", reason)
+    keys = [by, "why"] if by else ["why"]
+    grouped = rows.rollup(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    return grouped.select(*([F.coalesce(by, F.lit("all")).alias(by)] if by else []), F.coalesce("why", F.lit("all")).alias("reason"), "n", "chars")
+
+
+def char_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: characters by class, in one pass."""
+    c = F.coalesce(F.col(text_col), F.lit(""))
+    count = lambda p: F.sum(F.regexp_count(c, F.lit(p))).cast("long")
+    row = docs.agg(
+        F.sum(F.length(c)).cast("long").alias("total"),
+        count(f"[{K.ARABIC_BLOCK}]").alias("script_letters"),
+        count("[A-Za-z]").alias("latin_letters"),
+        count(rf"[\p{{Nd}}&&[^{K.ARABIC_BLOCK}]]").alias("digits"),
+        count(K.ZWNJ).alias("zwnj"),
+        count(K.SPACE).alias("whitespace"),
+    )
+    other = F.col("total") - F.col("script_letters") - F.col("latin_letters") - F.col("digits") - F.col("zwnj") - F.col("whitespace")
+    safe = F.greatest("total", F.lit(1))
+    return row.select("*", other.alias("other"), (F.col("script_letters") / safe).alias("script_ratio"), (F.col("latin_letters") / safe).alias("latin_ratio"), (F.col("zwnj") * 1000.0 / safe).alias("zwnj_per_1000"))
+
+
+def length_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    n = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.avg(n).alias("mean_chars"))
+
+
+def duplicate_count(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: documents beyond the first of each duplicate key."""
+    keys = docs.select(F.sha2(X.duplicate_key(F.coalesce(F.col(text_col), F.lit(""))), 256).alias("k")).groupBy("k").count()
+    return keys.agg(F.sum(F.col("count") - 1).alias("exact_duplicates"))
+
+
+def metadata_profile(records: DataFrame, column: str = "metadata") -> DataFrame:
+    """(kind, name, n): counts of metadata keys and of sources (source, url or domain); `metadata` is a map."""
+    keys = records.select(F.lit("key").alias("kind"), F.explode(F.map_keys(column)).alias("name"))
+    first = F.coalesce(*(F.nullif(F.col(column)[k], F.lit("")) for k in ("source", "url", "domain")))
+    return keys.union(records.select(F.lit("source"), first.alias("name")).filter("name IS NOT NULL")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prepare_articles(articles: DataFrame, min_body: int = 80) -> DataFrame:
+    """Articles (title, body, keywords) with line and reason: missing_body, body_too_short, or null."""
+    body = X.collapse_space(F.coalesce("body", F.lit("")))
+    reason = F.when(F.length(body) == 0, "missing_body").when(F.length(body) < min_body, "body_too_short")
+    return articles.select("*", reason.alias("reason"), X.article_line(F.coalesce("title", F.lit("")), body, F.coalesce("keywords", F.array().cast("array<string>"))).alias("line"))
+
+
+def sft_texts(messages: DataFrame, min_completion: int = 1, conv_col: str = "conv_id") -> DataFrame:
+    """(conv_id, prompt, completion, text) from rows (conv_id, turn, role, text): assistant texts are the completion, others the prompt with their role; short completions go."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.regexp_replace(F.coalesce("text", F.lit("")), f"^{K.SPACE}+|{K.SPACE}+$", "").alias("text"))
+    rows = messages.groupBy(F.col(conv_col).alias("conv_id")).agg(F.filter(F.array_sort(F.collect_list(turn)), lambda t: t["text"] != "").alias("turns"))
+    asked = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] != "assistant"), lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
+    told = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "\n")
+    out = rows.select("conv_id", asked.alias("prompt"), told.alias("completion")).filter(F.length("completion") >= min_completion)
+    return out.withColumn("text", X.prompt_completion("prompt", "completion"))

@@ -1,11 +1,13 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the engine with their SQL."""
 
 from __future__ import annotations
 
+from . import queries as _q
+
 
 def queries() -> dict:
-    return {}
+    return dict(_q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_q.SQL)
