@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from . import tokens as TK
+from .iterate import cut
 
 RELATIONS = ("cooccurrence", "pmi", "ppmi", "dependency", "stem", "subword", "semantic_similarity", "word_document", "topic_document")
 ALIASES = {"co-occurrence": "cooccurrence", "co_occurrence": "cooccurrence", "semantic": "semantic_similarity", "word-doc": "word_document", "word_doc": "word_document", "topic-doc": "topic_document", "topic_doc": "topic_document"}
@@ -81,9 +82,10 @@ def pmi(arrays: DataFrame, window: int = 20, min_count: int = 1) -> DataFrame:
 
     The pair total counts every ordered visit, a token with itself included.
     """
-    words = frequent(arrays, min_count)
+    words = cut(frequent(arrays, min_count))
     counts = pair_counts(arrays, window)
     counts = counts.join(words.select(F.col("token").alias("a"), F.col("freq").alias("fa")), "a").join(words.select(F.col("token").alias("b"), F.col("freq").alias("fb")), "b")
+    counts = cut(counts)  # read twice: for its sum and for itself
     totals = counts.agg((2 * F.sum("n")).alias("pairs")).crossJoin(words.agg(F.sum("freq").alias("words")))
     ordered = counts.filter("a <> b").crossJoin(F.broadcast(totals))
     value = F.log((F.col("n") / F.col("pairs")) / ((F.col("fa") / F.col("words")) * (F.col("fb") / F.col("words"))))
@@ -141,6 +143,7 @@ def association(edges: DataFrame, words: DataFrame, kind: str) -> DataFrame:
         return edges
     if kind not in ("pmi", "ppmi"):
         raise ValueError("kind must be distance, count, raw, pmi or ppmi")
+    edges, words = cut(edges), cut(words)  # read twice each: for their sums and for themselves
     totals = edges.agg((2 * F.sum("weight")).alias("mass")).crossJoin(words.agg(F.sum("freq").alias("words")))
     f = words.select("token", "freq")
     joined = edges.join(f.withColumnRenamed("token", "src").withColumnRenamed("freq", "fs"), "src").join(f.withColumnRenamed("token", "dst").withColumnRenamed("freq", "fd"), "dst").crossJoin(F.broadcast(totals))
@@ -205,10 +208,10 @@ def orthographic_edges(nodes: DataFrame, threshold: float = 0.6, top_k: int = 4)
 
 def distributional_edges(base: DataFrame, words: DataFrame, threshold: float = 0.6, top_k: int = 4, max_fanout: int = 200) -> DataFrame:
     """(src, dst, weight): cosine of PPMI rows of the undirected `base` edges, through contexts that 2 to `max_fanout` tokens share; norms are of whole rows."""
-    rows = both_ways(association(base, words, "ppmi"))
+    rows = cut(both_ways(association(base, words, "ppmi")))
     norms = rows.groupBy("src").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     fan = rows.groupBy(F.col("dst").alias("context")).agg(F.count(F.lit(1)).alias("fan")).filter(F.col("fan").between(2, max_fanout)).select("context")
-    shared = rows.select("src", F.col("dst").alias("context"), "weight").join(fan, "context", "left_semi")
+    shared = cut(rows.select("src", F.col("dst").alias("context"), "weight").join(fan, "context", "left_semi"))
     a, b = shared.select(F.col("src").alias("src"), "context", F.col("weight").alias("wa")), shared.select(F.col("src").alias("dst"), "context", F.col("weight").alias("wb"))
     dots = a.join(b, "context").filter("src < dst").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     cos = dots.join(norms.withColumnRenamed("norm", "na"), "src").join(norms.select(F.col("src").alias("dst"), F.col("norm").alias("nb")), "dst")
@@ -263,9 +266,9 @@ def multi_relation_graph(
 ) -> DataFrame:
     """(src, dst, relation, weight), both directions: the relations over tokens of at least `min_count`; falls back on co-occurrence if no relation gives an edge."""
     names = relation_names(relations)
-    words = frequent(arrays, min_count)
-    inner = compressed(arrays, words) if min_count > 1 else arrays
-    base = distance_cooccurrence(inner, window)
+    words = cut(frequent(arrays, min_count))
+    inner = cut(compressed(arrays, words)) if min_count > 1 else arrays
+    base = cut(distance_cooccurrence(inner, window))
     nodes = words.select("token")
     make = {
         "cooccurrence": lambda: prune(both_ways(base), top_k),

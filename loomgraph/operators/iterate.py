@@ -92,6 +92,7 @@ def retrieve(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int
     hop. The heaviest nodes stay, with the edges among them by the sum of both scores and the
     weight.
     """
+    edges = cut(edges)
     weight = F.col("weight")
     for name, w in (relation_weights or {}).items():
         weight = F.when(F.col("relation") == name, F.col("weight") * w).otherwise(weight)

@@ -1,0 +1,122 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.operators import corpus
+from loomgraph.sources import readers, writers
+from loomgraph.streaming import incremental
+
+
+def put(path, text):
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def rows(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_lines_and_records(spark, tmp_path):
+    path = put(tmp_path / "a.txt", " یک \n\nدو\n")
+    assert rows(readers.read_lines(spark, path), "text") == [("یک",), ("دو",)]
+    assert rows(readers.read_records(spark, path).orderBy("line"), "line", "text") == [(1, "یک"), (2, ""), (3, "دو")]
+    with pytest.raises(ValueError):
+        readers.read_lines(spark, put(tmp_path / "empty.txt", "\n \n"))
+    path = put(tmp_path / "b.jsonl", '{"text": " a "}\n\nbroken\n{"body": "c", "text": "b"}\n{"other": 1}\n')
+    assert rows(readers.read_records(spark, path).orderBy("line"), "line", "text", "decode_error") == [(1, "a", False), (3, "broken", True), (4, "b\nc", False), (5, "", False)]
+    path = put(tmp_path / "c.json", json.dumps({"records": [{"text": "x"}, "plain", {"body": "y"}]}))
+    assert rows(readers.read_records(spark, path).orderBy("line"), "line", "text") == [(1, "x"), (2, "plain"), (3, "y")]
+    path = put(tmp_path / "d.csv", 'text,body\n"a, ""q""",b\n,c\n')
+    assert rows(readers.read_records(spark, path).orderBy("line"), "line", "text") == [(2, 'a, "q"\nb'), (3, "c")]
+    path = put(tmp_path / "e.tsv", "text\tbody\n1\t2\n")
+    assert rows(readers.read_records(spark, path), "text") == [("1\n2",)]
+    assert readers.detect_format("x.bin") == "txt" and readers.detect_format("x.csv", "JSONL") == "jsonl"
+
+
+def test_labelled(spark, tmp_path):
+    path = put(tmp_path / "l.csv", "text,label\na,x\n,y\nb,\nc,z\n")
+    assert rows(readers.read_labelled(spark, path), "text", "label") == [("a", "x"), ("c", "z")]
+    with pytest.raises(ValueError):
+        readers.read_labelled(spark, path, label_col="nope")
+    lines = spark.createDataFrame([("x\ta|b",), ("y| c ",), ("none",), ("|d",)], "value string")
+    assert rows(readers.parse_labelled(lines), "label", "text") == [("x", "a|b"), ("y", "c")]
+    lines = spark.createDataFrame([("a b 2", 1), ("a>b", 2), ("a,c,x", 3), ("a a", 4), ("z", 5)], "value string, line int")
+    assert rows(readers.parse_edges(lines), "u", "v", "w") == [("a", "b", 2.0), ("a", "b", 1.0), ("a", "c", 1.0)]
+
+
+def test_articles(spark, tmp_path):
+    path = put(tmp_path / "a.txt", "# یک\nخط ۱\n\nخط ۲\n# دو\nسه\n")
+    assert rows(readers.read_articles(spark, path).orderBy("number"), "title", "body") == [("یک", "خط ۱ خط ۲"), ("دو", "سه")]
+    path = put(tmp_path / "b.txt", "a\nb\n\n\nc\n")
+    assert rows(readers.read_articles(spark, path).orderBy("number"), "title", "body") == [("", "a b"), ("", "c")]
+    path = put(tmp_path / "c.txt", "a\nb\n")
+    assert rows(readers.read_articles(spark, path).orderBy("number"), "body") == [("a",), ("b",)]
+    path = put(tmp_path / "d.jsonl", json.dumps({"title": "t", "body": "b", "keywords": ["k", "l"], "metadata": {"source": "s"}}) + "\n")
+    (r,) = readers.read_articles(spark, path).collect()
+    assert (r.title, r.body, r.keywords, r.metadata) == ("t", "b", ["k", "l"], {"source": "s", "source_line": "1"})
+    path = put(tmp_path / "e.csv", "title,body,keywords\nt,b,k؛l\n")
+    (r,) = readers.read_articles(spark, path).collect()
+    assert (r.keywords, r.metadata) == (["k", "l"], {"source_row": "2"})
+    with pytest.raises(ValueError):
+        readers.read_articles(spark, put(tmp_path / "f.csv", "title\nx\n"))
+    prepared = corpus.prepare_articles(spark.createDataFrame([("t", "x" * 90, ["k"]), ("t", "short", None), ("t", None, None)], "title string, body string, keywords array<string>"))
+    assert [r.reason for r in prepared.collect()] == [None, "body_too_short", "missing_body"]
+
+
+def test_relations(spark, tmp_path):
+    both = {("a", "b"), ("b", "a")}
+    for name, text, want in [
+        ("m.json", '{"a": ["b"], "c": "c"}', both),
+        ("s.json", '{"synsets": [{"id": 1, "lemmas": ["a", "b"]}]}', both),
+        ("p.json", '[{"source": "a", "targets": "b"}, {"words": "a, b"}]', both),
+        ("t.csv", "source,target\na,b\na,a\n", both),
+        ("g.csv", "synset_id,word\n1,a\n1,b\n2,c\n", both),
+    ]:
+        assert set(rows(readers.read_relations(spark, put(tmp_path / name, text)), "a", "b")) == want, name
+
+
+def test_messages(spark, tmp_path):
+    path = put(tmp_path / "m.jsonl", '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}\n{"prompt": "p", "completion": "c"}\nnoise\n')
+    out = corpus.sft_texts(readers.read_messages(spark, path)).orderBy("conv_id").collect()
+    assert [(r.prompt, r.completion) for r in out] == [("user: q", "a"), ("user: p", "c")]
+
+
+def test_sinks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 4) for i in range(40)] + [(99, "x")], "doc_id long, text string")
+    verdicts = corpus.build_corpus(docs, near_threshold=None, script="A-Za-z")
+    manifest = {r.split: r.n for r in writers.write_corpus(docs, verdicts, str(tmp_path / "c")).collect()}
+    assert manifest == {"train": 34, "validation": 4, "test": 2}
+    assert spark.read.json(str(tmp_path / "c" / "rejected")).count() == 1 and spark.read.text(str(tmp_path / "c" / "text")).count() == 40
+    nodes = spark.createDataFrame([(0, "a", "token")], "node_id long, label string, node_type string")
+    edges = spark.createDataFrame([("a", "a", "r", 1.0)], "src string, dst string, relation string, weight double")
+    built = []
+
+    def build():
+        built.append(1)
+        return nodes, edges
+
+    for _ in range(2):
+        n, e, config = writers.cached_graph(spark, str(tmp_path / "g"), {"window": 2}, build)
+    assert len(built) == 1 and config == {"window": 2} and n.count() == e.count() == 1
+    words = spark.createDataFrame([("a",), ("b",)], "token string")
+    assert writers.graph_summary(n, e, words).first().token_coverage == 0.5
+    encoded = spark.createDataFrame([(1, [1, 2, 3]), (2, [4, 5])], "doc_id long, ids array<long>")
+    assert rows(writers.write_token_shards(encoded, str(tmp_path / "t"), 2).orderBy("shard"), "shard", "n") == [(0, 2), (1, 2), (2, 1)]
+    writers.write_registry(spark, str(tmp_path / "r"), "one", {"a": 1}, {"loss": 0.5})
+    writers.write_registry(spark, str(tmp_path / "r"), "two", {"a": 2}, {"loss": 0.25})
+    assert rows(writers.run_report(spark, str(tmp_path / "r")).orderBy("run_id"), "run_id", "metric", "value") == [("one", "loss", 0.5), ("two", "loss", 0.25)]
+    assert writers.hash_files(spark, put(tmp_path / "h.txt", "abc")).first().sha256.startswith("ba7816bf")
+    writers.write_review(spark.createDataFrame([(1, "p", "o")], "id int, prompt string, output string"), str(tmp_path / "v"))
+    assert spark.read.json(str(tmp_path / "v" / "json")).count() == 1
+
+
+def test_streaming_counts_add_up(spark, tmp_path):
+    for k, text in enumerate(["a b a", "b c", "a b"]):
+        spark.createDataFrame([(text,)], "text string").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = incremental.pair_counts(stream, 1).writeStream.outputMode("complete").format("memory").queryName("pairs").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.a, r.b): r.n for r in spark.table("pairs").collect()} == {("a", "b"): 3, ("b", "c"): 1}
+    assert spark.table("pairs").select(F.sum("n")).first()[0] == 4
