@@ -177,5 +177,24 @@ def quality_rules(
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("n_covered_words").alias("n_repeat_words"), "base_failed", "kept", "longest_repeat"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("n_covered_words").alias("n_repeat_words"), "base_failed", "kept", "long_repeat"
     )
+
+
+SQL = {
+    "op1_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents
+), p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM p WHERE i + 8 <= len(w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r) GROUP BY doc_id),
+l AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(w[i + 1 : i + 101], ' ') AS g FROM p JOIN r USING (doc_id, i) WHERE i + 101 <= len(w)) GROUP BY doc_id, g HAVING count(*) > 1),
+m AS (SELECT doc_id, t, w, lines, coalesce(c.n, 0) AS n, l.doc_id IS NOT NULL AS long_repeat FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(n AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * n > 30 * len(w) AS base_failed, NOT (len(w) < 20 OR 100 * n > 30 * len(w)) AND NOT long_repeat AS kept, long_repeat
+FROM m
+"""
+}

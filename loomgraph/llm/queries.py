@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
-SQL = {**jaccard.SQL, **chat.SQL, **warc.SQL, **decontaminate.SQL}
+SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **decontaminate.SQL}
