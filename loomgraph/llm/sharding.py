@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path
+from .common import drop_at_exit, scratch_path
 
 
 class Conflict(RuntimeError):
@@ -180,6 +180,7 @@ def op7_sharding(spark, sf_dir: str, target: int = 64 << 20) -> DataFrame:
         store.append(docs.filter((share >= low) & (share < low + width)))
         low += width
     version = store.compact(target)
+    drop_at_exit(spark, store.path)
     return store.read(version).select(
         "doc_id",
         F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1).alias("shard"),

@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import scratch_path
+from .common import drop_at_exit, scratch_path
 
 RECORD_SCHEMA = "record_id bigint, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
-WRITE_SCHEMA = "record_id bigint, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 ID_PREFIX = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A fixed date, so that equal input makes equal archives.
@@ -329,6 +328,7 @@ def read(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, verify: bo
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    drop_at_exit(spark, path)
     back = read(spark, path, "record_id bigint, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint", verify=True)
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
