@@ -18,6 +18,8 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/loomgraph/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)  # when the application ends
     return spark.read.schema(df.schema).parquet(path)
 
 
