@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,21 +64,21 @@ def map_chunks(
     df: DataFrame,
     work: Callable[[pa.Array, list[bytes]], pa.RecordBatch],
     schema: T.StructType,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Apply `work(ids, texts)` to chunks of (id, text) rows of about `chunk_bytes`; a longer text is a chunk alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             start, held = 0, 0
-            for i, text in enumerate(texts):
-                if held and held + len(text) > chunk_bytes:
-                    yield work(ids.slice(start, i - start), texts[start:i])
+            for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+                if held and held + size > chunk_bytes:
+                    yield work(ids.slice(start, i - start), texts.slice(start, i - start).to_pylist())
                     start, held = i, 0
-                held += len(text)
+                held += size
             if start < len(texts):
-                yield work(ids.slice(start), texts[start:])
+                yield work(ids.slice(start), texts.slice(start).to_pylist())
 
     return df.mapInArrow(run, schema)
 

@@ -214,7 +214,7 @@ def _sets(docs: DataFrame, width: int, signatures: bool) -> DataFrame:
                 bands[k], sketch[k] = b, s.tobytes()
         return pa.RecordBatch.from_arrays([ids, digest, pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=schema.names)
 
-    return map_chunks(docs, work, schema, chunk_bytes=4 << 20)
+    return map_chunks(docs, work, schema)
 
 
 def _blocks(members: DataFrame, key: str, blocks: str) -> DataFrame:
