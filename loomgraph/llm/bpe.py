@@ -8,16 +8,18 @@ up with a lower rank goes to the front, so each piece ends as if it had been enc
 lowest rank and then leftmost first.
 
 Whole texts are processed. Null text is empty and has no tokens; repeated rows give one row
-each; only the named columns are read. A worker holds the ids of the pieces it has seen, up to
-`CACHE_BYTES`, and starts afresh beyond, which changes no result.
+each; only the named columns are read. A worker holds the ids of what it has seen, up to about
+twice `CACHE_BYTES`, and works out again what it has let go, which changes no result.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
-import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from pyspark.sql import types as T
 
 from .common import id_and_text, id_field, map_chunks
 
-#: Characters with the Unicode property White_Space, as a character class.
-SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
+#: Pieces that one replay holds: its lists then stay in the processor's cache.
+PIECES_AT_ONCE = 8_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,27 +40,48 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """The merges that ranks stand for: `pair` maps two token ids, as left * SHIFT + right, to the id of their join."""
+
+    SHIFT = 1 << 20
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pair = {
+            ranks[token[:k]] * self.SHIFT + ranks[token[k:]]: rank
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        }
+        self.of_bytes = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.of_bytes[token[0] << 8 | token[1]] = rank
+
+
+def replay(pieces: list[bytes], merges: Merges) -> list[list[int]]:
     """The ids of each piece, by replaying all merges over the pieces together."""
-    joined = b"".join(pieces)
+    joined = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
     n = len(joined)
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    bounds = np.r_[0, np.cumsum(lengths)].tolist()
-    token: list[bytes | None] = [joined[i : i + 1] for i in range(n)]
-    after = list(range(1, n + 1))  # the next symbol's position in the same piece, or -1
-    before = list(range(-1, n - 1))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        if b > a:
-            after[b - 1] = -1
-            before[a] = -1
-    rank_of = ranks.get
-    # the index: rank of the merged pair to the positions of its left symbol, which may be out of date
-    index: dict[int, list[int]] = {}
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        for i in range(a, b - 1):
-            rank = rank_of(joined[i : i + 2])
-            if rank is not None:
-                index.setdefault(rank, []).append(i)
+    bounds = np.r_[0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+    token = merges.byte[joined].tolist()  # -1 once a symbol has gone into the one before
+    last = np.unique(bounds[1:]) - 1
+    last = last[last >= 0]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[last] = -1
+    before[last[:-1] + 1] = -1
+    after, before = after.tolist(), before.tolist()
+    rank_at = np.full(n, -1, np.int64)  # of the pair that starts at a symbol
+    if n > 1:
+        rank_at[:-1] = merges.of_bytes[joined[:-1] << 8 | joined[1:]]
+        rank_at[last] = -1
+    # the index: rank of a pair to the positions where it starts, some out of date
+    at = np.flatnonzero(rank_at >= 0)
+    at = at[np.argsort(rank_at[at], kind="stable")]
+    cuts = np.flatnonzero(np.diff(rank_at[at])) + 1
+    index = {int(rank_at[x[0]]): x.tolist() for x in np.split(at, cuts) if len(x)}
+    rank_at, pair_of, shift = rank_at.tolist(), merges.pair.get, merges.SHIFT
     queue = list(index)
     heapq.heapify(queue)
     while queue:
@@ -68,86 +91,107 @@ def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
             continue
         positions.sort()
         for done, i in enumerate(positions):
-            left = token[i]
-            j = after[i]
-            if left is None or j < 0:
+            if rank_at[i] != rank:
                 continue
-            merged = left + token[j]
-            if rank_of(merged) != rank:
-                continue
-            token[i], token[j] = merged, None
+            j = after[i]
+            token[i], token[j], rank_at[j] = rank, -1, -1
             k = after[i] = after[j]
-            lower = False
+            lowest = rank
+            new = -1
             if k >= 0:
                 before[k] = i
-                new = rank_of(merged + token[k])
-                if new is not None:
-                    if new not in index:
+                new = pair_of(rank * shift + token[k], -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
                         heapq.heappush(queue, new)
-                    index.setdefault(new, []).append(i)
-                    lower = new < rank
+                    if new < lowest:
+                        lowest = new
+            rank_at[i] = new
             h = before[i]
             if h >= 0:
-                new = rank_of(token[h] + merged)
-                if new is not None:
-                    if new not in index:
+                new = rank_at[h] = pair_of(token[h] * shift + rank, -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
                         heapq.heappush(queue, new)
-                    index.setdefault(new, []).append(h)
-                    lower = lower or new < rank
-            if lower:  # the new pair comes first; the rest of this list follows in its turn
+                    if new < lowest:
+                        lowest = new
+            if lowest < rank:  # the new pair comes first; the rest of this list follows in its turn
                 if rank not in index:
                     heapq.heappush(queue, rank)
                 index.setdefault(rank, []).extend(positions[done + 1 :])
                 break
-    return [[ranks[t] for t in token[a:b] if t is not None] for a, b in zip(bounds[:-1], bounds[1:])]
+    ends = bounds.tolist()
+    return [[t for t in token[a:b] if t >= 0] for a, b in zip(ends[:-1], ends[1:])]
+
+
+class Kept(dict):
+    """A cache of two generations: when the young one is full, the old one goes and what is still asked for comes back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held, self.old = limit, 0, {}
+
+    def __missing__(self, key):
+        value = self.old[key]
+        self.put(key, value)
+        return value
+
+    def put(self, key, value: list[int]) -> None:
+        self[key] = value
+        self.held += 250 + len(key) + 8 * len(value)
+
+    def trim(self) -> None:
+        if self.held > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
 
 
 class Encoder:
-    """Encodes blocks of texts; keeps the ids of the segments it has met."""
+    """Encodes blocks of texts; keeps the ids of pieces it has met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        # white space goes with what follows it, so no piece crosses from one segment into the next
-        self.segments = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        self.known: dict[str, list[int]] = {}
-        self.held = 0
+        self.merges, self.pattern = Merges(ranks), regex.compile(pattern)
+        self.known = Kept(CACHE_BYTES)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.segments.findall(t) for t in texts]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        known = self.known
-        new = {s for segments in cut for s in segments if s not in known}
-        if new:
-            parts = {s: [p.encode() for p in self.pattern.findall(s)] for s in new}
-            pieces = list({p for found in parts.values() for p in found if p not in self.ranks})
-            ids = dict(zip(pieces, replay(pieces, self.ranks)))
-            for s, found in parts.items():
-                known[s] = [i for p in found for i in (ids[p] if p in ids else (self.ranks[p],))]
-                self.held += 200 + len(s) + 8 * len(known[s])
-        out = []
-        for segments in cut:
-            ids = []
-            for s in segments:
-                ids += known[s]
-            out.append(ids)
-        return out
-
-
-def splits_at_space(pattern: str, samples: tuple[str, ...] = ("a b", "a  b", "a\n b", "1 2", "! !", "a \n")) -> bool:
-    """Whether cutting texts into segments first gives the pieces that `pattern` gives over the whole."""
-    import regex
-
-    whole, cut = regex.compile(pattern), re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-    return all(whole.findall(s) == [p for x in cut.findall(s) for p in whole.findall(x)] for s in samples)
+        gc.disable()  # the caches hold no cycles, and walking through them takes longer than the work
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        cut = [self.pattern.findall(t) for t in texts]
+        known, ranks = self.known, self.merges.ranks
+        known.trim()
+        new = set(chain.from_iterable(cut))
+        new.difference_update(known)
+        new.difference_update(known.old)
+        asked = []
+        for piece in new:
+            whole = ranks.get(token := piece.encode())
+            if whole is None:
+                asked.append((piece, token))
+            else:
+                known.put(piece, (whole,))
+        for k in range(0, len(asked), PIECES_AT_ONCE):
+            part = asked[k : k + PIECES_AT_ONCE]
+            for (piece, _), ids in zip(part, replay([token for _, token in part], self.merges)):
+                known.put(piece, tuple(ids))
+        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
-    if not splits_at_space(pattern):
-        raise ValueError("the pattern has matches that go on after white space")
     return Encoder(load_ranks(path), pattern)
 
 
@@ -160,41 +204,51 @@ def _tokens(path: str) -> list[bytes]:
     return out
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col` and ids: the tokens of the whole text by the ranks in the file `path` (present on every worker)."""
+def _lists(found: list[list[int]]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))))
+
+
+def decode_ids(found: list[list[int]], path: str) -> list[bytes]:
+    """The bytes of each list of ids."""
+    tokens = _tokens(path)
+    return [b"".join([tokens[i] for i in ids]) for ids in found]
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+    """`id_col` and ids: the tokens of the whole text by the ranks in the file `path` (present on every worker). `with_decoded` adds decoded, their bytes, in the same pass."""
     rows = id_and_text(df, id_col, text_col)
-    schema = T.StructType([id_field(rows, id_col), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([id_field(rows, id_col), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * with_decoded)
 
     def work(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
         found = _encoder(path, pattern).encode([t.decode("utf-8", "replace") for t in texts])
-        offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(offsets[-1]))
-        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=schema.names)
-
-    return map_chunks(rows, work, schema, chunk_bytes=4 << 20)
-
+        columns = [ids, _lists(found)]
+        if with_decoded:
+            columns.append(pa.array(decode_ids(found, path), pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """`df` with `out_col`: the bytes of the ids; null ids count as none. Fails on an id that the file lacks."""
+    return map_chunks(rows, work, schema)
 
-    @F.pandas_udf(T.BinaryType())
-    def joined(column):
-        tokens = _tokens(path)
-        return column.map(lambda ids: b"" if ids is None else b"".join([tokens[i] for i in ids.tolist()]))
 
-    return df.withColumn(out_col, joined(F.col(ids_col)))
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """`id_col` and decoded: the bytes of the ids; null ids count as none. Fails on an id that the file lacks."""
+    rows = df.select(F.col(id_col), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    schema = T.StructType([rows.schema[0], T.StructField("decoded", T.BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decode_ids(part.column(1).to_pylist(), path), pa.binary())], names=schema.names)
 
-def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, ids and decoded of each text."""
-    return decode(encode(df, path, pattern, id_col, text_col), path)
+    return rows.mapInArrow(run, schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

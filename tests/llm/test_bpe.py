@@ -33,7 +33,7 @@ def test_replay_with_a_pair_of_lower_rank():
     oracle = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(1)
     pieces = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))).encode() for _ in range(500)]
-    assert bpe.replay(pieces, ranks) == [oracle.encode_ordinary(p.decode()) for p in pieces]
+    assert bpe.replay(pieces, bpe.Merges(ranks)) == [oracle.encode_ordinary(p.decode()) for p in pieces]
 
 
 def test_small_cache_changes_nothing(oracle, monkeypatch):
@@ -54,4 +54,11 @@ def test_query(spark, tmp_path, oracle):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.encode_decode(empty, PATH, P.PATTERN).count() == 0
+    assert bpe.encode(empty, PATH, P.PATTERN, with_decoded=True).count() == 0
+
+
+def test_decode_alone(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts()[:300])], "doc_id long, text string")
+    ids = bpe.encode(df, PATH, P.PATTERN)
+    assert {r.doc_id: r.decoded.decode() for r in bpe.decode(ids, PATH).collect()} == dict(enumerate(texts()[:300]))
+    assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).collect()[0].decoded == b""
