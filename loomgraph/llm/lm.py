@@ -19,6 +19,7 @@ scored each; ids may be null; only the named columns are read; an empty table gi
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, cut
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 SEGMENT_TOKENS = 1_000_000
 MAX_BROADCAST_BYTES = 256 << 20
 BITS_PER_ENTRY = 12
@@ -54,6 +55,12 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time: a row is a whole block."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _words(blob: bytes) -> list[bytes]:
     """A block's vocabulary; number 0 is the end of a text."""
     return [b"", *blob.split(b" ")] if blob else [b""]
@@ -84,7 +91,7 @@ def blocks(docs: DataFrame, held: Column, id_col: str, text_col: str) -> DataFra
             return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in (_planes(tokens), b" ".join(list(known)[1:]), _planes(train)))], names=schema.names)
 
         known: dict[bytes, int] = {b"": 0}
-        flat: list[int] = []
+        flat = array("i")
         ids, marks, sizes, arrow = [], [], [], pa.null()
         for batch in batches:
             arrow = batch.column(0).type
@@ -92,8 +99,8 @@ def blocks(docs: DataFrame, held: Column, id_col: str, text_col: str) -> DataFra
                 words = text.lower().split()
                 if flat and len(flat) + len(words) >= BLOCK_TOKENS:
                     yield done()
-                    known, flat, ids, marks, sizes = {b"": 0}, [], [], [], []
-                flat += [known.setdefault(w, len(known)) for w in words]
+                    known, flat, ids, marks, sizes = {b"": 0}, array("i"), [], [], []
+                flat.extend([known.setdefault(w, len(known)) for w in words])
                 flat.append(0)
                 ids.append(key)
                 marks.append(mark)
@@ -117,7 +124,7 @@ def exact_counts(table: DataFrame, segments: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 words, train = _words(r["vocab"]), _unplanes(r["train"])
                 rows = [(s, b" ".join(words[i] for i in at), _planes(train[at])) for s, at in _dealt((word_hashes(words) % np.uint64(segments)).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +243,7 @@ def filter_segments(table: DataFrame, segments: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 hashes, train = word_hashes(_words(r["vocab"])), _unplanes(r["train"])
                 lengths = np.array(r["lengths"], np.int64)
                 learnt = np.repeat(~np.array(r["held"], bool), lengths)
@@ -279,7 +286,7 @@ def probed(table: DataFrame, built: DataFrame, segments: int) -> DataFrame:
 
         def probe(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in _rows(batch):
                     hashes = word_hashes(_words(r["vocab"]))
                     keys, at = np.unique(bigram_keys(hashes, _unplanes(r["tokens"]), np.array(r["lengths"], np.int64)), return_inverse=True)
                     found = [shared.value.levels(unigram_keys(hashes)).tobytes(), shared.value.levels(keys)[at].tobytes()]
