@@ -32,7 +32,7 @@ from .common import crc_mod, cut
 
 BLOCK_TOKENS = 500_000
 SEGMENT_TOKENS = 1_000_000
-MAX_BROADCAST_BYTES = 256 << 20
+MAX_BROADCAST_BYTES = 40 << 20
 BITS_PER_ENTRY = 12
 WEIGHT = 0.6  # of the bigram estimate
 
@@ -292,7 +292,10 @@ def probed(table: DataFrame, built: DataFrame, segments: int) -> DataFrame:
                     found = [shared.value.levels(unigram_keys(hashes)).tobytes(), shared.value.levels(keys)[at].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([k], pa.int64()), *(pa.array([x], pa.binary()) for x in found)], names=["block", "round", "words", "pairs"])
 
+        # a round is written before the next filter goes out, so workers hold one at a time
         one = table.select("block", "vocab", "lengths", "tokens").mapInArrow(probe, "block string, round bigint, words binary, pairs binary")
+        one = cut(one, "levels")
+        shared.destroy()
         out = one if out is None else out.union(one)
     return out
 
