@@ -465,10 +465,17 @@ def _(s, d):
 
 @query("simhash_pairs")
 def _(s, d):
-    hashed = arrays(s, d).select(F.col("doc_id").alias("id"), X.simhash("tokens").alias("simhash"))
+    """Rows of two kinds: a `member` row for each document (dst: the least id of its simhash, distance 0), and a `pair` row for two of those least ids within the distance.
+
+    Documents x and y are near if they have one dst, or if their dst make a pair: groups of
+    copies are given by their members, not by all pairs of them.
+    """
+    hashed = iterate.cut(arrays(s, d).select(F.col("doc_id").alias("id"), X.simhash("tokens").alias("simhash")))
     # equal hashes stand for one node, so a group of copies is one row of the join
-    nodes = hashed.groupBy("simhash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    return similarity.simhash_pairs(nodes.select("id", "simhash"))
+    nodes = iterate.cut(hashed.groupBy("simhash").agg(F.min("id").alias("rep")))
+    members = hashed.join(nodes, "simhash").select(F.lit("member").alias("kind"), F.col("id").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("distance"))
+    pairs = similarity.simhash_pairs(nodes.select(F.col("rep").alias("id"), "simhash"))
+    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), "src", "dst", "distance"))
 
 
 @query("decontaminate_exact", f"""SELECT doc_id FROM documents WHERE {_HASH} IN (SELECT {_HASH} FROM benchmark)""")

@@ -1,0 +1,35 @@
+"""Registered queries against brute force, on small tables with what an easier query would leave out."""
+
+import random
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from loomgraph.functions import text as X
+
+
+def documents(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_simhash_pairs_names_every_document(spark, tmp_path):
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(8)]
+    texts = [None, "", "!!", *["same text here"] * 30]
+    for _ in range(80):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(60)] = f"w{rng.randrange(400)}"
+        rng.shuffle(w)  # the order of words does not count
+        texts.append(" ".join(w))
+    path = documents(spark, tmp_path, texts)
+    rows = spark.read.parquet(f"{path}/documents.parquet")
+    h = {r.doc_id: r.h for r in rows.select("doc_id", X.simhash(X.tokenize(F.lower(F.coalesce("text", F.lit(""))))).alias("h")).collect()}
+    want = {(i, j): d for i in h for j in h if i < j and (d := ((h[i] ^ h[j]) & (2**64 - 1)).bit_count()) <= 5}
+    got = entry.queries()["simhash_pairs"](spark, path).collect()
+    rep = {r.src: r.dst for r in got if r.kind == "member"}
+    pairs = {(r.src, r.dst): r.distance for r in got if r.kind == "pair"}
+    assert sorted(r.src for r in got if r.kind == "member") == sorted(h) and len(got) == len(rep) + len(pairs)
+    found = {(i, j): 0 if rep[i] == rep[j] else pairs.get((min(rep[i], rep[j]), max(rep[i], rep[j]))) for i in rep for j in rep if i < j}
+    assert {k: v for k, v in found.items() if v is not None} == want and {0} < set(want.values())
