@@ -211,6 +211,18 @@ def _(s, d):
     return graphs.text_graph(arrays(s, d), 5, 5).select("src", "dst", "relation", r6("weight"))
 
 
+@query("pmi_edges_whole")
+def _(s, d):
+    """The operator's own window of 20 and all words; `pmi_edges` is held to its SQL, which has 5 and 5."""
+    return graphs.pmi(arrays(s, d)).select("src", "dst", r6("weight"))
+
+
+@query("text_graph_edges_whole")
+def _(s, d):
+    """As `pmi_edges_whole`, with the documents' TF-IDF edges."""
+    return graphs.text_graph(arrays(s, d)).select("src", "dst", "relation", r6("weight"))
+
+
 _W4 = pairs_sql(4)
 _DIST = f"{POS}, {FREQ}, {_W4}, base AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(12 // k) / 12 AS weight FROM pr WHERE a <> b GROUP BY ALL)"
 

@@ -1,7 +1,10 @@
 """Registered queries against brute force, on small tables with what an easier query would leave out."""
 
+import math
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -33,3 +36,24 @@ def test_simhash_pairs_names_every_document(spark, tmp_path):
     assert sorted(r.src for r in got if r.kind == "member") == sorted(h) and len(got) == len(rep) + len(pairs)
     found = {(i, j): 0 if rep[i] == rep[j] else pairs.get((min(rep[i], rep[j]), max(rep[i], rep[j]))) for i in rep for j in rep if i < j}
     assert {k: v for k, v in found.items() if v is not None} == want and {0} < set(want.values())
+
+
+def test_word_graphs_take_the_whole_window_and_all_words(spark, tmp_path):
+    rng = random.Random(8)
+    lists = [[f"w{min(int(rng.expovariate(0.15)), 60)}" for _ in range(rng.randint(1, 70))] for _ in range(25)] + [["once", *["x"] * 19, "far"], []]
+    path = documents(spark, tmp_path, [" ".join(t) for t in lists])
+    freq, pairs, seen = Counter(w for t in lists for w in t), Counter(), Counter(w for t in lists for w in set(t))
+    for t in lists:
+        for i, a in enumerate(t):
+            for b in t[max(0, i - 20) : i] + t[i + 1 : i + 21]:
+                pairs[a, b] += 1
+    total, n = sum(pairs.values()), sum(freq.values())
+    value = {(a, b): math.log((c / total) / (freq[a] / n * freq[b] / n)) for (a, b), c in pairs.items() if a < b}
+    want = {p: v for p, v in value.items() if v > 0}
+    assert ("far", "once") in want  # 20 places apart, once each
+    got = {(r.src, r.dst): r.weight for r in entry.queries()["pmi_edges_whole"](spark, path).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    graph = entry.queries()["text_graph_edges_whole"](spark, path).collect()
+    assert {(r.src, r.dst): r.weight for r in graph if r.relation == "word_word"} == got
+    tfidf = {(w, f"doc_{i}"): c * (math.log((len(lists) + 1) / (seen[w] + 1)) + 1) for i, t in enumerate(lists) for w, c in Counter(t).items()}
+    assert {(r.src, r.dst): r.weight for r in graph if r.relation == "word_document"} == pytest.approx(tfidf, abs=2e-6)
