@@ -561,6 +561,12 @@ def _(s, d):
     return iterate.pagerank(event_edges(s, d), max_iter=10, tol=None).select("node", F.round("score", 9).alias("score"))
 
 
+@query("pagerank_converged")
+def _(s, d):
+    """Rounds until scores move by less than the operator's tolerance; `pagerank` is held to ten rounds by its SQL."""
+    return iterate.pagerank(event_edges(s, d)).select("node", F.round("score", 9).alias("score"))
+
+
 @query("connected_components", """WITH RECURSIVE l AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey % 7 <> 0 AND p_partkey + 1 <= (SELECT max(p_partkey) FROM part)), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 t AS (SELECT a AS node, a AS component FROM s UNION SELECT s.b, t.component FROM t JOIN s ON s.a = t.node) SELECT node, min(component) AS component FROM t GROUP BY node""")
 def _(s, d):

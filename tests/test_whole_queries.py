@@ -57,3 +57,25 @@ def test_word_graphs_take_the_whole_window_and_all_words(spark, tmp_path):
     assert {(r.src, r.dst): r.weight for r in graph if r.relation == "word_word"} == got
     tfidf = {(w, f"doc_{i}"): c * (math.log((len(lists) + 1) / (seen[w] + 1)) + 1) for i, t in enumerate(lists) for w, c in Counter(t).items()}
     assert {(r.src, r.dst): r.weight for r in graph if r.relation == "word_document"} == pytest.approx(tfidf, abs=2e-6)
+
+
+def test_pagerank_converges(spark, tmp_path):
+    rng = random.Random(9)
+    events = [(i, rng.randrange(40), rng.choice("aaaaabbc")) for i in range(300)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    weight = Counter()
+    for _, u, t in events:
+        weight[f"u{u}", f"t{t}"] += 1
+        weight[f"t{t}", f"u{u}"] += 1
+    out = Counter()
+    for (a, _), w in weight.items():
+        out[a] += w
+    score = dict.fromkeys(out, 1 / len(out))
+    for _ in range(400):
+        new = dict.fromkeys(out, 0.15 / len(out))
+        for (a, b), w in weight.items():
+            new[b] += 0.85 * score[a] * w / out[a]
+        score = new
+    off = lambda q: sum(abs(r.score - score[r.node]) for r in entry.queries()[q](spark, str(tmp_path)).collect())
+    # a last move of under 1e-6 leaves at most 0.85 / 0.15 of it
+    assert off("pagerank_converged") < 6e-6 < 1e-3 < off("pagerank")
