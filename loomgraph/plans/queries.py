@@ -339,6 +339,13 @@ def _(s, d):
     return e.filter("src < dst").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("weight"), 3).alias("total"))
 
 
+@query("distributional_similarity_edges")
+def _(s, d):
+    """The edges themselves, with the reference's largest fan-out of a context, 200; `distributional_similarity` is held to 50 and two sums by its SQL."""
+    a = arrays(s, d)
+    return graphs.distributional_edges(graphs.distance_cooccurrence(a, 4), graphs.frequent(a, 1), 0.6, None).select("src", "dst", r6("weight"))
+
+
 @query("dependency_heuristic", f"""WITH {POS}, h AS (SELECT token AS src, coalesce(CASE WHEN ends_with(a, 'ed') THEN a END, CASE WHEN ends_with(b, 'ed') THEN b END, CASE WHEN ends_with(c, 'ed') THEN c END, CASE WHEN ends_with(e, 'ed') THEN e END, a) AS dst
 FROM (SELECT token, lead(token, 1) OVER w AS a, lead(token, 2) OVER w AS b, lead(token, 3) OVER w AS c, lead(token, 4) OVER w AS e FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE a IS NOT NULL)
 SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM h WHERE src <> dst GROUP BY ALL""")
