@@ -59,15 +59,19 @@ def numbered_terms(places: DataFrame) -> DataFrame:
     return found.unionByName(found.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(-1).cast("bigint").alias("tid")))
 
 
-def rarest_places(places: DataFrame, index: DataFrame, window: int, keep: int = 2) -> DataFrame:
-    """The places (item, q, tid) of the `keep` rarest terms of every window, and how many an item needs; windows with a term that no document has are left out."""
+def rarest_places(places: DataFrame, index: DataFrame, window: int, keep: int = 2, absent: bool = False) -> DataFrame:
+    """The places (item, q, tid) of the `keep` rarest terms of every window, and how many an item needs.
+
+    Windows with a term that no document has are left out; with `absent` such terms are passed over and the window stays.
+    """
     frequency = index.filter("tid >= 0").groupBy("tid").count()
     known = places.join(broadcast_if_small(cut(frequency, "frequency"), BROADCAST_ROWS), "tid", "left")
     start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - (window - 1)), F.least(F.col("q"), F.greatest(F.lit(0), F.col("n") - window))))
     placed = known.select("item_id", "item", "n", "q", "tid", "count", start.alias("at"))
     of_window = Window.partitionBy("item_id", "item", "at")
-    ranked = placed.withColumn("lost", F.max(F.col("count").isNull()).over(of_window)).withColumn("r", F.row_number().over(of_window.orderBy("count", "q")))
-    return ranked.filter(~F.col("lost") & (F.col("r") <= keep)).select("item_id", "item", "n", "q", "tid", "at", "r")
+    ranked = placed.withColumn("lost", F.max(F.col("count").isNull()).over(of_window)).withColumn("r", F.row_number().over(of_window.orderBy(F.asc_nulls_last("count"), "q")))
+    whole = F.col("count").isNotNull() if absent else ~F.col("lost")
+    return ranked.filter(whole & (F.col("r") <= keep)).select("item_id", "item", "n", "q", "tid", "at", "r")
 
 
 def candidates(index: DataFrame, rare: DataFrame, keep: int = 2) -> DataFrame:
@@ -107,19 +111,32 @@ def exact_runs(found: DataFrame, places: DataFrame, index: DataFrame, window: in
 
 
 def proximity_matches(docs: DataFrame, bench: DataFrame, slop: int, window: int = 13, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, h, item_id, item, at, near): windows whose two rarest terms occur within `slop` words of their distance in the window; near is the least deviation."""
+    """(doc_id, h, item_id, item, at, near): windows whose two rarest terms occur within `slop` words of their distance in the window; near is the least deviation.
+
+    The terms are chosen among those that some document has, so a passage with one word replaced
+    is still found; a window with fewer than two such places matches nothing. An item of one word
+    matches, with near 0, every document that has the word.
+    """
     places = cut(item_terms(bench, item_id, item_text), "places")
     terms = cut(numbered_terms(places), "terms")
     places = places.join(terms, "term").drop("term")
     index = build_index(docs, terms, doc_id, doc_text)
-    rare = cut(rarest_places(places, index, window), "rare")
-    hits = index.distinct().join(rare, "tid").select("doc_id", "h", "item_id", "item", "at", "r", (F.col("pos") - F.col("q")).alias("d"))
+    of_window = rarest_places(places, index, window, absent=True).groupBy("item_id", "item", "n", "at").pivot("r", [1, 2]).agg(F.first("q").alias("q"), F.first("tid").alias("tid"))
+    of_window = cut(of_window.filter("n = 1 OR `2_q` IS NOT NULL").withColumn("q2", F.coalesce("2_q", "1_q")).withColumnRenamed("1_q", "q1"), "rare")
+    # neighbouring windows have most pairs of places in common: a pair is looked up once
+    pair = ["item_id", "item", "q1", "q2"]
+    sides = [F.struct(F.lit(r).alias("r"), F.col(f"q{r}").alias("q"), F.col(f"{r}_tid").alias("tid")) for r in (1, 2)]
+    rare = cut(of_window.select(*pair, F.explode(F.array(*sides)).alias("s")).select(*pair, "s.r", "s.q", "s.tid").filter("tid IS NOT NULL").distinct(), "pairs")
+    hits = index.distinct().join(broadcast_if_small(rare, BROADCAST_ROWS), "tid").select("doc_id", "h", *pair, "r", (F.col("pos") - F.col("q")).alias("d"))
     cell = F.floor(F.col("d") / (slop + 1)).cast("long")
-    left = hits.filter("r = 1").withColumn("cell", cell)
+    left = hits.filter("r = 1 AND q1 <> q2").withColumn("cell", cell)
     right = hits.filter("r = 2").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).withColumnRenamed("d", "d2").drop("r")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "h", "item_id", "item", "at", "cell")]
-    met = left.alias("l").join(right.alias("r"), on).filter(F.abs(F.col("l.d") - F.col("r.d2")) <= slop)
-    return met.groupBy("l.doc_id", "l.h", "l.item_id", "l.item", "l.at").agg(F.min(F.abs(F.col("l.d") - F.col("r.d2"))).alias("near"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "h", *pair, "cell")]
+    deviation = F.abs(F.col("l.d") - F.col("r.d2"))
+    met = left.alias("l").join(right.alias("r"), on).filter(deviation <= slop).select(*(F.col(f"l.{c}").alias(c) for c in ("doc_id", "h", *pair)), deviation.alias("near"))
+    alone = hits.filter("q1 = q2").select("doc_id", "h", *pair, F.lit(0).alias("near"))
+    near = met.unionByName(alone).groupBy("doc_id", "h", *pair).agg(F.min("near").alias("near"))
+    return near.join(broadcast_if_small(of_window.select(*pair, "at"), BROADCAST_ROWS), pair).select("doc_id", "h", "item_id", "item", "at", "near")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, min_share: int = 20, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -156,6 +173,12 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_proximity(spark, sf_dir: str, slop: int = 2) -> DataFrame:
+    """The other half of the method: a row for each document and window of an item that are near by `proximity_matches`."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return proximity_matches(docs, bench, slop)
+
+
 SQL = {
     "op8_decontaminate": r"""
 WITH d AS (

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op8_proximity": decontaminate.op8_proximity,
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
 }

@@ -92,3 +92,39 @@ def test_proximity(spark):
         if gaps and min(gaps) <= slop:
             want[r.doc_id] = min(gaps)
     assert {r.doc_id: r.near for r in dc.proximity_matches(docs, bench, slop).collect()} == want
+
+
+def near_brute(docs, bench, slop, window=13):
+    w = {d: words(text) for d, text in docs}
+    count = {}
+    for x in w.values():
+        for y in x:
+            count[y] = count.get(y, 0) + 1
+    out = {}
+    for item, text in bench:
+        b = words(text)
+        for at in range(max(1, len(b) - window + 1) if b else 0):
+            rare = sorted((count[b[q]], q) for q in range(at, min(at + window, len(b))) if b[q] in count)[:2]
+            if len(rare) < min(2, len(b)):
+                continue
+            one, two = rare[0][1], rare[-1][1]
+            for d, x in w.items():
+                gaps = [abs((i - one) - (j - two)) for i, p in enumerate(x) if p == b[one] for j, q in enumerate(x) if q == b[two] and (one != two or i == j)]
+                if gaps and min(gaps) <= slop:
+                    out[d, str(item), at] = min(gaps)
+    return out
+
+
+def test_proximity_query_with_absent_words(spark, tmp_path, tables):
+    docs, bench = tables
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(20)]
+    # a copied passage whose name was replaced, a short one, items of one word, of absent words and with one known word
+    bench = dict(bench) | {40: " ".join([*passage[:8], "Nameless", *passage[9:]]), 41: "p1 p2 Gone p4", 42: "p3", 43: "absent", 44: "absent p5", 45: "zz nowhere q"}
+    docs = [*docs, (300, " ".join([*passage[:8], "Other", *passage[9:]])), (301, "p1 x p2 y p4 p3"), (302, " ".join(rng.sample(passage, 20)))]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(bench.items()), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = near_brute(docs, list(bench.items()), 2)
+    got = dc.op8_proximity(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id, r.at): r.near for r in got} == want and len(got) == len(want)
+    assert {(300, "40", at) for at in range(8)} <= set(want) and (300, "41", 0) in want and (301, "42", 0) in want and not any(k[1] in ("43", "44") for k in want)
