@@ -2,9 +2,10 @@
 
 Character n-grams (1 to 3 letters, across word edges) are hashed into a fixed number of
 features. Document frequencies are counted over all training documents. The classifier learns
-by follow-the-regularised-leader with an elastic net from a bounded sample of them: at most
-about `sample_per_label` documents of each of at most `max_labels` labels, chosen by a hash of
-the id; a part of the sample only calibrates the temperature. Prediction reads whole texts.
+by follow-the-regularised-leader with an elastic net from a bounded sample of them: about
+`sample_per_label` documents of each label, or fewer of each where there are more than
+`full_labels` labels, but at least one; no label is left out. They are chosen by a hash of the
+id; a part of the sample only calibrates the temperature. Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without training
 documents every text is `und`; null labels teach nothing; repeated rows give one row each; only
@@ -155,28 +156,39 @@ def best_temperature(logits: np.ndarray, label: np.ndarray) -> float:
     return float(ladder[int(np.argmin(loss))])
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_per_label: int = 1500, max_labels: int = 200, bits: int = BITS) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_per_label: int = 1500, full_labels: int = 200, bits: int = BITS) -> Model:
     """Fit the classifier. `df` holds training documents only.
 
-    The sample: ids whose hash falls below sample_per_label / (documents of the label), so about
-    that many of each label reach the driver, at most twice as many of all labels together.
+    The sample: ids whose hash falls below rows per label / (documents of the label), and the
+    least hash of each label, so about that many of each label reach the driver, at most twice as
+    many of all labels together. Rows per label: `sample_per_label`, lowered so that all labels
+    have no more than `full_labels` labels would have. The model grows with the labels.
     """
     labelled = df.filter(F.col(label_col).isNotNull())
     df_counts, n = document_frequency(labelled, text_col, bits)
     idf = np.log((1.0 + n) / (1.0 + df_counts)) + 1.0
-    counts = labelled.groupBy(F.col(label_col).cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+    label = F.col(label_col).cast("string")
+    u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    first = F.min(F.when(F.col(text_col).rlike(r"\p{L}"), u))  # of the texts that teach something
+    counts = labelled.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("count"), first.alias("first")).collect()
     labels = sorted(r.label for r in counts)
     if not labels:
         return Model([], idf, np.zeros((1 << bits, 0)), np.zeros(0), bits=bits)
-    share = F.create_map(*(x for r in counts for x in (F.lit(r.label), F.lit(min(1.0, sample_per_label / r["count"])))))
-    label = F.col(label_col).cast("string")
-    u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.select(u.alias("u"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), label.alias("label")).filter(F.col("label").isin(labels) & (F.col("u") < share[F.col("label")]))
-    sample = sorted(rows.limit(2 * sample_per_label * len(labels)).collect(), key=lambda r: (r.u, r.label, r.text))
-    learn, calibrate = [], []
+    number = {x: i for i, x in enumerate(labels)}
+    most = sample_per_label * full_labels
+    if len(labels) > most:
+        raise ValueError(f"{len(labels)} labels, more than the {most} rows of the sample")
+    per_label = min(sample_per_label, most // len(labels))
+    shares = [(r.label, max(min(1.0, per_label / r["count"]), 0.0 if r.first is None else float(np.nextafter(r.first, 2.0)))) for r in counts]
+    share = df.sparkSession.createDataFrame(shares, "label string, share double")
+    rows = labelled.select(u.alias("u"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), label.alias("label"))
+    rows = rows.join(F.broadcast(share), "label").filter("u < share").select("u", "text", "label").distinct()  # rows that repeat an id and text have one hash
+    sample = sorted(rows.limit(2 * per_label * len(labels)).collect(), key=lambda r: (r.u, r.label, r.text))
+    learn, calibrate, known = [], [], set()
     for k, (r, found) in enumerate(zip(sample, features([bytes(r.text) for r in sample], bits))):
         if found is not None:
-            (calibrate if k % 5 == 4 else learn).append((*weights(found, idf), labels.index(r.label)))
+            (calibrate if k % 5 == 4 and r.label in known else learn).append((*weights(found, idf), number[r.label]))
+            known.add(r.label)
     w, bias = ftrl(learn, 1 << bits, len(labels))
     model = Model(labels, idf, w, bias, bits=bits)
     if calibrate:

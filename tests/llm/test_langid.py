@@ -68,3 +68,19 @@ def test_document_frequency_covers_all(spark, rows):
         if found is not None:
             want[found[0]] += 1
     assert (counts == want).all() and n == sum(f is not None for f in langid.features([(t or "").encode() for _, t, _ in rows]))
+
+
+def test_no_label_is_left_out(spark):
+    rng = random.Random(12)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(230)}
+    rows = [(7 * k + j, " ".join(rng.choices(w, k=20)), lang) for k, (lang, w) in enumerate(words.items()) for j in range(3)]
+    df = spark.createDataFrame([*rows, *[(10_000 + i, "12 !?", "l229") for i in range(40)]], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.labels == sorted(words) and (np.abs(model.w).max(axis=0) > 0).all()
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.9
+    # a sample that holds one row a label still has them all
+    few = langid.train(df.filter("lang < 'l012' OR lang = 'l229'"), sample_per_label=5, full_labels=3)
+    assert len(few.labels) == 13 and (np.abs(few.w).max(axis=0) > 0).all()
+    with pytest.raises(ValueError):
+        langid.train(df, sample_per_label=10, full_labels=3)
