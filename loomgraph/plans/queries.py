@@ -591,6 +591,12 @@ def _(s, d):
     return graphs.social_graph(e.join(after, "event_id").select(F.col("user_id").alias("u"), "v", F.col("value").alias("w"), F.col("event_id").alias("line")))
 
 
+@query("social_components")
+def _(s, d):
+    """Components of the whole social graph; `connected_components` is held to a chain of parts by its SQL."""
+    return iterate.connected_components(QUERIES["social_graph"](s, d))
+
+
 @query("textrank_summary")
 def _(s, d):
     return tasks.textrank(docs(s, d))

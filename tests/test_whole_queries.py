@@ -106,3 +106,28 @@ def test_distributional_edges_of_wide_contexts(spark, tmp_path):
     got = {(r.src, r.dst): r.weight for r in entry.queries()["distributional_similarity_edges"](spark, path).collect()}
     assert got == pytest.approx(want, abs=2e-6) and ("word00", "word69") in got
     assert entry.queries()["distributional_similarity"](spark, path).first().pairs < len(want) / 2
+
+
+def test_components_of_the_social_graph(spark, tmp_path):
+    # events in a row link their users: a long path, a hub, and loops
+    rng = random.Random(10)
+    users = [*range(60), 60, *[x for i in range(100, 140) for x in (99, i)], *[rng.randrange(200, 230) for _ in range(40)]]
+    events, at = [], 0
+    for i, u in enumerate(users):
+        at += 2 if i in (61, 141) else 1  # a missing number ends a chain
+        events.append((at, u, 1.0))
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    by = {e: u for e, u, _ in events}
+    for e, u in by.items():
+        if e + 1 in by and by[e + 1] != u:
+            a, b = sorted((find(u), find(by[e + 1])))
+            parent[b] = a
+    got = {r.node: r.component for r in entry.queries()["social_components"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in parent} and len(set(got.values())) == 3
