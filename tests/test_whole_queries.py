@@ -131,3 +131,16 @@ def test_components_of_the_social_graph(spark, tmp_path):
             parent[b] = a
     got = {r.node: r.component for r in entry.queries()["social_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in parent} and len(set(got.values())) == 3
+
+
+def test_classify_toxic_has_a_row_for_each_document(spark, tmp_path):
+    rng = random.Random(11)
+    toxic = [i % 3 == 0 for i in range(60)]
+    texts = [" ".join(rng.choice(["awful", "stupid", "nasty"] if x else ["kind", "calm", "good", "fine"]) for _ in range(8)) for x in toxic]
+    path = documents(spark, tmp_path, [*texts, None, "", "?!"])
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic[:45])], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    got = entry.queries()["classify_toxic"](spark, path).collect()
+    label = {r.doc_id: r.label_pred for r in got}
+    assert len(got) == len(label) == 63
+    assert [label[i] for i in (60, 61, 62)] == ["0"] * 3  # the more frequent label
+    assert all(label[i] == str(int(x)) for i, x in enumerate(toxic))
