@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from .iterate import cut
+from ..scratch import cut
 from .similarity import simhash_pairs
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..scratch import cut
 from . import tokens as TK
-from .iterate import cut
 
 RELATIONS = ("cooccurrence", "pmi", "ppmi", "dependency", "stem", "subword", "semantic_similarity", "word_document", "topic_document")
 ALIASES = {"co-occurrence": "cooccurrence", "co_occurrence": "cooccurrence", "semantic": "semantic_similarity", "word-doc": "word_document", "word_doc": "word_document", "topic-doc": "topic_document", "topic_doc": "topic_document"}

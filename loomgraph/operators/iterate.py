@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` as a table in spark.checkpoint.dir, which driver and executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/loomgraph/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)  # when the application ends
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import cut
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6, nodes: DataFrame | None = None) -> DataFrame:
