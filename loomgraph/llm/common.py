@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,41 +11,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import cut, drop_at_exit, scratch_path, shared_dir  # noqa: F401
+
 #: ASCII white space, as `bytes.split()` sees it: space and \x09-\x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-
-
-def drop_at_exit(spark: SparkSession, path: str) -> None:
-    """Have a written folder removed when the application ends."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write `df` to the shared folder and read it back: later stages survive the loss of any executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    drop_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def broadcast_if_small(df: DataFrame, max_rows: int, entries: Column | None = None) -> DataFrame:
+    """Hint a broadcast if a count shows that `df` (a written table) has at most `max_rows` rows, else leave the join to a shuffle. `entries`: what a row counts for, where it holds an array."""
+    if entries is None:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if (df.agg(F.sum(entries)).collect()[0][0] or 0) <= max_rows else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast if a count shows that `df` (a written table) has at most `max_rows` rows, else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:

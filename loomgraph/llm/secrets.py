@@ -9,7 +9,8 @@ Trigrams are taken over ASCII-lower-cased bytes, so that one index serves rules
 
 Defined results: null text is empty and has no spans; repeated rows give one row each; spans
 are code points, end exclusive, ordered by start and then by the order of the rules; only the
-id and text columns are read. Memory per task grows with one block, or one longest text.
+id and text columns are read, so others of any name do no harm; an empty table gives an empty
+table. Memory per task grows with one block, or one longest text.
 """
 
 from __future__ import annotations
@@ -152,15 +153,19 @@ class TrigramIndex:
         if len(joined) < 3 or not wanted:
             return
         starts = np.r_[0, np.cumsum([len(t) + 2 for t in texts])]
-        codes = joined[:-2].astype(np.int32)
+        codes = joined[:-2].astype(np.uint32)
         codes <<= 8
         codes |= joined[1:-1]
         codes <<= 8
         codes |= joined[2:]
-        known = np.zeros(1 << 24, bool)
         numbers = {int.from_bytes(t, "big"): t for t in wanted}
-        known[list(numbers)] = True
-        at = np.flatnonzero(known[codes])
+        # a small table of hashes rules most places out, a search settles the rest
+        asked = np.array(sorted(numbers), np.uint32)
+        slot = lambda c: (c * np.uint32(2654435761)) >> np.uint32(18)
+        marked = np.zeros(1 << 14, bool)
+        marked[slot(asked)] = True
+        at = np.flatnonzero(marked[slot(codes)])
+        at = at[asked[np.minimum(np.searchsorted(asked, codes[at]), len(asked) - 1)] == codes[at]]
         if not len(at):
             return
         found, text = codes[at], np.searchsorted(starts, at, "right") - 1
@@ -221,7 +226,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
         values = pa.StructArray.from_arrays([pa.array([kinds[k] for _, k, _ in flat], pa.string()), pa.array([a for a, _, _ in flat], pa.int64()), pa.array([b for _, _, b in flat], pa.int64())], ["kind", "start", "end"])
         return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=schema.names)
 
-    return map_chunks(rows, work, schema, chunk_bytes=4 << 20)
+    return map_chunks(rows, work, schema, chunk_bytes=1 << 20)
 
 
 def redact(text: F.Column, spans: F.Column) -> F.Column:
