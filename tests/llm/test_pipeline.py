@@ -5,6 +5,7 @@ import re
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm import bpe, secrets
@@ -83,3 +84,48 @@ def test_stages_keep_the_columns(spark, tables):
     assert corpus_pipeline.secret_stage(spark, docs, path).count() == len(rows)
     assert all(stage(spark, docs.limit(0), path).count() == 0 for _, stage in corpus_pipeline.STAGES)
     assert {r.kind for r in secrets.RULES} >= {"assign", "access", "hex"}
+
+
+CLASHES = ("row_hash", "spans", "gone", "gone_id", "gone_h", "hit", "hit_id", "hit_h", "again", "key", "h", "id", "class_id", "kept", "n_words", "bands", "a.b", "tags")
+
+
+def test_columns_of_clashing_names_pass_through(spark, tables):
+    path, rows, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for c in CLASHES[:-1]:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs = docs.withColumn("tags", F.create_map(F.lit("t"), F.col("doc_id")))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r.doc_id), str(r.text)) for r in stage(spark, plain, path).collect()), name
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in got for c in CLASHES[:-1]), name
+        assert all(r.tags == {"t": r.doc_id} for r in got), name
+    last = corpus_pipeline.token_stage(spark, docs, path)
+    assert last.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and last.count() == len(rows)
+
+
+def test_of_rows_that_repeat_id_and_text_the_least_stays(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "b", "x"), (1, text, "a", "z"), (1, text, "a", "y"), (1, text, None, "q"), (2, text, "0", "0"), (3, None, "n", "2"), (3, None, "n", "1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = sorted((r.doc_id, r.lang, r.source) for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect() if r.doc_id == 1)
+    assert got == [(1, None, "q")]
+    got = [(r.lang, r.source) for r in corpus_pipeline.near_duplicate_stage(spark, docs.filter("doc_id = 3"), str(tmp_path)).collect()]
+    assert got == [("n", "1")]
+
+
+def test_very_long_texts_pass_every_stage(spark, tables, tmp_path):
+    path, _, _ = tables
+    rng = random.Random(2)
+    long = " ".join(f"l{rng.randrange(10**9)}" for _ in range(300_000))
+    again = long.replace(long.split()[7], "token: abcdefgh1234")
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, again, "en", "s", len(again)), (3, "y " * 400_000, "en", "s", 800_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, path).select("doc_id").orderBy("doc_id").collect()] == [1, 2]
+    assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, path).select("doc_id").orderBy("doc_id").collect()] == [1, 3]
+    assert corpus_pipeline.decontamination_stage(spark, docs, path).count() == 3
+    clean = {r.doc_id: r for r in corpus_pipeline.secret_stage(spark, docs, path).collect()}
+    assert clean[1].text == long and "<assign>" in clean[2].text and clean[2].n_chars == len(clean[2].text)
+    assert corpus_pipeline.token_stage(spark, docs, path).filter("n_tokens > 300000").count() == 3
