@@ -38,7 +38,7 @@ from .common import give_back, id_and_text, small_batches
 
 BLOCK_BYTES = 12 << 20
 #: Bytes of text for each segment of pieces.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
 LEAST_SEGMENTS = 32
 #: Bytes of text that are cut at once.
 CUT_BYTES = 1 << 20
@@ -304,14 +304,19 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Block:
     """Texts that were cut together: their pieces as numbers by descending frequency."""
 
-    def __init__(self, parts: list[tuple], path: str, segments: int):
-        data, lengths, one, two = (np.concatenate(x) for x in zip(*((p[0], p[1], p[3], p[4]) for p in parts)))
-        self.counts = np.concatenate([p[2] for p in parts])
+    def __init__(self, parts: list[list[np.ndarray]], path: str, segments: int):
+        """`parts`: lists of bytes, lengths, counts of texts and both hashes; emptied."""
+        whole = []
+        for part in parts:  # one after another, so that few are held twice
+            whole.append(np.concatenate(part))
+            part.clear()
+        data, lengths, self.counts, one, two = whole
+        del whole
         at, number = distinct(one, two)
         self.key = hashlib.blake2b(one[at].tobytes() + two[at].tobytes(), digest_size=16).hexdigest()
-        starts = (np.cumsum(lengths) - lengths)[at]
-        blob = data.tobytes()
-        self.pieces = [blob[a:b] for a, b in zip(starts.tolist(), (starts + lengths[at]).tolist())]
+        ends = np.cumsum(lengths)[at]
+        blob = memoryview(data)
+        self.pieces = [bytes(blob[a:b]) for a, b in zip((ends - lengths[at]).tolist(), ends.tolist())]
         ranks = _ranks(path)
         token = np.fromiter((ranks.get(p, -1) for p in self.pieces), np.int32, len(at))
         segment = (one[at] % np.uint64(segments)).astype(np.int64)
@@ -327,7 +332,7 @@ class Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, segments: int, block_bytes: int) -> Iterator[tuple[pa.Array, Block]]:
     """(ids, block) for runs of rows (id, text) of about `block_bytes`; a longer text is a block alone."""
-    ids, parts, held = [], [], 0
+    ids, parts, held = [], [[] for _ in range(5)], 0
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
@@ -338,13 +343,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, segments
             size = int(sizes[first:last].sum())
             if held and held + size > block_bytes:
                 yield pa.concat_arrays(ids), Block(parts, path, segments)
-                ids, parts, held = [], [], 0
+                ids, held = [], 0
             data, lengths, counts = cut_pieces(texts.slice(first, last - first).to_pylist(), pattern)
-            parts.append((data, lengths, counts, *piece_hashes(data, lengths)))
+            for part, found in zip(parts, (data, lengths.astype(np.int32), counts, *piece_hashes(data, lengths))):
+                part.append(found)
             ids.append(batch.column(0).slice(first, last - first))
             held += size
             first = last
-    if parts:
+    if ids:
         yield pa.concat_arrays(ids), Block(parts, path, segments)
 
 
