@@ -29,10 +29,17 @@ STOP_WORDS = (
     "تا", "در", "را", "شد", "شود", "شده", "کرده", "کند", "کنند", "قابل", "نماند", "تواند", "توانند", "که", "کرد", "می", "می‌کند", "می‌کنند", "می‌تواند", "می‌توانند", "نمی‌کند", "گفتم", "بود",
     "ام", "ات", "اش", "مان", "تان", "شان", "هم", "نیز", "و", "یا", "یک", "ها", "های", "هایی", "تر", "ترین",
 )
+# Node types that are no concepts.
 NODE_TYPES_WITHOUT_CONCEPT = ("doc", "document", "sentence", "topic", "context")
 # Nouns that open a name.
 NAME_NOUNS = ("شرکت", "سازمان", "دانشگاه", "وزارت", "پژوهشگاه", "مرکز", "دکتر", "مهندس")
-HATE_LABELS = ("hate", "hateful", "toxic", "1", "true", "yes")
+# Labels that count as hate and as normal.
+HATE_LABELS = ("1", "true", "hate", "hateful", "toxic", "نفرت")
+NORMAL_LABELS = ("0", "false", "normal", "safe", "neutral", "عادی")
+# Punctuation that augmentation drops.
+AUGMENT_PUNCTUATION = "[،؛:,.!?؟]+"
+# Tokens that stand for no text, by id.
+SPECIAL_TOKENS = ("<pad>", "<unk>", "<bos>", "<eos>", "<mask>")
 
 # White space as Python's str.split() sees it, as a character class that Java and RE2 read alike.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

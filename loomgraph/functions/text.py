@@ -53,9 +53,9 @@ def ascii_digits(column: str | Column) -> Column:
     return F.translate(_c(column), K.DIGITS_FROM + K.SEPARATORS_FROM, K.DIGITS_TO + K.SEPARATORS_TO)
 
 
-def drop_marks(column: str | Column) -> Column:
-    """Without tatweel, diacritics and zero-width characters other than the half-space."""
-    return F.translate(_c(column), K.TATWEEL + K.DIACRITICS + K.ZERO_WIDTH, "")
+def drop_marks(column: str | Column, tatweel: bool = True, diacritics: bool = True) -> Column:
+    """Without tatweel, diacritics and zero-width characters other than the half-space; the last always go."""
+    return F.translate(_c(column), (K.TATWEEL if tatweel else "") + (K.DIACRITICS if diacritics else "") + K.ZERO_WIDTH, "")
 
 
 def half_space(column: str | Column, mode: str = "preserve") -> Column:
@@ -79,23 +79,22 @@ def normalize(
     hamza: bool = True,
     ezafe_mode: str | None = "marker",
     digits: bool = True,
-    marks: bool = True,
+    tatweel: bool = True,
+    diacritics: bool = True,
     half_space_mode: str = "preserve",
 ) -> Column:
-    """The configurable normaliser: Unicode form, ezafe, letters, digits, marks, half-space, white space."""
+    """The configurable normaliser: Unicode form, letters, hamza, ezafe, digits, marks, half-space, white space, in this order."""
     c = _c(column)
     if form:
         c = unicode_form(c, form)
-    if ezafe_mode:
-        c = ezafe(c, ezafe_mode)
     c = unify_letters(c)
     if hamza:
         c = fold_hamza(c)
+    if ezafe_mode:  # after the letters, which give heh, and before the marks, which hold its hamza
+        c = ezafe(c, ezafe_mode)
     if digits:
         c = ascii_digits(c)
-    if marks:
-        c = drop_marks(c)
-    return collapse_space(half_space(c, half_space_mode))
+    return collapse_space(half_space(drop_marks(c, tatweel, diacritics), half_space_mode))
 
 
 def preprocess(column: str | Column) -> Column:
@@ -273,7 +272,9 @@ def contains_any(column: str | Column, terms: list[str]) -> Column:
 
 
 def hate_label(column: str | Column) -> Column:
-    return F.when(F.lower(F.trim(_c(column).cast("string"))).isin(*K.HATE_LABELS), "hate").otherwise("normal")
+    """hate or normal for the labels that stand for them; any other comes back in lower case."""
+    c = F.lower(F.regexp_replace(_c(column).cast("string"), f"^{K.SPACE}+|{K.SPACE}+$", ""))
+    return F.when(c.isin(*K.HATE_LABELS), "hate").when(c.isin(*K.NORMAL_LABELS), "normal").otherwise(c)
 
 
 def entities(column: str | Column, limit: int = 12) -> Column:
@@ -298,7 +299,8 @@ def looks_like_poetry(column: str | Column, median: int = 60, longest: int = 110
 
 
 def clean_wiki(column: str | Column) -> Column:
-    return collapse_space(F.translate(F.regexp_replace(_c(column), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), "يك", "یک"))
+    letters = F.translate(half_space(column, "split"), "يك", "یک")
+    return collapse_space(F.regexp_replace(letters, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "))
 
 
 def term_hits(column: str | Column, terms: list[str]) -> Column:
@@ -312,6 +314,68 @@ def drop_tokens(tokens: str | Column, key: str | Column, share: float, minimum:
     return F.when(F.size(kept) >= minimum, kept).otherwise(t)
 
 
+def augment_text(column: str | Column, key: str | Column, punctuation: float = 0.5, share: float = 0.05, minimum: int = 3, seed: int = 0) -> Column:
+    """A text without punctuation in about `punctuation` of all texts and without about `share` of its words; both chosen by hashes of seed, key and place."""
+    c = _c(column)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), _c(key), F.lit("punctuation")), F.lit(1_000_000)) < int(punctuation * 1_000_000)
+    words = F.filter(F.split(F.when(drawn, F.regexp_replace(c, K.AUGMENT_PUNCTUATION, " ")).otherwise(c), K.SPACE + "+"), lambda w: w != "")
+    kept = F.when(F.size(words) > minimum, drop_tokens(words, key, share, minimum, seed)).otherwise(words)
+    return F.array_join(kept, " ")
+
+
+def byte_tokens(token: str | Column) -> Column:
+    """The names of the byte tokens that spell a token in UTF-8."""
+    digits = F.hex(F.encode(_c(token), "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.concat(F.lit("<0x"), F.substring(digits, i, F.lit(2)), F.lit(">")))
+
+
+def join_byte_tokens(tokens: str | Column) -> Column:
+    """Tokens with runs of byte tokens as one token each, the text that the bytes spell; what is no UTF-8 becomes U+FFFD."""
+
+    @F.pandas_udf("array<string>")
+    def joined(column: pd.Series) -> pd.Series:
+        def one(found) -> list[str]:
+            out, held = [], bytearray()
+            for t in found:
+                if len(t) == 6 and t.startswith("<0x") and t.endswith(">") and all(c in "0123456789abcdefABCDEF" for c in t[3:5]):
+                    held.append(int(t[3:5], 16))
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held = bytearray()
+                out.append(t)
+            return out + [held.decode("utf-8", "replace")] if held else out
+
+        return column.map(lambda x: None if x is None else one(x))
+
+    t = _c(tokens)
+    # rows without byte tokens stay in the JVM
+    some = F.exists(t, lambda x: x.startswith("<0x"))
+    return F.when(some, joined(F.when(some, t))).otherwise(t)
+
+
+def focus_terms(task: str | Column, limit: int = 12) -> Column:
+    """Concept roots that a task asks about: the parts of `relation between ...` if it says so, else its words; distinct, in order."""
+    c = _c(task)
+    between = F.regexp_extract(c, rf"(?s)رابطه{K.SPACE}+میان{K.SPACE}+(.+?)(?:چیست|است|هست|[؟?]|$)", 1)
+    parts = F.when(between != "", _kept(F.split(between, rf"[،,\n]|{K.SPACE}+و{K.SPACE}+"))).otherwise(tokenize(c))
+    roots = F.transform(parts, concept_root)
+    return F.slice(F.array_distinct(F.filter(roots, is_meaningful)), 1, limit)
+
+
+def response_plan(task: str | Column) -> Column:
+    """The kinds of answer that the words of a task ask for: summary, concepts, relations, evidence, comparison; structure if none."""
+    c = _c(task)
+    asks = lambda *words: reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+    found = F.array_compact(
+        F.array(
+            F.when(asks("خلاصه"), "summary"), F.when(asks("تحلیل", "مفهوم"), "concepts"), F.when(asks("رابطه"), "relations"),
+            F.when(asks("شواهد", "توضیح", "چرا"), "evidence"), F.when(asks("مقایسه"), "comparison"),
+        )
+    )
+    return F.when(F.size(found) == 0, F.array(F.lit("structure"))).otherwise(found)
+
+
 def decode_tokens(tokens: str | Column) -> Column:
     """Tokens as text: ## pieces joined, punctuation attached again."""
     text = F.regexp_replace(F.array_join(_c(tokens), " "), r" ##|^##", "")

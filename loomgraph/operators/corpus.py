@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -24,7 +26,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return keyed.join(keyed.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")), "text_hash").select("doc_id", "text_hash", "first_id")
 
 
-def earliest_accepted(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def earliest_accepted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, accepted): in id order a node is accepted unless one accepted before it is its neighbour; `pairs` (src < dst).
 
     Each round settles every node whose earlier neighbours are all settled, so rounds are as many
@@ -33,9 +35,7 @@ def earliest_accepted(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 1000
     open_pairs = cut(pairs.select("src", "dst"))
     decided = None
     waiting = cut(open_pairs.select(F.col("src").alias("node")).union(open_pairs.select(F.col("dst").alias("node"))).distinct())
-    for _ in range(max_rounds):
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():  # the least waiting node is never blocked, so each round settles some
         blocked = open_pairs.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         won = cut(waiting.join(blocked, "node", "left_anti"))
         lost = cut(open_pairs.join(won.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(waiting, "node", "left_semi"))
@@ -44,8 +44,6 @@ def earliest_accepted(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 1000
         gone = step.select("node")
         waiting = cut(waiting.join(gone, "node", "left_anti"))
         open_pairs = cut(open_pairs.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    else:
-        raise RuntimeError("decisions did not settle")
     if decided is None:
         return nodes.select("node", F.lit(True).alias("accepted"))
     return nodes.join(decided, "node", "left").select("node", F.coalesce("accepted", F.lit(True)).alias("accepted"))
@@ -113,23 +111,61 @@ def split_counts(n: int, val: float, test: float) -> tuple[int, int]:
     return min(v, max(0, n - t - 1)), t
 
 
-def split(records: DataFrame, val: float = 0.1, test: float = 0.05, seed: int = 0, key: str = "text_hash") -> DataFrame:
-    """`records` with `split` (train, validation, test): exact counts, members by a hash of the seed and key.
-
-    The cut points are two order statistics of the hash, read from the range-sorted hashes, so
-    the rows themselves are neither sorted nor ranked in one place.
+def article_split_counts(n: int, val: float) -> tuple[int, int]:
+    """(validation, test) rows of n articles: at least one and not all where the ratio asks for some."""
+    return (0, 0) if n <= 1 or val == 0 else (max(1, min(n - 1, round(n * val))), 0)
+
+
+def dataset_split_counts(n: int, train: float, val: float, test: float) -> tuple[int, int]:
+    """(validation, test) rows of n by ratios that are scaled to 1; the larger of both gives way until one row is left to train on."""
+    if n <= 0 or min(train, val, test) < 0 or train + val + test <= 0:
+        raise ValueError("rows and ratios must be positive")
+    if n == 1:
+        return 0, 0
+    whole = train + val + test
+    v, t = round(n * (val / whole)) if val else 0, round(n * (test / whole)) if test else 0
+    v = max(1, v) if val and n >= 3 else v
+    t = max(1, t) if test else t
+    over = v + t - (n - 1)
+    while over > 0:  # evens both out, then takes from each in turn
+        v, t = (v - 1, t) if v >= t and v else (v, t - 1)
+        over -= 1
+    return v, t
+
+
+def smallest_key(keys: DataFrame, k: int, column: str, digits: int = 3) -> str:
+    """The k-th smallest (from 1) of hexadecimal `column`: histograms of ever longer prefixes, 16 ** `digits` rows each, so no keys are gathered or sorted."""
+    prefix, left = "", k
+    width = len(keys.select(column).first()[0])
+    while len(prefix) < width:
+        size = min(digits, width - len(prefix))
+        found = keys.filter(F.col(column).startswith(prefix)) if prefix else keys
+        rows = sorted((r.p, r["count"]) for r in found.groupBy(F.substring(column, len(prefix) + 1, size).alias("p")).count().collect())
+        for p, n in rows:
+            if left <= n:
+                break
+            left -= n
+        prefix += p
+        if n == 1:  # one key is left
+            return keys.filter(F.col(column).startswith(prefix)).select(column).first()[0]
+    return prefix
+
+
+def split(records: DataFrame, val: float = 0.1, test: float = 0.05, seed: int = 0, key: str = "text_hash", counts: tuple[int, int] | None = None) -> DataFrame:
+    """`records` with `split` (train, validation, test): exact counts, members by a hash of the seed and key; `counts` (validation, test) may state them.
+
+    Rows of one key fall together, so counts are exact as far as keys differ. The cut points are
+    two order statistics, found by histograms of the hashes' prefixes.
     """
-    n = records.count()
-    v, t = split_counts(n, val, test)
     u = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256)
+    keys = cut(records.select(u.alias("split_key")))
+    v, t = counts or split_counts(keys.count(), val, test)
     ranked = records.withColumn("split_key", u)
-    edges = [r[0] for r in ranked.select("split_key").orderBy("split_key").limit(v + t).agg(F.sort_array(F.collect_list("split_key")).alias("k")).select(F.explode(F.expr(f"array(element_at(k, {max(t, 1)}), element_at(k, {max(v + t, 1)}))"))).collect()] if v + t else [None, None]
-    low, high = edges
     kind = F.lit("train")
     if v:
-        kind = F.when(F.col("split_key") <= high, "validation").otherwise(kind)
+        kind = F.when(F.col("split_key") <= smallest_key(keys, v + t, "split_key"), "validation").otherwise(kind)
     if t:
-        kind = F.when(F.col("split_key") <= low, "test").otherwise(kind)
+        kind = F.when(F.col("split_key") <= smallest_key(keys, t, "split_key"), "test").otherwise(kind)
     return ranked.withColumn("split", kind).drop("split_key")
 
 
@@ -183,6 +219,30 @@ def metadata_profile(records: DataFrame, column: str = "metadata") -> DataFrame:
     return keys.union(records.select(F.lit("source"), first.alias("name")).filter("name IS NOT NULL")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def audit(docs: DataFrame, text_col: str = "text", metadata_col: str | None = None) -> DataFrame:
+    """(section, name, value) of a corpus: lengths, characters by class, duplicates, and metadata counts if `metadata_col` (a map) is named."""
+    def long(row: DataFrame, section: str) -> DataFrame:
+        named = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in row.columns))
+        return row.select(F.lit(section).alias("section"), F.explode(named).alias("x")).select("section", "x.name", "x.value")
+
+    parts = [long(length_stats(docs, text_col), "length"), long(char_profile(docs, text_col), "characters"), long(duplicate_count(docs, text_col), "duplicates")]
+    if metadata_col is not None:
+        parts.append(metadata_profile(docs, metadata_col).select(F.concat(F.lit("metadata "), "kind").alias("section"), "name", F.col("n").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def select_poems(rows: DataFrame, poets: list[str] | None = None, keep_prose: bool = False, min_chars: int = 20, max_chars: int | None = None, limit: int | None = None, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """Rows (id, poet, text) of the named poets that look like verse, cleaned to one line, in a hashed order; `limit` takes the first so many."""
+    out = rows.filter(F.trim("poet").isin(*poets)) if poets else rows
+    if not keep_prose:
+        out = out.filter(X.looks_like_poetry("text"))
+    clean = X.clean_wiki(F.col("text"))
+    clean = F.trim(F.substring(clean, 1, max_chars)) if max_chars else clean
+    out = out.withColumn("display", F.trim("text")).withColumn("text", clean).filter(F.length("text") >= min_chars)
+    out = out.orderBy(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), id_col)
+    return out.limit(limit) if limit else out
+
+
 def prepare_articles(articles: DataFrame, min_body: int = 80) -> DataFrame:
     """Articles (title, body, keywords) with line and reason: missing_body, body_too_short, or null."""
     body = X.collapse_space(F.coalesce("body", F.lit("")))

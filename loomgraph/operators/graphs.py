@@ -72,6 +72,14 @@ def cooccurrence(arrays: DataFrame, window: int = 2, min_count: int = 1) -> Data
     return counts.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.when(F.col("a") == F.col("b"), F.col("n") * 4).otherwise(F.col("n") * 2).cast("double").alias("weight"))
 
 
+def cooccurrence_degrees(arrays: DataFrame, window: int = 2) -> DataFrame:
+    """(node, weighted_degree): row sums of `cooccurrence` of both directions. A position adds twice its neighbours, which it knows by its place, so no pair is made."""
+    # the size beside the positions, not in a lambda, where the tokens would be made again for each position
+    each = arrays.select(F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "node"))
+    near = 2 * (F.least("i", F.lit(window)) + F.least(F.col("n") - 1 - F.col("i"), F.lit(window)))
+    return each.groupBy("node").agg(F.sum(near).cast("double").alias("weighted_degree")).filter("weighted_degree > 0")
+
+
 def cooccurrence_matrix(arrays: DataFrame, window: int = 2) -> DataFrame:
     """(src, dst, weight), src <= dst: pairs of positions, twice for a token with itself."""
     return pair_counts(arrays, window).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.when(F.col("a") == F.col("b"), F.col("n") * 2).otherwise(F.col("n")).cast("double").alias("weight"))
@@ -137,14 +145,14 @@ def distance_cooccurrence(arrays: DataFrame, window: int = 4) -> DataFrame:
     return sums.select("src", "dst", (F.col("parts") / whole).alias("weight"))
 
 
-def association(edges: DataFrame, words: DataFrame, kind: str) -> DataFrame:
-    """Weights of undirected `edges` (once each pair) as pmi or ppmi over their own sum; `words`: (token, freq)."""
+def association(edges: DataFrame, words: DataFrame, kind: str, ways: int = 2) -> DataFrame:
+    """Weights of undirected `edges` (once each pair; directed ones with `ways` 1) as pmi or ppmi over their own sum; `words`: (token, freq)."""
     if kind in ("distance", "count", "raw"):
         return edges
     if kind not in ("pmi", "ppmi"):
         raise ValueError("kind must be distance, count, raw, pmi or ppmi")
     edges, words = cut(edges), cut(words)  # read twice each: for their sums and for themselves
-    totals = edges.agg((2 * F.sum("weight")).alias("mass")).crossJoin(words.agg(F.sum("freq").alias("words")))
+    totals = edges.agg((ways * F.sum("weight")).alias("mass")).crossJoin(words.agg(F.sum("freq").alias("words")))
     f = words.select("token", "freq")
     joined = edges.join(f.withColumnRenamed("token", "src").withColumnRenamed("freq", "fs"), "src").join(f.withColumnRenamed("token", "dst").withColumnRenamed("freq", "fd"), "dst").crossJoin(F.broadcast(totals))
     floor = F.lit(1e-12)
@@ -294,8 +302,8 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     labels = edges.select(F.col("src").alias("label")).union(edges.select(F.col("dst").alias("label"))).distinct()
     kind = F.when(F.col("label").startswith("document:"), "document").when(F.col("label").startswith("topic:"), "topic").when(F.col("label").startswith("sentence:"), "sentence").otherwise("token")
     typed = labels.withColumn("node_type", kind)
-    order = Window.orderBy(F.when(F.col("node_type") == "token", F.lit("")).otherwise(F.col("node_type")), "label")
-    return typed.select((F.row_number().over(order) - 1).cast("long").alias("node_id"), "label", "node_type")
+    order = [F.when(F.col("node_type") == "token", F.lit("")).otherwise(F.col("node_type")), F.col("label")]
+    return TK.ranked(typed, order, "node_id").select("node_id", "label", "node_type")
 
 
 # graphs from other tables
@@ -314,6 +322,34 @@ def semantic_graph(relations: DataFrame, vectors: DataFrame | None = None, thres
     return parts.unionByName(back).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
+def heads_graph(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed sentences, rows (sentence, word, head, text), words numbered from 1, head 0 for a root.
+
+    A node is an occurrence (sentence, word, text), not a type; an edge goes from head to word
+    and weighs 1 for each time it is stated. The parse comes as a table, from any parser.
+    """
+    nodes = words.select("sentence", "word", "text").distinct()
+    node = lambda w: F.concat_ws(":", F.col("sentence").cast("string"), F.col(w).cast("string"))
+    edges = words.filter("head <> 0").select(node("head").alias("src"), node("word").alias("dst"))
+    return nodes.select(node("word").alias("node"), "sentence", "word", "text"), edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def ids_graph(sequences: DataFrame, window: int = 4, kind: str = "distance", min_weight: float = 0.0, top_k: int | None = None, directed: bool = True, special: int = 5) -> DataFrame:
+    """(src, dst, weight) between token ids of (seq_id, ids), ids below `special` left out before distances count; directed edges follow the text. Sums of 1/k are exact."""
+    from math import lcm
+
+    kept = sequences.select(F.filter("ids", lambda i: i >= special).alias("tokens"))
+    whole = lcm(*range(1, window + 1))
+    pairs = near_pairs(kept, window).filter("a <> b")
+    part = reduce(lambda c, k: c.when(F.col("k") == k, whole // k), range(2, window + 1), F.when(F.col("k") == 1, whole))
+    ends = (F.col("a"), F.col("b")) if directed else (F.least("a", "b"), F.greatest("a", "b"))
+    base = pairs.groupBy(ends[0].alias("src"), ends[1].alias("dst")).agg((F.sum(part.cast("long")) / whole).alias("weight"))
+    words = frequent(kept, 1)
+    if kind in ("pmi", "ppmi"):
+        base = association(base, words, kind, 1 if directed else 2)
+    return prune(base if directed else both_ways(base), top_k, min_weight, undirected=not directed)
+
+
 def social_graph(lines: DataFrame) -> DataFrame:
     """(src, dst, weight), both directions, from (u, v, w, line): the last line of a pair wins; loops are dropped, a missing weight is 1."""
     pairs = lines.filter("u <> v").select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), F.coalesce(F.col("w").cast("double"), F.lit(1.0)).alias("w"), "line")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as X
+from ..scratch import cut
 
 
 def token_arrays(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
@@ -31,7 +35,7 @@ def positions(arrays: DataFrame) -> DataFrame:
 def vocabulary(arrays: DataFrame, min_count: int = 1, max_size: int | None = None) -> DataFrame:
     """(token, cnt, df, first_doc, first_pos, token_id): ids by falling count, then by first occurrence.
 
-    The rank needs one sorted pass over the distinct tokens; with `max_size` only that many travel.
+    Ranks are counted by range partitions, of which only the sizes meet; with `max_size` only that many tokens travel.
     """
     seen = positions(arrays)
     # sums that combine before the shuffle: no distinct set of documents is carried
@@ -41,15 +45,52 @@ def vocabulary(arrays: DataFrame, min_count: int = 1, max_size: int | None = Non
     order = [F.desc("cnt"), F.asc("first_doc"), F.asc("first_pos")]
     if max_size is not None:
         words = words.orderBy(*order).limit(max_size)
-    return words.withColumn("token_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    return ranked(words, order, "token_id")
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """`rows` with `name`, their place from 0 in `order`, a total order: range partitions number their own rows, and only the partitions' sizes are summed in one place."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *order).withColumn("part__", F.spark_partition_id()))
+    sizes = placed.groupBy("part__").agg(F.count(F.lit(1)).alias("size__"))
+    before = sizes.select("part__", F.coalesce(F.sum("size__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base__"))
+    own = F.row_number().over(Window.partitionBy("part__").orderBy(*order)) - 1
+    out = placed.withColumn("own__", own).join(F.broadcast(before), "part__")  # one row a partition
+    return out.withColumn(name, (F.col("base__") + F.col("own__")).cast("long")).drop("part__", "own__", "base__")
 
 
-def encode(arrays: DataFrame, vocab: DataFrame, unknown: int = 1, offset: int = 5) -> DataFrame:
-    """(doc_id, ids): token ids shifted past the special ids, `unknown` for words that the vocabulary lacks."""
+def encode(arrays: DataFrame, vocab: DataFrame, unknown: int = 1, offset: int = 5, bos: int | None = None, eos: int | None = None, byte_fallback: bool = False) -> DataFrame:
+    """(doc_id, ids): token ids shifted past the special ids, between `bos` and `eos` if given.
+
+    Words that the vocabulary lacks become `unknown`, or, with `byte_fallback`, the ids of their
+    UTF-8 bytes, which a vocabulary has as tokens <0x00> to <0xFF>.
+    """
     ids = vocab.select("token", (F.col("token_id") + offset).alias("id"))
-    joined = positions(arrays).join(ids, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown).cast("long")))
-    back = joined.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
-    return arrays.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    joined = positions(arrays).join(ids, "token", "left")
+    if byte_fallback:
+        names = ids.filter(F.col("token").rlike("^<0x[0-9A-F]{2}>$"))
+        missing = joined.filter("id IS NULL").select("doc_id", "pos", F.posexplode_outer(X.byte_tokens("token")).alias("sub", "token"))
+        spelled = missing.join(F.broadcast(names), "token", "left").select("doc_id", "pos", F.coalesce("sub", F.lit(0)).alias("sub"), "id")  # 256 names
+        joined = joined.filter("id IS NOT NULL").select("doc_id", "pos", F.lit(0).alias("sub"), "id").unionByName(spelled)
+    else:
+        joined = joined.withColumn("sub", F.lit(0))
+    one = F.struct("pos", "sub", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
+    back = joined.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["id"]).alias("ids"))
+    found = F.coalesce("ids", F.array().cast("array<bigint>"))
+    ends = [F.array(F.lit(x).cast("long")) if x is not None else F.array().cast("array<bigint>") for x in (bos, eos)]
+    return arrays.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.concat(ends[0], found, ends[1]).alias("ids"))
+
+
+def decode(encoded: DataFrame, vocab: DataFrame, offset: int = 5, skip_special: bool = True) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): special tokens dropped or named, bytes put together, ## pieces joined, punctuation attached. An id that the vocabulary lacks is unknown."""
+    special = encoded.sparkSession.createDataFrame(list(enumerate(K.SPECIAL_TOKENS)), "id long, token string")
+    names = vocab.select((F.col("token_id") + offset).alias("id"), "token").unionByName(special)
+    each = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(names, "id", "left").select("doc_id", "pos", F.coalesce("token", F.lit(K.SPECIAL_TOKENS[1])).alias("token"))
+    if skip_special:
+        each = each.filter(~F.col("token").isin(*K.SPECIAL_TOKENS))
+    back = each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
+    text = encoded.select("doc_id").join(back, "doc_id", "left").select("doc_id", X.join_byte_tokens(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
+    return text.select("doc_id", X.decode_tokens("tokens").alias("text"))
 
 
 def token_statistics(arrays: DataFrame, vocab: DataFrame, chars: DataFrame) -> DataFrame:
@@ -94,3 +135,42 @@ def blocks(arrays: DataFrame, block: int) -> DataFrame:
     edge = placed.filter((F.col("at") % block == 0) & (F.col("at") > 0)).select((F.floor(F.col("at") / block) - 1).alias("block_id"), "at", "token")
     out = mine.union(edge).groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]).alias("tokens"))
     return out.filter((F.col("block_id") == 0) | (F.size("tokens") > 1))
+
+
+def windows(encoded: DataFrame, block: int = 128, stride: int | None = None, pad: int = 0, ignore: int = -100) -> DataFrame:
+    """(example, input_ids, target_ids), `block` long each: windows of the stream of all (doc_id, ids) that start every `stride` tokens, targets shifted by one, padded by `pad` and `ignore`.
+
+    Documents of one id or none are left out. Each token goes to the windows that hold it, so no
+    window is gathered beyond its own length.
+    """
+    if block < 2:
+        raise ValueError("block must be at least 2")
+    step = stride or block
+    kept = encoded.filter(F.size("ids") > 1).select("doc_id", F.col("ids").alias("tokens"))
+    placed = offsets(kept, F.size("tokens")).select("start", F.posexplode("tokens").alias("pos", "id")).select((F.col("start") + F.col("pos")).alias("at"), "id")
+    total = kept.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n"))
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("at") - block) / step))
+    last = F.floor(F.col("at") / step)
+    spread = placed.filter(first <= last).select("at", "id", F.explode(F.sequence(first, last)).alias("example"))
+    held = spread.groupBy("example").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda s: s["id"]).alias("c"))
+    # a window starts before the last token
+    held = held.crossJoin(F.broadcast(total)).filter((F.col("example") * step < F.greatest(F.col("n") - 1, F.lit(1))) & (F.size("c") > 1))
+    blank = lambda v: F.array_repeat(F.lit(v).cast("long"), F.lit(block) - F.size("c") + 1)
+    return held.select("example", F.concat(F.slice("c", F.lit(1), F.size("c") - 1), blank(pad)).alias("input_ids"), F.concat(F.slice("c", F.lit(2), F.size("c") - 1), blank(ignore)).alias("target_ids"))
+
+
+def curriculum(examples: DataFrame, ignore: int = -100) -> DataFrame:
+    """`windows` with labels (targets that count), in the order of training from short to long: by labels, then by number."""
+    return examples.withColumn("labels", F.size(F.filter("target_ids", lambda t: t != ignore))).orderBy("labels", "example")
+
+
+def compare_tokenizers(texts: DataFrame, variants: dict[str, Column], min_count: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`token_statistics` and the vocabulary's size of each named way to make tokens of the same texts."""
+    chars = texts.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"))
+    rows = []
+    for name, tokens in variants.items():
+        arrays = token_arrays(texts, tokens, id_col)
+        words = arrays.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= min_count)
+        stats = token_statistics(arrays, words, chars).crossJoin(words.agg(F.count(F.lit(1)).alias("vocab_size")))
+        rows.append(stats.select(F.lit(name).alias("tokenizer"), "*"))
+    return reduce(DataFrame.unionByName, rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..layout import spread
 from ..operators import algebra, corpus, gnn, graphs, iterate, similarity, tasks
 from ..operators import tokens as TK
 
@@ -33,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,14 +46,14 @@ def r6(name: str, alias: str | None = None):
 
 
 # pieces of SQL
-TOK = f"tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{K.WORD}') AS t FROM documents)"
-POS = f"{TOK}, pos AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM tok)"
-FREQ = "freq AS (SELECT token, count(*) AS f FROM pos GROUP BY token)"
+TOK = f"tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{K.WORD}') AS t FROM documents)"
+POS = f"{TOK}, pos AS MATERIALIZED (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM tok)"
+FREQ = "freq AS MATERIALIZED (SELECT token, count(*) AS f FROM pos GROUP BY token)"
 
 
 def pairs_sql(window: int, source: str = "pos") -> str:
     parts = " UNION ALL ".join(f"SELECT token AS a, lead(token, {k}) OVER w AS b, {k} AS k FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)" for k in range(1, window + 1))
-    return f"pr AS (SELECT * FROM ({parts}) WHERE b IS NOT NULL), cnt AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM pr GROUP BY ALL)"
+    return f"pr AS MATERIALIZED (SELECT * FROM ({parts}) WHERE b IS NOT NULL), cnt AS MATERIALIZED (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM pr GROUP BY ALL)"
 
 
 def both_sql(source: str, columns: str = "weight") -> str:
@@ -183,7 +184,7 @@ def _(s, d):
 t AS (SELECT src AS node, sum(weight) AS weighted_degree FROM s WHERE length(src) >= 2 AND NOT regexp_full_match(src, '\\p{{Nd}}+') GROUP BY src ORDER BY 2 DESC, 1 LIMIT 30)
 SELECT node, weighted_degree, round(weighted_degree / max(weighted_degree) OVER (), 6) AS score, row_number() OVER (ORDER BY weighted_degree DESC, node) AS rank FROM t""")
 def _(s, d):
-    return algebra.top_nodes(graphs.both_ways(graphs.cooccurrence(arrays(s, d), 3)), 30).withColumn("rank", F.col("rank").cast("long"))
+    return algebra.heaviest(graphs.cooccurrence_degrees(arrays(s, d), 3), 30).withColumn("rank", F.col("rank").cast("long"))
 
 
 _PMI = f"""{POS}, {FREQ}, {pairs_sql(5)}, v AS (SELECT * FROM freq WHERE f >= 5), c AS (SELECT a, b, n, x.f AS fa, y.f AS fb FROM cnt JOIN v x ON x.token = a JOIN v y ON y.token = b),
@@ -404,10 +405,18 @@ def _(s, d):
 # similarity
 
 
-@query("document_similarity_pairs", f"""WITH {_TFIDF}, u AS (SELECT doc_id, token, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight FROM tfidf),
-c AS (SELECT a.doc_id AS src, b.doc_id AS dst, sum(a.weight * b.weight) AS weight FROM u a JOIN u b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL) SELECT src, dst, round(weight, 6) AS weight FROM c WHERE weight >= 0.5""")
+def members_and_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of two kinds: `member` (src a document, dst its class's least id) and `pair` (src and dst two such ids). Copies are given by their members, not by all pairs of them."""
+    one = members.select(F.lit("member").alias("kind"), F.col("doc_id").alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("weight"))
+    return one.unionByName(pairs.select(F.lit("pair").alias("kind"), "src", "dst", r6("weight")))
+
+
+@query("document_similarity_pairs", f"""WITH {_TFIDF}, cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(t)) AS rep FROM tok),
+u AS (SELECT doc_id, token, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight FROM tfidf WHERE doc_id IN (SELECT rep FROM cl)),
+c AS (SELECT a.doc_id AS src, b.doc_id AS dst, sum(a.weight * b.weight) AS weight FROM u a JOIN u b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT 'member' AS kind, doc_id AS src, rep AS dst, CAST(1 AS DOUBLE) AS weight FROM cl UNION ALL SELECT 'pair', src, dst, round(weight, 6) FROM c WHERE round(weight, 9) >= 0.5""")
 def _(s, d):
-    return similarity.document_pairs(arrays(s, d), 0.5).select("src", "dst", r6("weight"))
+    return members_and_pairs(*similarity.document_pairs(arrays(s, d), 0.5))
 
 
 @query("recommend_similar", f"""WITH q AS (SELECT regexp_extract_all('the thing and that nation of der und', '{K.WORD}') AS t), {TOK},
@@ -438,11 +447,13 @@ def _(s, d):
 _KEY = f"regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '{K.SPACE}+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}_{K.ARABIC_BLOCK}{K.ZWNJ}]+', '', 'g')"
 
 
-@query("near_duplicate_pairs", f"""WITH k AS (SELECT doc_id, {_KEY} AS k FROM documents), g AS (SELECT doc_id, unnest(list_distinct([substr(k, i, 13) FOR i IN range(1, greatest(length(k) - 12, 1) + 1)])) AS g FROM k WHERE k <> ''),
+@query("near_duplicate_pairs", f"""WITH k AS MATERIALIZED (SELECT doc_id, {_KEY} AS k FROM documents), cl AS MATERIALIZED (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY k) AS rep FROM k WHERE k <> ''),
+g AS MATERIALIZED (SELECT doc_id, unnest(list_distinct([substr(k, i, 13) FOR i IN range(1, greatest(length(k) - 12, 1) + 1)])) AS g FROM cl WHERE doc_id = rep),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), c AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT src, dst, round(k / (x.n + y.n - k), 6) AS weight FROM c JOIN n x ON x.doc_id = src JOIN n y ON y.doc_id = dst WHERE k / (x.n + y.n - k) >= 0.82""")
+SELECT 'member' AS kind, doc_id AS src, rep AS dst, CAST(1 AS DOUBLE) AS weight FROM cl UNION ALL
+SELECT 'pair', src, dst, round(k / (x.n + y.n - k), 6) FROM c JOIN n x ON x.doc_id = src JOIN n y ON y.doc_id = dst WHERE k / (x.n + y.n - k) >= 0.82""")
 def _(s, d):
-    return similarity.shingle_pairs(docs(s, d)).select("src", "dst", r6("weight"))
+    return members_and_pairs(*similarity.shingle_pairs(docs(s, d)))
 
 
 # corpus

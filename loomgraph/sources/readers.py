@@ -203,3 +203,35 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     single = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("")).alias("content")) for r, f in (("user", "prompt"), ("assistant", "completion"))))
     found = rows.select(F.col("line").alias("conv_id"), F.coalesce(turns, F.when(F.get_json_object("value", "$.completion").isNotNull(), single)).alias("m"))
     return found.select("conv_id", F.posexplode("m").alias("turn", "x")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("x.role", F.lit("user")).alias("role"), F.coalesce("x.content", F.lit("")).alias("text"))
+
+
+def read_eval_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(line, row): evaluation rows as maps of strings; a line that is no JSON object, or a line of plain text, is the map of its `text`. Blank lines go."""
+    fmt = detect_format(path)
+    if fmt in ("csv", "tsv"):
+        table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(path)
+        pairs = [x for c in table.columns for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
+        return table.select((F.monotonically_increasing_id() + 1).alias("line"), F.create_map(*pairs).alias("row"))
+    lines = numbered_lines(spark, path).filter(_strip("value") != "")
+    text = F.create_map(F.lit("text"), F.col("value"))
+    if fmt != "jsonl":
+        return lines.select("line", text.alias("row"))
+    scalar = F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")
+    found = F.when(F.trim("value").startswith("{"), F.from_json("value", "map<string,string>"))
+    return lines.select("line", F.coalesce(found, F.create_map(F.lit("text"), F.coalesce(scalar, F.col("value")))).alias("row"))
+
+
+def read_eval_hashes(spark: SparkSession, paths: list[str], text_fields: tuple[str, ...] = ("text", "body")) -> DataFrame:
+    """(text_hash): hash keys of the records of evaluation files; paths that do not exist are passed over."""
+    out = spark.createDataFrame([], "text_hash string")
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            out = out.union(read_records(spark, path, "auto", text_fields).filter("text <> ''").select(X.text_hash("text")))
+    return out.distinct()
+
+
+def list_catalog(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(name, path, length, modified): the files under a folder whose names match, for listings of models, graphs and runs."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", F.col("modificationTime").alias("modified"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus
 from ..operators import tokens as TK
+from ..scratch import cut
 
 
 def write_corpus(records: DataFrame, verdicts: DataFrame, path: str, val: float = 0.1, test: float = 0.05, seed: int = 0) -> DataFrame:
@@ -50,8 +52,6 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -> Data
 
 def cached_graph(spark: SparkSession, folder: str, key: dict, build) -> tuple[DataFrame, DataFrame, dict]:
     """The graph stored under the hash of `key`, built and stored by `build() -> (nodes, edges)` if it is not there."""
-    import hashlib
-
     path = f"{folder}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/config/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
@@ -70,14 +70,60 @@ def write_token_shards(encoded: DataFrame, path: str, tokens_per_shard: int = 2_
     return part.groupBy("shard").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "h"))), lambda s: s["h"]), ","), 256).alias("digest"))
 
 
+def write_binary_shards(encoded: DataFrame, path: str, split: str = "train", tokens_per_shard: int = 2_000_000) -> DataFrame:
+    """Write (doc_id, ids) as files `split`-00000.tokens.bin of `tokens_per_shard` little-endian int64 each, in document order; returns the manifest (split, path, dtype, num_tokens, sha256).
+
+    A shard is one group of bounded size; `path` must be a folder that all workers share.
+    """
+    size = max(1, tokens_per_shard)
+    placed = TK.offsets(encoded, F.size("ids")).select("start", F.posexplode("ids").alias("pos", "id")).select((F.col("start") + F.col("pos")).alias("at"), F.col("id").cast("long").alias("id"))
+
+    def write(group):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        at, ids = group.column("at").to_numpy(), group.column("id").to_numpy()
+        shard = int(at[0] // size)
+        data = ids[np.argsort(at)].astype("<i8").tobytes()
+        name = f"{split}-{shard:05d}.tokens.bin"
+        files, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/{name}") as out:
+            out.write(data)
+        return pa.table({"split": [split], "path": [name], "dtype": ["int64"], "num_tokens": pa.array([len(ids)], pa.int64()), "sha256": [hashlib.sha256(data).hexdigest()]})
+
+    shards = placed.withColumn("shard", F.floor(F.col("at") / size)).groupBy("shard").applyInArrow(write, "split string, path string, dtype string, num_tokens bigint, sha256 string")
+    return cut(shards, "shards")  # written once, not again by each reader of the manifest
+
+
+def write_articles(prepared: DataFrame, path: str, val: float = 0.1, seed: int = 0) -> DataFrame:
+    """Write `corpus.prepare_articles` rows with their `id` as folders corpus, train, validation (lines), prepared_articles and rejected_records (JSON), manifest; returns the manifest (name, value)."""
+    rows = cut(prepared)
+    good = rows.filter("reason IS NULL").withColumn("key", F.concat_ws(":", F.col("id").cast("string"), F.sha2("line", 256)))
+    placed = cut(corpus.split(good, seed=seed, key="key", counts=corpus.article_split_counts(good.count(), val)).drop("key"))
+    text = lambda df: df.orderBy("id").select(F.col("line").alias("value"))
+    text(placed).write.mode("overwrite").text(f"{path}/corpus")
+    for name in ("train", "validation"):
+        text(placed.filter(F.col("split") == name)).write.mode("overwrite").text(f"{path}/{name}")
+    placed.drop("split", "reason").withColumnRenamed("line", "corpus_text").write.mode("overwrite").json(f"{path}/prepared_articles")
+    rows.filter("reason IS NOT NULL").drop("line").write.mode("overwrite").json(f"{path}/rejected_records")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("double")
+    stats = placed.agg(
+        F.count(F.lit(1)).cast("double").alias("accepted_records"), count(F.col("split") == "train").alias("train"), count(F.col("split") == "validation").alias("validation"),
+        *(f(F.length(c)).cast("double").alias(f"{n}_{k}") for c, n in (("body", "body_chars"), ("line", "corpus_chars")) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))),
+    ).crossJoin(rows.filter("reason IS NOT NULL").agg(F.count(F.lit(1)).cast("double").alias("rejected_records")))
+    manifest = cut(stats.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in stats.columns))).alias("x")).select("x.*"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return manifest
+
+
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def hash_json(value: object) -> str:
-    import hashlib
-
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 

@@ -163,8 +163,9 @@ def test_search_and_pairs(spark):
     lists = [t.split() for t in ("apple banana", "car bus", "apple apple banana")]
     asked = spark.createDataFrame([(["apple", "banana"],)], "tokens array<string>")
     assert [r.doc_id for r in similarity.search_documents(docs(spark, lists), asked).collect()] == [0, 2, 1]
-    got = edges(similarity.document_pairs(docs(spark, lists), 0.5))
-    assert set(got) == {(0, 2)}
+    members, pairs = similarity.document_pairs(docs(spark, [*lists, lists[0][::-1], []]), 0.5)
+    assert set(edges(pairs)) == {(0, 2)}
+    assert {r.doc_id: r.rep for r in members.collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4}
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 4))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, vector array<double>")

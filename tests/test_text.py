@@ -47,7 +47,21 @@ CASES = [
     (lambda: X.contains_any(lit("abc"), ["x", "b"]), True),
     (lambda: X.contains_any(lit("abc"), []), False),
     (lambda: X.hate_label(lit(" Toxic ")), "hate"),
-    (lambda: X.hate_label(lit("no")), "normal"),
+    (lambda: X.hate_label(lit("no")), "no"),
+    (lambda: X.hate_label(lit(" Safe\n")), "normal"),
+    (lambda: X.hate_label(lit("نفرت")), "hate"),
+    (lambda: X.hate_label(lit("عادی")), "normal"),
+    (lambda: X.hate_label(lit("Spam")), "spam"),
+    (lambda: X.normalize(lit("خانة\u0654 ما")), "خانه\u200cی ما"),
+    (lambda: X.normalize(lit("خانهٔ ما"), ezafe_mode="collapse"), "خانه ما"),
+    (lambda: X.normalize(lit("كتـابٌ"), tatweel=False), "کتـاب"),
+    (lambda: X.clean_wiki(lit("می\u200cرود\x07 علي  ")), "می رود علی"),
+    (lambda: X.focus_terms(lit("رابطه میان گل و بلبل، خار چیست؟")), ["گل", "بلبل", "خار"]),
+    (lambda: X.response_plan(lit("خلاصه و مقایسه")), ["summary", "comparison"]),
+    (lambda: X.response_plan(lit("سلام")), ["structure"]),
+    (lambda: X.byte_tokens(lit("é")), ["<0xC3>", "<0xA9>"]),
+    (lambda: X.join_byte_tokens(F.array(lit("a"), lit("<0xC3>"), lit("<0xA9>"), lit("b"), lit("<0xFF>"))), ["a", "é", "b", "\ufffd"]),
+    (lambda: X.augment_text(lit("الف، ب! ج؟ د"), lit(1), 1.0, 0.0), "الف ب ج د"),
     (lambda: X.entities(lit("شرکت ملی نفت. دانشگاه تهران. شرکت ملی نفت")), ["شرکت ملی نفت", "دانشگاه تهران"]),
     (lambda: X.is_meaningful(lit("کتاب")), True),
     (lambda: X.is_meaningful(lit("از")), False),
