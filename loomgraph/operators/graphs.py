@@ -162,10 +162,10 @@ def association(edges: DataFrame, words: DataFrame, kind: str, ways: int = 2) ->
 
 
 def prune(edges: DataFrame, top_k: int | None = None, min_weight: float = 0.0, undirected: bool = True) -> DataFrame:
-    """Edges of both directions, cut to weights of at least `min_weight` and to each source's `top_k` heaviest (ties: least target); undirected ones are made symmetric again by the larger weight."""
+    """Edges of both directions, cut to weights of at least `min_weight` and to each source's `top_k` heaviest (ties, at nine digits: least target); undirected ones are made symmetric again by the larger weight."""
     out = edges.filter(F.col("weight") >= min_weight) if min_weight > 0 else edges
     if top_k is not None:
-        rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+        rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("weight", 9)), "dst"))
         out = out.withColumn("rank", rank).filter(F.col("rank") <= top_k).drop("rank")
     if undirected:
         back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")

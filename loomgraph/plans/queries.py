@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..layout import spread
-from ..operators import algebra, corpus, gnn, graphs, iterate, similarity, tasks
+from ..operators import algebra, corpus, gnn, graphs, iterate, sentences, similarity, tasks
 from ..operators import tokens as TK
+from ..scratch import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,6 +99,55 @@ def _(s, d):
     return TK.encode(a, TK.vocabulary(a, 3)).select("doc_id", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
 
 
+_BYTES = "list_transform(range(256), lambda i: '<0x' || upper(lpad(printf('%x', i), 2, '0')) || '>')"
+
+
+@query("encode_bytes", f"""WITH {POS}, v AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, first) - 1 AS id FROM (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS first FROM pos GROUP BY token HAVING count(*) >= 3)),
+b AS (SELECT doc_id, pos, unnest(range(octet_length(encode(pos.token)))) AS sub, token FROM pos ANTI JOIN v USING (token)),
+i AS (SELECT doc_id, pos, 0 AS sub, id + 261 AS id FROM pos JOIN v USING (token) UNION ALL SELECT doc_id, pos, sub, 5 + CAST('0x' || substr(hex(encode(token)), 2 * CAST(sub AS INTEGER) + 1, 2) AS INTEGER) FROM b),
+e AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, sub) AS ids FROM i GROUP BY doc_id) SELECT doc_id, sha256('2 ' || coalesce(ids || ' ', '') || '3') AS ids_sha256 FROM documents LEFT JOIN e USING (doc_id)""")
+def _(s, d):
+    a = arrays(s, d)
+    return TK.encode(a, byte_vocabulary(s, TK.vocabulary(a, 3)), bos=2, eos=3, byte_fallback=True).select("doc_id", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+
+
+def byte_vocabulary(s, vocab: DataFrame) -> DataFrame:
+    """A vocabulary (token, token_id) after the 256 byte tokens."""
+    names = s.range(256).select(F.concat(F.lit("<0x"), F.lpad(F.hex("id"), 2, "0"), F.lit(">")).alias("token"), F.col("id").alias("token_id"))
+    return names.union(vocab.select("token", (F.col("token_id") + 256).alias("token_id")))
+
+
+@query("decode_ids", f"WITH {TOK} SELECT doc_id, sha256(array_to_string(t, ' ')) AS text_sha256 FROM tok")
+def _(s, d):
+    """Encoded with bytes for rare words, and back: the words of each text."""
+    a = arrays(s, d)
+    vocab = byte_vocabulary(s, TK.vocabulary(a, 3))
+    # words that the vocabulary lacks come back from their bytes; two in a row are one run of bytes, so each is encoded apart
+    spaced = a.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")).select(F.struct("doc_id", "pos").alias("doc_id"), F.array_compact(F.array("token")).alias("tokens"))
+    back = TK.decode(TK.encode(spaced, vocab, bos=2, eos=3, byte_fallback=True), vocab)
+    whole = back.groupBy("doc_id.doc_id").agg(F.array_sort(F.collect_list(F.struct("doc_id.pos", "text"))).alias("w"))
+    return whole.select("doc_id", F.sha2(F.array_join(F.transform("w", lambda x: x["text"]), " "), 256).alias("text_sha256"))
+
+
+@query("lm_windows", f"""WITH {POS}, v AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, first) + 4 AS id FROM (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS first FROM pos GROUP BY token HAVING count(*) >= 3)),
+k AS MATERIALIZED (SELECT doc_id, pos, coalesce(id, 1) AS id, count(*) OVER (PARTITION BY doc_id) AS n FROM pos LEFT JOIN v USING (token)), st AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS place, id FROM k WHERE n > 1),
+w AS (SELECT e AS example, place, id FROM (SELECT place, id, unnest(range(greatest(0, CAST(ceil((place - 64) / 48) AS BIGINT)), place // 48 + 1)) AS e FROM st) WHERE e * 48 < greatest((SELECT count(*) FROM st) - 1, 1)),
+g AS (SELECT example, list(id ORDER BY place) AS c FROM w GROUP BY example HAVING count(*) > 1)
+SELECT example, sha256(array_to_string(list_concat(c[1 : len(c) - 1], [0 FOR x IN range(65 - len(c))]), ' ')) AS input_sha256, sha256(array_to_string(list_concat(c[2 : len(c)], [-100 FOR x IN range(65 - len(c))]), ' ')) AS target_sha256, CAST(len(c) - 1 AS INTEGER) AS labels FROM g""")
+def _(s, d):
+    a = arrays(s, d)
+    found = TK.curriculum(TK.windows(TK.encode(a, TK.vocabulary(a, 3)), 64, 48))
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
+    return found.select("example", digest("input_ids").alias("input_sha256"), digest("target_ids").alias("target_sha256"), "labels")
+
+
+@query("compare_tokenizers", f"""WITH {POS}, cc AS (SELECT sum(length(text)) AS n FROM documents), wsp AS (SELECT doc_id, unnest([x FOR x IN string_split(coalesce(text, ''), ' ') IF x <> '']) AS token FROM documents),
+al AS (SELECT 'words' AS tokenizer, token FROM pos UNION ALL SELECT 'blanks', token FROM wsp) SELECT tokenizer, count(*) AS tokens, count(DISTINCT token) AS vocab_size, round(count(*) / (SELECT n FROM cc), 6) AS tokens_per_char FROM al GROUP BY tokenizer""")
+def _(s, d):
+    ways = {"words": X.tokenize(F.lower("text")), "blanks": F.filter(F.split("text", " "), lambda w: w != "")}
+    return TK.compare_tokenizers(docs(s, d), ways).select("tokenizer", "tokens", "vocab_size", r6("tokens_per_char"))
+
+
 _STRIP = f"regexp_replace(x, '^{K.SPACE}+|{K.SPACE}+$', '', 'g')"
 
 
@@ -212,13 +262,19 @@ def _(s, d):
     return graphs.text_graph(arrays(s, d), 5, 5).select("src", "dst", "relation", r6("weight"))
 
 
-@query("pmi_edges_whole")
+_PMI_WHOLE = f"""{POS}, {FREQ}, {pairs_sql(20)}, c AS (SELECT a, b, n, x.f AS fa, y.f AS fb FROM cnt JOIN freq x ON x.token = a JOIN freq y ON y.token = b),
+pmi AS (SELECT a AS src, b AS dst, ln((n / (SELECT 2 * sum(n) FROM c)) / ((fa / (SELECT sum(f) FROM freq)) * (fb / (SELECT sum(f) FROM freq)))) AS weight FROM c WHERE a <> b)"""
+
+
+@query("pmi_edges_whole", f"WITH {_PMI_WHOLE} SELECT src, dst, round(weight, 6) AS weight FROM pmi WHERE weight > 0")
 def _(s, d):
-    """The operator's own window of 20 and all words; `pmi_edges` is held to its SQL, which has 5 and 5."""
+    """The operator's own window of 20 and all words; `pmi_edges` has 5 and 5."""
     return graphs.pmi(arrays(s, d)).select("src", "dst", r6("weight"))
 
 
-@query("text_graph_edges_whole")
+@query("text_graph_edges_whole", f"""WITH {_PMI_WHOLE}, tf AS (SELECT doc_id, token, count(*) AS tf FROM pos GROUP BY ALL), dfr AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+t AS (SELECT doc_id, token, tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS weight FROM tf JOIN dfr USING (token))
+SELECT src, dst, 'word_word' AS relation, round(weight, 6) AS weight FROM pmi WHERE weight > 0 UNION ALL SELECT token, 'doc_' || doc_id, 'word_document', round(weight, 6) FROM t""")
 def _(s, d):
     """As `pmi_edges_whole`, with the documents' TF-IDF edges."""
     return graphs.text_graph(arrays(s, d)).select("src", "dst", "relation", r6("weight"))
@@ -267,6 +323,11 @@ def _(s, d):
     return algebra.normalized(cooc(s, d)).select("src", "dst", r6("weight"))
 
 
+@query("normalized_adjacency_directed", f"WITH {_COOC}, w AS (SELECT * FROM s WHERE src < dst) SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS weight FROM w")
+def _(s, d):
+    return algebra.normalized(cooc(s, d).filter("src < dst"), directed=True).select("src", "dst", r6("weight"))
+
+
 @query("row_normalize", f"WITH {_COOC} SELECT src, dst, round(weight / degree, 6) AS weight FROM s JOIN deg ON node = src")
 def _(s, d):
     return algebra.row_normalized(cooc(s, d)).select("src", "dst", r6("weight"))
@@ -315,12 +376,120 @@ def _(s, d):
     return graphs.subword_edges(pieces)
 
 
-@query("stem_edges", f"""WITH {_VOC}, k AS (SELECT token, CASE WHEN length(token) > 5 AND ends_with(token, 'tion') THEN left(token, length(token) - 4) ELSE token END AS stem FROM w)
-SELECT a.token AS src, b.token AS dst, CAST(1 AS DOUBLE) AS weight FROM k a JOIN k b USING (stem) WHERE a.token < b.token""")
+def _rest_sql(word: str, suffixes: tuple, spare: int) -> str:
+    """SQL for a word without its first fitting suffix and the half-spaces before it."""
+    cases = " ".join(f"WHEN ends_with({word}, '{x}') AND length({word}) > {len(x) + spare} THEN regexp_replace(left({word}, length({word}) - {len(x)}), '{K.ZWNJ}+$', '')" for x in suffixes)
+    return f"CASE {cases} ELSE {word} END"
+
+
+def _suffix_sql(word: str, suffixes: tuple, spare: int) -> str:
+    cases = " ".join(f"WHEN ends_with({word}, '{x}') AND length({word}) > {len(x) + spare} THEN '{x}'" for x in suffixes)
+    return f"CASE {cases} ELSE '' END"
+
+
+# the driver's texts are Latin: a phrase by the document's number goes before each, so that the steps for Persian have something to act on
+PHRASES = (
+    "كلاسـهاي ۱۲۳ و ١٢٫۵ دلار", "مسئول مسائل مؤثرٌ در کافۀ شهر", "خانة\u0654 دانشجويان و كتاب\u200cهاي تازه کتاب کتابمان دوستانتر دوستان دوستانشان شهر شهرها شهرهای", "نمی\u200cروم کتاب\u200cها را تصمیم گرفت تا بماند", "دکتر علی رضایی از دانشگاه تهران مرکزی آمد",
+    "بی\u200cکار \u200c هم\u200cراه با کتابهایشان و دوستانتان", "گل\u200cها، بلبلان؛ خارها | باغ", "سلام\u200b دنیا\ufeff کتابم خانه\u200cاش بزرگ\u200cترین",
+)
+PERSIAN = "fa AS MATERIALIZED (SELECT doc_id, [" + ", ".join(f"'{x}'" for x in PHRASES) + f"][doc_id % {len(PHRASES)} + 1] || ' ' || coalesce(text, '') AS text FROM documents)"
+PERSIAN_WORDS = f"{PERSIAN}, fw AS MATERIALIZED (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM fa), fv AS MATERIALIZED (SELECT token FROM fw WHERE token <> '')"
+
+
+def persian(s, d):
+    rows = docs(s, d)
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    return rows.withColumn("text", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))))
+
+
+def persian_words(s, d):
+    return persian(s, d).select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct()
+
+
+@query("stem_edges", f"""WITH {PERSIAN_WORDS}, t AS (SELECT DISTINCT token, {_rest_sql("w", K.SUFFIXES, 1)} AS stem FROM (SELECT token, trim(replace(token, '##', ''), '{K.ZWNJ}') AS w FROM fv))
+SELECT a.token AS src, b.token AS dst, CAST(1 AS DOUBLE) AS weight FROM t a JOIN t b ON a.stem = b.stem AND a.token < b.token WHERE length(a.stem) >= 2""")
 def _(s, d):
-    words = arrays(s, d).select(F.explode("tokens").alias("token")).distinct()
-    stem = F.when((F.length("token") > 5) & F.col("token").endswith("tion"), F.substring("token", F.lit(1), F.length("token") - 4)).otherwise(F.col("token"))
-    return graphs.shared_key_edges(words.select(F.col("token").alias("node"), stem.alias("key")))
+    return graphs.stem_edges(persian_words(s, d))
+
+
+@query("surface_stems", f"WITH {PERSIAN_WORDS} SELECT token, {_rest_sql('w', K.SUFFIXES, 1)} AS stem FROM (SELECT token, trim(replace(token, '##', ''), '{K.ZWNJ}') AS w FROM fv)")
+def _(s, d):
+    return persian_words(s, d).select("token", X.surface_stem("token").alias("stem"))
+
+
+_EDGE_MARKS = K.LABEL_PUNCTUATION.replace("'", "''")
+
+
+@query("concept_roots", f"""WITH {PERSIAN_WORDS}, w AS (SELECT token, trim(trim(token, ' '), '{_EDGE_MARKS}') AS w FROM fv)
+SELECT token, CASE {" ".join(f"WHEN ends_with(w, '{x}') AND length(w) > {len(x) + 2}" + (" AND NOT ends_with(w, 'گی')" if x == "ی" else "") + f" THEN regexp_replace(left(w, length(w) - {len(x)}), '{K.ZWNJ}+$', '')" for x in K.ROOT_SUFFIXES)}
+ELSE regexp_replace(w, '{K.ZWNJ}+$', '') END AS root FROM w""")
+def _(s, d):
+    return persian_words(s, d).select("token", X.concept_root("token").alias("root"))
+
+
+@query("morphology", f"""WITH {PERSIAN_WORDS}, p AS (SELECT token, CASE {" ".join(f"WHEN starts_with(token, '{x}') AND length(token) > {len(x) + 1} THEN '{x}'" for x in K.PREFIXES)} ELSE '' END AS pre FROM fv),
+r AS (SELECT token, rtrim(pre, '{K.ZWNJ}') AS pre, substr(token, length(pre) + 1) AS w FROM p), x AS (SELECT token, pre, {_rest_sql("w", K.SUFFIXES, 1)} AS stem, {_suffix_sql("w", K.SUFFIXES, 1)} AS suf FROM r)
+SELECT token, array_to_string([y FOR y IN [pre, stem, CASE WHEN suf = '' THEN '' ELSE '##' || suf END] IF y <> ''], ' ') AS pieces FROM x""")
+def _(s, d):
+    return persian_words(s, d).select("token", F.array_join(X.split_morphology("token"), " ").alias("pieces"))
+
+
+_NORMAL = f"""translate(translate(replace(replace(translate(translate(nfc_normalize(text), '{K.ARABIC_LETTERS}', '{K.PERSIAN_LETTERS}'), '{K.HAMZA_LETTERS}', '{K.PLAIN_LETTERS}'), 'هٔ', 'ه{K.ZWNJ}ی'), 'ۀ', 'ه{K.ZWNJ}ی'),
+'{K.DIGITS_FROM + K.SEPARATORS_FROM}', '{K.DIGITS_TO + K.SEPARATORS_TO}'), '{K.TATWEEL + K.DIACRITICS + K.ZERO_WIDTH}', '')"""
+
+
+@query("normalize_persian", f"WITH {PERSIAN} SELECT doc_id, sha256(trim(regexp_replace(regexp_replace({_NORMAL}, '{K.SPACE}*{K.ZWNJ}{K.SPACE}*', '{K.ZWNJ}', 'g'), '{K.SPACE}+', ' ', 'g'))) AS digest FROM fa")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.sha2(X.normalize("text"), 256).alias("digest"))
+
+
+@query("tokenize_normalized", f"WITH {PERSIAN} SELECT doc_id, sha256(array_to_string(regexp_extract_all(replace({_NORMAL}, '{K.ZWNJ}', ' '), '{K.WORD_RUN}'), ' ')) AS digest FROM fa")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.sha2(F.array_join(X.tokenize_persian("text"), " "), 256).alias("digest"))
+
+
+@query("preprocess_persian", f"WITH {PERSIAN} SELECT doc_id, sha256(trim(regexp_replace(translate(replace(translate(text, 'يك', 'یک'), '{K.ZWNJ}', ' '), '{K.DIACRITICS}', ''), '{K.SPACE}+', ' ', 'g'))) AS digest FROM fa")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.sha2(X.preprocess("text"), 256).alias("digest"))
+
+
+@query("clean_lines", f"WITH {PERSIAN} SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(replace(text, '{K.ZWNJ}', ' '), 'يك', 'یک'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '{K.SPACE}+', ' ', 'g'))) AS digest FROM fa")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.sha2(X.clean_wiki("text"), 256).alias("digest"))
+
+
+@query("compound_verbs", f"""WITH {PERSIAN} SELECT doc_id, sha256(regexp_replace(text || ' ', '([{K.ARABIC_BLOCK}]+){K.SPACE}+({"|".join(sorted(K.COMPOUND_LIGHT_VERBS, key=len, reverse=True))})({K.SPACE})', '\\1{K.ZWNJ}\\2\\3', 'g')) AS digest FROM fa""")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.sha2(F.concat(X.join_compound_verbs("text"), F.lit(" ")), 256).alias("digest"))
+
+
+_NAME = f"(?:{'|'.join(K.NAME_NOUNS)}){K.SPACE}+[{K.ARABIC_BLOCK}{K.ZWNJ}]+(?:{K.SPACE}+[{K.ARABIC_BLOCK}{K.ZWNJ}]+){{0,2}}"
+
+
+@query("entities", f"WITH {PERSIAN} SELECT doc_id, array_to_string(regexp_extract_all(text, '{_NAME}'), '|') AS names FROM fa")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.array_join(X.entities("text"), "|").alias("names"))
+
+
+@query("keywords", f"WITH {PERSIAN} SELECT doc_id, sha256(array_to_string([{_STRIP} FOR x IN regexp_split_to_array(text, '[,،;؛|]') IF {_STRIP} <> ''], '|')) AS digest FROM fa")
+def _(s, d):
+    return persian(s, d).select("doc_id", F.sha2(F.array_join(X.keywords("text"), "|"), 256).alias("digest"))
+
+
+_LABELS = (" Hate ", "toxic", "1", "0", "Normal", "spam", "نفرت", "عادی", "yes")
+
+
+@query("hate_labels", f"""SELECT doc_id, CASE WHEN l IN ({", ".join(f"'{x}'" for x in K.HATE_LABELS)}) THEN 'hate' WHEN l IN ({", ".join(f"'{x}'" for x in K.NORMAL_LABELS)}) THEN 'normal' ELSE l END AS label
+FROM (SELECT doc_id, lower(trim([{", ".join(f"'{x}'" for x in _LABELS)}][doc_id % {len(_LABELS)} + 1])) AS l FROM documents)""")
+def _(s, d):
+    given = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("doc_id") % len(_LABELS) + 1).cast("int"))
+    return docs(s, d).select("doc_id", X.hate_label(given).alias("label"))
+
+
+@query("char_profile_persian", f"""WITH {PERSIAN}, n AS (SELECT CAST(sum(length(text)) AS BIGINT) AS total, CAST(sum(length(regexp_replace(text, '[^{K.ARABIC_BLOCK}]', '', 'g'))) AS BIGINT) AS script_letters,
+CAST(sum(length(text) - length(replace(text, '{K.ZWNJ}', ''))) AS BIGINT) AS zwnj FROM fa) SELECT total, script_letters, zwnj, round(script_letters / total, 6) AS script_ratio, round(zwnj * 1000 / total, 6) AS zwnj_per_1000 FROM n""")
+def _(s, d):
+    return corpus.char_profile(persian(s, d)).select("total", "script_letters", "zwnj", r6("script_ratio"), r6("zwnj_per_1000"))
 
 
 @query("orthographic_similarity", f"""WITH {POS}, w AS (SELECT token FROM pos GROUP BY token HAVING count(*) >= 3), g AS (SELECT token, list_distinct([substr(token, i, 3) FOR i IN range(1, greatest(length(token) - 2, 1) + 1)]) AS g FROM w),
@@ -330,21 +499,16 @@ def _(s, d):
     return graphs.orthographic_edges(graphs.frequent(arrays(s, d), 3).select("token")).select("src", "dst", r6("weight"))
 
 
-@query("distributional_similarity", f"""WITH {_PPMI.replace("f FROM pos GROUP BY token", "f FROM pos GROUP BY token")}, q AS (SELECT src, dst, weight FROM ppmi WHERE weight > 0), rw AS ({both_sql("q")}),
-nm AS (SELECT src, sqrt(sum(weight * weight)) AS norm FROM rw GROUP BY src), fan AS (SELECT dst AS c FROM rw GROUP BY dst HAVING count(*) BETWEEN 2 AND 50), sh AS (SELECT src, dst AS c, weight FROM rw WHERE dst IN (SELECT c FROM fan)),
-dt AS (SELECT a.src AS src, b.src AS dst, sum(a.weight * b.weight) AS dot FROM sh a JOIN sh b ON a.c = b.c AND a.src < b.src GROUP BY ALL)
-SELECT count(*) AS pairs, round(sum(dot / (x.norm * y.norm)), 3) AS total FROM dt JOIN nm x ON x.src = dt.src JOIN nm y ON y.src = dt.dst WHERE round(dot / (x.norm * y.norm), 9) >= 0.6""")
-def _(s, d):
-    a = arrays(s, d)
-    e = graphs.distributional_edges(graphs.distance_cooccurrence(a, 4), graphs.frequent(a, 1), 0.6 - 5e-10, None, 50)
-    return e.filter("src < dst").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("weight"), 3).alias("total"))
-
-
-@query("distributional_similarity_edges")
+@query("distributional_similarity", f"""WITH {_PPMI}, q AS MATERIALIZED (SELECT src, dst, weight FROM ppmi WHERE weight > 0), rw AS MATERIALIZED ({both_sql("q")}),
+nm AS (SELECT src, sqrt(sum(weight * weight)) AS norm FROM rw GROUP BY src), fan AS (SELECT dst AS c FROM rw GROUP BY dst HAVING count(*) BETWEEN 2 AND 200), sh AS MATERIALIZED (SELECT src, dst AS c, weight FROM rw SEMI JOIN fan ON c = dst),
+dt AS (SELECT a.src AS src, b.src AS dst, sum(a.weight * b.weight) AS dot FROM sh a JOIN sh b ON a.c = b.c AND a.src < b.src GROUP BY ALL), e AS (SELECT dt.src, dt.dst, dot / (x.norm * y.norm) AS weight FROM dt JOIN nm x ON x.src = dt.src JOIN nm y ON y.src = dt.dst)
+SELECT src, dst, round(weight, 6) AS weight FROM ({both_sql("e")}) WHERE round(weight, 9) >= 0.6""")
 def _(s, d):
-    """The edges themselves, with the reference's largest fan-out of a context, 200; `distributional_similarity` is held to 50 and two sums by its SQL."""
+    """All edges, with the reference's largest fan-out of a context, 200."""
     a = arrays(s, d)
-    return graphs.distributional_edges(graphs.distance_cooccurrence(a, 4), graphs.frequent(a, 1), 0.6, None).select("src", "dst", r6("weight"))
+    # sums of doubles differ in their last digits between engines: the cut is at nine digits
+    e = graphs.distributional_edges(graphs.distance_cooccurrence(a, 4), graphs.frequent(a, 1), 0.6 - 5e-10, None)
+    return e.filter(F.round("weight", 9) >= 0.6).select("src", "dst", r6("weight"))
 
 
 @query("dependency_heuristic", f"""WITH {POS}, h AS (SELECT token AS src, coalesce(CASE WHEN ends_with(a, 'ed') THEN a END, CASE WHEN ends_with(b, 'ed') THEN b END, CASE WHEN ends_with(c, 'ed') THEN c END, CASE WHEN ends_with(e, 'ed') THEN e END, a) AS dst
@@ -393,6 +557,34 @@ def _(s, d):
     return multi(s, d).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 3).alias("weight"))
 
 
+_G2 = f"""{POS}, freq AS MATERIALIZED (SELECT token, count(*) AS f FROM pos GROUP BY token HAVING count(*) >= 2), inner_pos AS MATERIALIZED (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM pos SEMI JOIN freq USING (token)),
+{pairs_sql(4, "inner_pos")}, base AS MATERIALIZED (SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(12 // k) / 12 AS weight FROM pr WHERE a <> b GROUP BY ALL)"""
+
+
+def _pruned_sql(source: str, name: str) -> str:
+    return f"""{name}_s AS ({both_sql(source)}), {name}_k AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS r FROM {name}_s) WHERE r <= 5),
+{name} AS (SELECT src, dst, max(weight) AS weight FROM ({both_sql(f"{name}_k")}) GROUP BY ALL)"""
+
+
+_DEP = f"coalesce(CASE WHEN regexp_matches(a, '^(می|نمی)|({'|'.join(K.LIGHT_VERB_HINTS)})$') THEN a END, CASE WHEN regexp_matches(b, '^(می|نمی)|({'|'.join(K.LIGHT_VERB_HINTS)})$') THEN b END, CASE WHEN regexp_matches(c, '^(می|نمی)|({'|'.join(K.LIGHT_VERB_HINTS)})$') THEN c END, CASE WHEN regexp_matches(e, '^(می|نمی)|({'|'.join(K.LIGHT_VERB_HINTS)})$') THEN e END, a)"
+
+
+@query("graph_lm_graph", f"""WITH {_G2}, {_pruned_sql("base", "co")},
+pp AS (SELECT src, dst, ln(greatest(weight / (SELECT 2 * sum(weight) FROM base), 1e-12) / (greatest(x.f / (SELECT sum(f) FROM freq), 1e-12) * greatest(y.f / (SELECT sum(f) FROM freq), 1e-12))) AS weight FROM base JOIN freq x ON x.token = src JOIN freq y ON y.token = dst),
+pq AS (SELECT * FROM pp WHERE weight > 0), {_pruned_sql("pq", "ppmi")},
+hd AS (SELECT token AS src, {_DEP} AS dst FROM (SELECT token, lead(token, 1) OVER w AS a, lead(token, 2) OVER w AS b, lead(token, 3) OVER w AS c, lead(token, 4) OVER w AS e FROM inner_pos WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE a IS NOT NULL),
+dep AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT src, dst FROM hd WHERE src <> dst UNION ALL SELECT dst, src FROM hd WHERE src <> dst) GROUP BY ALL),
+wd AS (SELECT token AS src, 'document:' || doc_id AS dst, tf / max(tf) OVER (PARTITION BY doc_id) AS weight FROM (SELECT doc_id, token, count(*) AS tf FROM inner_pos GROUP BY ALL)),
+t AS (SELECT token FROM inner_pos GROUP BY token ORDER BY count(*) DESC, token LIMIT 8),
+td AS (SELECT 'topic:' || token AS src, token AS dst, CAST(1 AS DOUBLE) AS weight FROM t UNION ALL SELECT DISTINCT 'topic:' || token, 'document:' || doc_id, CAST(1 AS DOUBLE) FROM inner_pos JOIN t USING (token))
+SELECT src, dst, 'cooccurrence' AS relation, round(weight, 6) AS weight FROM co UNION ALL SELECT src, dst, 'ppmi', round(weight, 6) FROM ppmi UNION ALL SELECT src, dst, 'dependency', round(weight, 6) FROM dep
+UNION ALL SELECT src, dst, 'word_document', round(weight / 2, 6) FROM ({both_sql("wd")}) UNION ALL SELECT src, dst, 'topic_document', weight FROM ({both_sql("td")})""")
+def _(s, d):
+    """The operator itself: five relations over words of two occurrences or more, pruned to five edges a word."""
+    names = ["co-occurrence", "ppmi", "dependency", "word_doc", "topic-doc"]
+    return graphs.multi_relation_graph(arrays(s, d), names, 4, 2, 5, 8, {"word_document": 0.5}).select("src", "dst", "relation", r6("weight"))
+
+
 @query("graph_memory_retrieve", f"""WITH {_MULTI}, seed AS (SELECT unnest(['the', 'and', 'der']) AS node), s0 AS (SELECT node, 1.0 AS score FROM seed),
 s1 AS (SELECT node, max(score) AS score FROM (SELECT node, score FROM s0 UNION ALL SELECT dst, score + weight / 2 FROM multi JOIN s0 ON node = src) GROUP BY node),
 top AS (SELECT node, score FROM s1 ORDER BY round(score, 9) DESC, node LIMIT 32)
@@ -402,6 +594,37 @@ def _(s, d):
     return iterate.retrieve(multi(s, d), seeds)[1].select("src", "dst", "relation", r6("weight"), r6("rank_score"))
 
 
+@query("ids_graph", f"""WITH {POS}, v AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, first) + 4 AS id FROM (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS first FROM pos GROUP BY token HAVING count(*) >= 3)),
+ip AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, id AS token FROM pos JOIN v USING (token)), {pairs_sql(4, "ip")}
+SELECT a AS src, b AS dst, round(sum(12 // k) / 12, 6) AS weight FROM pr WHERE a <> b GROUP BY a, b""")
+def _(s, d):
+    a = arrays(s, d)
+    return graphs.ids_graph(TK.encode(a, TK.vocabulary(a, 3))).select("src", "dst", r6("weight"))
+
+
+@query("heads_graph", """WITH w AS (SELECT conv_id AS sentence, turn + 1 AS word, (turn + 1) // 2 AS head FROM conversations)
+SELECT concat(sentence, ':', head) AS src, concat(sentence, ':', word) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM w WHERE head <> 0 GROUP BY ALL""")
+def _(s, d):
+    """Turns of a conversation as a tree: the parse comes as a table of heads."""
+    words = table(s, d, "conversations").select(F.col("conv_id").alias("sentence"), (F.col("turn") + 1).alias("word"), F.expr("(turn + 1) div 2").alias("head"), "text")
+    return graphs.heads_graph(words)[1]
+
+
+_SENT = f"""st AS MATERIALIZED (SELECT doc_id, [{_STRIP} FOR x IN regexp_split_to_array(coalesce(text, ''), '{K.SUMMARY_END}') IF {_STRIP} <> ''] AS p FROM documents), sp AS (SELECT doc_id, len(p) AS n, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM st),
+tk AS (SELECT doc_id, n, pos, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS token FROM sp), tf AS (SELECT doc_id, n, pos, token, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT doc_id, token, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT doc_id, pos, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, token)), u AS MATERIALIZED (SELECT doc_id, pos, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, pos)) AS w FROM w)"""
+
+
+@query("sentence_edges", f"WITH {_SENT} SELECT a.doc_id, a.pos AS src, b.pos AS dst, round(sum(a.w * b.w), 6) AS weight FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.token = b.token AND a.pos < b.pos GROUP BY ALL")
+def _(s, d):
+    return sentences.sentence_edges(docs(s, d)).select("doc_id", F.col("src").cast("long"), F.col("dst").cast("long"), r6("weight"))
+
+
+@query("attention_summary")
+def _(s, d):
+    return sentences.attention_summary(docs(s, d))
+
+
 # similarity
 
 
@@ -438,10 +661,20 @@ def _(s, d):
 
 
 @query("semantic_edges", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.e, b.e) AS weight FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT src, dst, round(weight, 6) AS weight FROM c WHERE weight >= 0.7""")
+SELECT src, dst, round(weight, 6) AS weight FROM c WHERE round(weight, 9) >= 0.3""")
 def _(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return similarity.vector_pairs(v, 0.7).select("src", "dst", r6("weight"))
+    return similarity.vector_pairs(v, 0.3 - 5e-10).filter(F.round("weight", 9) >= 0.3).select("src", "dst", r6("weight"))
+
+
+@query("semantic_graph", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT 'w' || a.vec_id AS a, 'w' || b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS w FROM v a JOIN v b ON a.vec_id < b.vec_id),
+g AS (SELECT 'w' || ps AS a, 'w' || pp AS b, 0.8 AS w FROM (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pp FROM lineitem) WHERE ps <> pp), x AS (SELECT a, b, w FROM c WHERE round(w, 9) >= 0.3 UNION ALL SELECT a, b, w FROM g)
+SELECT src, dst, round(max(w), 6) AS weight FROM (SELECT a AS src, b AS dst, w FROM x UNION ALL SELECT b, a, w FROM x) GROUP BY ALL""")
+def _(s, d):
+    """Vectors of words with given relations, here suppliers with their parts, at 0.8."""
+    v = table(s, d, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vector"))
+    given = table(s, d, "lineitem").select(F.concat(F.lit("w"), "l_suppkey").alias("a"), F.concat(F.lit("w"), "l_partkey").alias("b")).distinct()
+    return graphs.semantic_graph(given, v, 0.3 - 5e-10, None, 0.8).select("src", "dst", r6("weight"))
 
 
 _KEY = f"regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '{K.SPACE}+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}_{K.ARABIC_BLOCK}{K.ZWNJ}]+', '', 'g')"
@@ -488,9 +721,27 @@ def _(s, d):
     return corpus.duplicate_count(docs(s, d))
 
 
+_TOXIC = f"SELECT {_HASH} FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l USING (doc_id)"
+
+
+def toxic_texts(s, d):
+    """The texts of toxic documents, as an evaluation set that a corpus must not have."""
+    return docs(s, d).join(table(s, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("text")
+
+
 @query("build_corpus")
 def _(s, d):
-    return corpus.build_corpus(docs(s, d), table(s, d, "benchmark").select("text"), 100, 0.9, LATIN)
+    return corpus.build_corpus(docs(s, d), table(s, d, "benchmark").select("text").union(toxic_texts(s, d)), 100, 0.9, LATIN)
+
+
+@query("build_corpus_exact", f"""WITH {_GATE}, h AS (SELECT doc_id, {_HASH} AS text_hash FROM documents), ev AS (SELECT DISTINCT {_HASH} AS text_hash FROM benchmark UNION {_TOXIC}),
+f AS (SELECT text_hash, min(doc_id) AS first_id FROM h JOIN v USING (doc_id) WHERE reason IS NULL GROUP BY text_hash)
+SELECT doc_id, h.text_hash, chars, coalesce(reason, CASE WHEN ev.text_hash IS NULL AND doc_id <> first_id THEN 'exact_duplicate' WHEN ev.text_hash IS NOT NULL THEN 'eval_contamination' END) AS reason
+FROM v JOIN h USING (doc_id) LEFT JOIN f ON f.text_hash = h.text_hash LEFT JOIN ev ON ev.text_hash = h.text_hash""")
+def _(s, d):
+    """`build_corpus` without its rule on near duplicates, which SQL cannot state."""
+    known = table(s, d, "benchmark").select("text").union(toxic_texts(s, d))
+    return corpus.build_corpus(docs(s, d), known, 100, 0.9, LATIN, near_threshold=None).select("doc_id", "text_hash", "chars", "reason")
 
 
 @query("simhash_pairs")
@@ -500,17 +751,17 @@ def _(s, d):
     Documents x and y are near if they have one dst, or if their dst make a pair: groups of
     copies are given by their members, not by all pairs of them.
     """
-    hashed = iterate.cut(arrays(s, d).select(F.col("doc_id").alias("id"), X.simhash("tokens").alias("simhash")))
+    hashed = cut(arrays(s, d).select(F.col("doc_id").alias("id"), X.simhash("tokens").alias("simhash")))
     # equal hashes stand for one node, so a group of copies is one row of the join
-    nodes = iterate.cut(hashed.groupBy("simhash").agg(F.min("id").alias("rep")))
+    nodes = cut(hashed.groupBy("simhash").agg(F.min("id").alias("rep")))
     members = hashed.join(nodes, "simhash").select(F.lit("member").alias("kind"), F.col("id").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("distance"))
     pairs = similarity.simhash_pairs(nodes.select(F.col("rep").alias("id"), "simhash"))
     return members.unionByName(pairs.select(F.lit("pair").alias("kind"), "src", "dst", "distance"))
 
 
-@query("decontaminate_exact", f"""SELECT doc_id FROM documents WHERE {_HASH} IN (SELECT {_HASH} FROM benchmark)""")
+@query("decontaminate_exact", f"""SELECT doc_id FROM documents WHERE {_HASH} IN (SELECT {_HASH} FROM benchmark UNION ALL {_TOXIC})""")
 def _(s, d):
-    known = table(s, d, "benchmark").select(X.text_hash(F.coalesce("text", F.lit(""))).alias("k"))
+    known = table(s, d, "benchmark").select("text").union(toxic_texts(s, d)).select(X.text_hash(F.coalesce("text", F.lit(""))).alias("k"))
     return docs(s, d).select("doc_id", X.text_hash(F.coalesce("text", F.lit(""))).alias("k")).join(known, "k", "left_semi").select("doc_id")
 
 
@@ -529,6 +780,14 @@ def _(s, d):
     return corpus.char_profile(docs(s, d)).select("total", "script_letters", "latin_letters", "digits", "zwnj", "whitespace", "other", r6("latin_ratio"))
 
 
+@query("audit", f"""WITH l AS (SELECT length(coalesce(text, '')) AS n FROM documents), k AS (SELECT count(*) AS n FROM documents GROUP BY {_KEY}) SELECT 'length' AS section, 'docs' AS name, CAST(count(*) AS DOUBLE) AS value FROM l UNION ALL
+SELECT 'length', 'max_chars', max(n) FROM l UNION ALL SELECT 'characters', 'total', sum(n) FROM l UNION ALL SELECT 'duplicates', 'exact_duplicates', sum(n - 1) FROM k UNION ALL SELECT 'metadata key', 'lang', count(*) FROM documents UNION ALL SELECT 'metadata source', source, count(*) FROM documents WHERE source <> '' GROUP BY source""")
+def _(s, d):
+    rows = docs(s, d).withColumn("meta", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    wanted = ("docs", "max_chars", "total", "exact_duplicates", "lang")
+    return corpus.audit(rows, metadata_col="meta").filter(F.col("name").isin(*wanted) | (F.col("section") == "metadata source"))
+
+
 @query("length_stats", "SELECT count(*) AS docs, min(length(coalesce(text, ''))) AS min_chars, max(length(coalesce(text, ''))) AS max_chars, round(avg(length(coalesce(text, ''))), 6) AS mean_chars FROM documents")
 def _(s, d):
     return corpus.length_stats(docs(s, d)).select("docs", F.col("min_chars").cast("long"), F.col("max_chars").cast("long"), r6("mean_chars"))
@@ -585,15 +844,6 @@ def _(s, d):
     return iterate.pagerank(event_edges(s, d)).select("node", F.round("score", 9).alias("score"))
 
 
-@query("connected_components", """WITH RECURSIVE l AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey % 7 <> 0 AND p_partkey + 1 <= (SELECT max(p_partkey) FROM part)), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-t AS (SELECT a AS node, a AS component FROM s UNION SELECT s.b, t.component FROM t JOIN s ON s.a = t.node) SELECT node, min(component) AS component FROM t GROUP BY node""")
-def _(s, d):
-    parts = table(s, d, "part").select("p_partkey")
-    top = parts.agg(F.max("p_partkey").alias("top"))
-    edges = parts.crossJoin(F.broadcast(top)).filter("p_partkey % 7 <> 0 AND p_partkey + 1 <= top").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
-    return iterate.connected_components(edges)
-
-
 @query("social_graph", f"""WITH x AS (SELECT user_id AS u, lead(user_id) OVER (ORDER BY event_id) AS v, value AS w, event_id AS line FROM events), p AS (SELECT least(u, v) AS src, greatest(u, v) AS dst, max_by(coalesce(w, 1.0), line) AS weight FROM x WHERE u <> v GROUP BY ALL) {both_sql("p")}""")
 def _(s, d):
     # neighbours by number: an equi-join, not a window over one partition
@@ -602,9 +852,11 @@ def _(s, d):
     return graphs.social_graph(e.join(after, "event_id").select(F.col("user_id").alias("u"), "v", F.col("value").alias("w"), F.col("event_id").alias("line")))
 
 
-@query("social_components")
+@query("connected_components", f"""WITH RECURSIVE x AS (SELECT user_id AS u, lead(user_id) OVER (ORDER BY event_id) AS v, event_id, lead(event_id) OVER (ORDER BY event_id) AS after FROM events), p AS (SELECT DISTINCT u AS src, v AS dst FROM x WHERE u <> v AND after = event_id + 1),
+e AS MATERIALIZED (SELECT src, dst FROM p UNION SELECT dst, src FROM p), t AS (SELECT 0 AS r, src AS node, min(least(src, dst)) AS component FROM e GROUP BY src
+UNION ALL SELECT t.r + 1, e.src, min(least(t.component, e.src)) FROM t JOIN e ON e.dst = t.node WHERE t.r < 60 GROUP BY t.r + 1, e.src) SELECT node, min(component) AS component FROM t GROUP BY node""")
 def _(s, d):
-    """Components of the whole social graph; `connected_components` is held to a chain of parts by its SQL."""
+    """Components of the whole social graph; the SQL spreads labels for 60 steps, more than this graph is wide."""
     return iterate.connected_components(QUERIES["social_graph"](s, d))
 
 
@@ -685,3 +937,10 @@ def _(s, d):
     a = arrays(s, d)
     labels = table(s, d, "labels").select("doc_id", F.col("toxic").alias("label"))
     return gnn.TextClassifier().fit(a.filter(F.size("tokens") > 0), labels).predict(a)
+
+
+@query("dataset_report")
+def _(s, d):
+    """Labelled documents split, learned from and measured."""
+    labels = table(s, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return gnn.dataset_report(arrays(s, d), labels)
