@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted; adjacent turns of one role
-share a block; blocks are concatenated, and the assistant's texts are marked by spans.
+The turns of a conversation are collected as structs and sorted; adjacent turns of one role are
+merged into a block by array aggregation; blocks are concatenated, and the assistant's texts are
+marked by spans.
 
     <|turn|>ROLE<|text|>TEXT<|more|>NEXT TEXT OF THE SAME ROLE<|end|>
 
@@ -51,31 +52,63 @@ def format_chat(
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), empty).alias("role"), F.coalesce(F.col(text_col).cast("string"), empty).alias("text")
     )
     rows = df.select(F.col(conv_col).alias("conv"), turn.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    turns = F.col("turns")
-    same = lambda t, i, step: F.coalesce(F.get(turns, i + step)["role"] == t["role"], F.lit(False))
-
-    def part(t: Column, i: Column) -> Column:
-        head = F.when(same(t, i, -1), F.lit(MORE)).otherwise(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(BODY)))
-        return F.struct(
-            head.alias("head"),
-            escape(t["text"]).alias("body"),
-            F.when(same(t, i, 1), empty).otherwise(F.lit(CLOSE)).alias("tail"),
-            t["role"].isin(*loss_roles).alias("loss"),
-        )
+    rows = rows.withColumn("escaped", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text"))))
+    # where a run of one role starts, and its turns put together: each turn is copied once
+    same = lambda i: F.coalesce(F.get("escaped", i - 1)["role"] == F.get("escaped", i)["role"], F.lit(False))
+    rows = rows.withColumn("first", F.filter(F.sequence(F.lit(0), F.size("escaped") - 1), lambda i: ~same(i)))
+
+    def run(first: Column, k: Column) -> Column:
+        after = F.coalesce(F.get("first", k + 1), F.size("escaped"))
+        return F.struct(F.get("escaped", first)["role"].alias("role"), F.transform(F.slice("escaped", first + 1, after - first), lambda t: t["text"]).alias("texts"))
+
+    rows = rows.select("conv", F.transform("first", run).alias("runs"))
+    block = lambda r: F.concat(F.lit(OPEN), escape(r["role"]), F.lit(BODY), F.array_join(r["texts"], MORE), F.lit(CLOSE))
+    return rows.select(F.col("conv").alias(conv_col), F.array_join(F.transform("runs", block), "").alias("formatted"), _spans(F.col("runs"), loss_roles).alias("loss_spans"))
 
-    rows = rows.select("conv", F.transform(turns, part).alias("parts"))
+
+#: Turns whose spans are summed together; the sums of these chunks are summed in turn.
+CHUNK = 256
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _spans(runs: Column, loss_roles: tuple[str, ...]) -> Column:
+    """Start and end of each text of `loss_roles` in the formatted conversation: running sums of lengths, in chunks, so that a long conversation does not copy all earlier spans for each turn."""
     size = lambda c: F.length(c).cast("long")
-    spans = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+
+    def parts(r: Column) -> Column:
+        n = F.size(r["texts"])
+        head = F.lit(len(OPEN) + len(BODY)).cast("long") + size(escape(r["role"]))
+        gap = lambda j: F.when(j == 0, head).otherwise(F.lit(len(MORE)).cast("long"))
+        tail = lambda j: F.when(j == n - 1, F.lit(len(CLOSE)).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.transform(r["texts"], lambda t, j: F.struct(gap(j).alias("head"), size(t).alias("body"), tail(j).alias("tail"), r["role"].isin(*loss_roles).alias("loss")))
+
+    none = F.array().cast(SPANS)
+    zero = F.lit(0).cast("long")
 
     def add(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + size(p["head"])
-        end = begin + size(p["body"])
+        begin = acc["at"] + p["head"]
+        end = begin + p["body"]
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + size(p["tail"])).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((end + p["tail"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def place(acc: Column, c: Column) -> Column:
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    def laid(flat: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(flat), F.lit(CHUNK)), lambda i: F.slice(flat, i, F.lit(CHUNK)))
+        own = F.transform(cut, lambda c: F.aggregate(c, F.struct(zero.alias("at"), none.alias("spans")), add))
+        return _with(own, lambda o: F.flatten(F.zip_with(o, F.aggregate(o, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts")), place, lambda a: a["starts"]), _moved)))
+
+    return _with(F.flatten(F.transform(runs, parts)), laid)
+
+
+def _moved(chunk: Column, by: Column) -> Column:
+    return F.transform(chunk["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+
 
-    joined = F.array_join(F.flatten(F.transform("parts", lambda p: F.array(p["head"], p["body"], p["tail"]))), "")
-    return rows.select(F.col("conv").alias(conv_col), joined.alias("formatted"), F.aggregate("parts", start, add, lambda acc: acc["spans"]).alias("loss_spans"))
+def _with(value: Column, f) -> Column:
+    """f(value), where f names it more than once but it is to be worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -8,8 +8,9 @@ by follow-the-regularised-leader with an elastic net from a bounded sample of th
 id; a part of the sample only calibrates the temperature. Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without training
-documents every text is `und`; null labels teach nothing; repeated rows give one row each; only
-the named columns are read. Memory per task grows with a chunk of texts or the longest text.
+documents every text is `und`; null labels teach nothing; repeated rows give one row each; of
+labels with one score the first by name wins; only the named columns are read, so others of any
+name do no harm. Memory per task grows with a chunk of texts or the longest text.
 """
 
 from __future__ import annotations
@@ -156,12 +157,25 @@ def best_temperature(logits: np.ndarray, label: np.ndarray) -> float:
     return float(ladder[int(np.argmin(loss))])
 
 
+def counted(rows: DataFrame, bits: int) -> DataFrame:
+    """(u, label, at, count_of) of rows (u, text, label): each text's n-gram counts, packed, at most 2 ** (bits + 3) bytes however long it is; null for one without letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = next(features([batch.column(1)[i].as_py()], bits))
+                at, count = (None, None) if found is None else (x.astype("<i4").tobytes() for x in found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([at], pa.binary()), pa.array([count], pa.binary())], names=["u", "label", "at", "count_of"])
+
+    return rows.mapInArrow(run, "u double, label string, at binary, count_of binary")
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_per_label: int = 1500, full_labels: int = 200, bits: int = BITS) -> Model:
     """Fit the classifier. `df` holds training documents only.
 
     The sample: ids whose hash falls below rows per label / (documents of the label), and the
-    least hash of each label, so about that many of each label reach the driver, at most twice as
-    many of all labels together. Rows per label: `sample_per_label`, lowered so that all labels
+    least hash of each label, so about that many of each label reach the driver as packed counts,
+    at most twice as many of all labels together. Rows per label: `sample_per_label`, lowered so that all labels
     have no more than `full_labels` labels would have. The model grows with the labels.
     """
     labelled = df.filter(F.col(label_col).isNotNull())
@@ -183,10 +197,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     share = df.sparkSession.createDataFrame(shares, "label string, share double")
     rows = labelled.select(u.alias("u"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), label.alias("label"))
     rows = rows.join(F.broadcast(share), "label").filter("u < share").select("u", "text", "label").distinct()  # rows that repeat an id and text have one hash
-    sample = sorted(rows.limit(2 * per_label * len(labels)).collect(), key=lambda r: (r.u, r.label, r.text))
+    sample = sorted(counted(rows.limit(2 * per_label * len(labels)), bits).collect(), key=lambda r: (r.u, r.label, r.at or b"", r.count_of or b""))
     learn, calibrate, known = [], [], set()
-    for k, (r, found) in enumerate(zip(sample, features([bytes(r.text) for r in sample], bits))):
-        if found is not None:
+    for k, r in enumerate(sample):
+        if r.at is not None:
+            found = np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.count_of, "<i4").astype(np.int64)
             (calibrate if k % 5 == 4 and r.label in known else learn).append((*weights(found, idf), number[r.label]))
             known.add(r.label)
     w, bias = ftrl(learn, 1 << bits, len(labels))

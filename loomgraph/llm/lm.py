@@ -7,7 +7,7 @@ n-grams of a segment meet, collected, and broadcast; beyond `MAX_BROADCAST_BYTES
 in rounds of that size, and the levels read in each round are put together. Smoothed
 probabilities interpolate the bigram and the unigram estimate from those probes.
 
-Texts are cut into blocks of bounded size, tokenised once, with a vocabulary each. Exact token
+Texts are cut into blocks of bounded size (a longer text is a block alone), tokenised once, with a vocabulary each. Exact token
 counts travel by block vocabularies, not by occurrences: they are summed where a segment of
 tokens meets and sent back to the blocks. Nothing that grows with the corpus is gathered in one
 place but the filter, in rounds.
@@ -304,7 +304,7 @@ def lm_score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     """`id_col`, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every text, learning from those that are not `held`."""
     table = cut(blocks(df, held, id_col, text_col), "blocks")
     size = table.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("docs")).collect()[0]
-    segments = int(min(20_000, max(32, size["n"] // SEGMENT_TOKENS)))
+    segments = int(max(32, size["n"] // SEGMENT_TOKENS))
     counts = cut(exact_counts(table, segments), "counts")
     total = counts.filter("block IS NULL").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
     n, v, learnt = int(total["n"]), int(total["v"]), int(size["docs"])
@@ -353,7 +353,7 @@ def lm_score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
                     names=schema.names,
                 )
             )
-        return pa.concat_tables(out) if out else pa.table([pa.array([], x.type) for x in ()])
+        return pa.concat_tables(out)
 
     return table.select("block", "ids", "held", "lengths", "tokens", "vocab").groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(score, schema)
 

@@ -12,10 +12,11 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
+    "sharding_contents": sharding.sharding_contents,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op8_proximity": decontaminate.op8_proximity,
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
-SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **decontaminate.SQL}
+SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **sharding.SQL, **decontaminate.SQL}

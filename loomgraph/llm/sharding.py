@@ -89,7 +89,12 @@ class ShardStore:
         return json.loads("".join(r.value for r in rows))
 
     def commit(self, base: int, shards: list[dict]) -> int:
-        """Make `shards` version base + 1, or raise Conflict."""
+        """Make `shards` version base + 1, or raise Conflict.
+
+        The version appears whole or not at all where the file system renames atomically without
+        overwriting (HDFS does). On a plain local file system two writers that commit at one
+        instant may both pass the check for an older version; on object stores use one writer.
+        """
         version = base + 1
         hidden, final = self._path(f"manifest/.{uuid.uuid4().hex}"), self._path(f"manifest/v{version:010d}.json")
         out = self._fs.create(hidden, False)
@@ -170,8 +175,8 @@ class ShardStore:
 ARRIVALS = (8, 4, 2, 1, 1)
 
 
-def op7_sharding(spark, sf_dir: str, target: int = 64 << 20) -> DataFrame:
-    """Append the documents as arrivals of several sizes, compact, and return each document's shard as read back."""
+def _stored(spark, sf_dir: str, target: int) -> DataFrame:
+    """The documents, appended as arrivals of several sizes, compacted and read back from the last version."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, scratch_path(spark, "shards"), docs.schema)
     share = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16, F.lit(0))
@@ -181,9 +186,23 @@ def op7_sharding(spark, sf_dir: str, target: int = 64 << 20) -> DataFrame:
         low += width
     version = store.compact(target)
     drop_at_exit(spark, store.path)
-    return store.read(version).select(
+    return store.read(version)
+
+
+def op7_sharding(spark, sf_dir: str, target: int = 64 << 20) -> DataFrame:
+    """Append the documents as arrivals of several sizes, compact, and return each document's shard as read back."""
+    return _stored(spark, sf_dir, target).select(
         "doc_id",
         F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1).alias("shard"),
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+def sharding_contents(spark, sf_dir: str, target: int = 64 << 20) -> DataFrame:
+    """What the store holds, without the names of its shards, which are drawn at random and no SQL can state."""
+    return _stored(spark, sf_dir, target).select("doc_id", "lang", "source", "n_chars", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+#: Read back, a version holds each row once.
+SQL = {"sharding_contents": "SELECT doc_id, lang, source, n_chars, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents"}

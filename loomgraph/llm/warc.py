@@ -8,7 +8,8 @@ with its compressed and full length.
 Reading: one partition for each archive in the manifests. Predicates on the record type and
 other header columns are pushed down; a record's headers are inflated first, and the rest of a
 member that is not wanted is skipped by its `sl` length, neither read nor inflated. Payloads
-are inflated only if the schema asks for them or the digest is to be verified.
+are inflated only if the schema asks for them or the digest is to be verified. An empty table
+makes no archive, and none are read; a payload must fit a task, however long it is.
 
 Defined results: a null payload is empty; a null id, URL or reference has no header and is read
 as null; control characters in URLs are percent-encoded; only the named columns are read.
@@ -329,7 +330,10 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     drop_at_exit(spark, path)
-    back = read(spark, path, "record_id bigint, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint", verify=True)
+    columns = "record_id bigint, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint"
+    # the type is pushed down: payloads are inflated to be verified, and skipped unread for the revisits
+    full = read(spark, path, columns, verify=True).filter("record_type = 'response'")
+    back = full.union(read(spark, path, columns).filter("record_type = 'revisit'"))
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

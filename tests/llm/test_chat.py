@@ -51,3 +51,14 @@ def test_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(sql.fetchall())
     minus = [r for r in got.collect() if r.conv_id == -1][0]
     assert minus.loss_chars == 21 and minus.loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+
+
+def test_long_conversation_of_runs(spark):
+    rng = random.Random(6)
+    rows = [(1, i, rng.choice(["user", "assistant", "assistant", "tool"]), f"text {i} </s>" * rng.randint(0, 2)) for i in range(3000)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = got.select("formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in rows]
+    assert r.loss == "".join(x[3] for x in rows if x[2] == "assistant") and len(r.loss_spans) == sum(x[2] == "assistant" for x in rows)
+    runs = 1 + sum(a[2] != b[2] for a, b in zip(rows, rows[1:]))
+    assert r.formatted.count(chat.OPEN) == r.formatted.count(chat.CLOSE) == runs and r.formatted.count(chat.MORE) == len(rows) - runs

@@ -84,3 +84,84 @@ def test_no_label_is_left_out(spark):
     assert len(few.labels) == 13 and (np.abs(few.w).max(axis=0) > 0).all()
     with pytest.raises(ValueError):
         langid.train(df, sample_per_label=10, full_labels=3)
+
+
+def test_matches_a_plain_version(spark, rows):
+    """Features, TF-IDF, FTRL and softmax once more, entry by entry and without arrays."""
+    import math
+
+    bits, wrap = 8, (1 << 64) - 1
+
+    def grams(text):
+        line, out = " " + text.lower() + " ", {}
+        kept, last = [], True
+        for i, c in enumerate(line):
+            if c.isalpha() or i == 0 or last:
+                kept.append(ord(c) if c.isalpha() else 32)
+            last = c.isalpha()
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                key = 0
+                for c in kept[i : i + n]:
+                    key = (key * 0x110000 + c) & wrap
+                m = (key + n) * 0x9E3779B97F4A7C15 & wrap
+                m = (m ^ m >> 29) * 0x9E3779B97F4A7C15 & wrap
+                out[m >> 64 - bits] = out.get(m >> 64 - bits, 0) + 1
+        return out if any(c.isalpha() for c in text) else None
+
+    texts = [(t, lang) for _, t, lang in rows[:120]]
+    found = [grams(t) for t, _ in texts]
+    for plain, fast in zip(found, langid.features([t.encode() for t, _ in texts], bits)):
+        assert plain == dict(zip(fast[0].tolist(), fast[1].tolist()))
+    df = {}
+    for g in found:
+        for f in g:
+            df[f] = df.get(f, 0) + 1
+    idf = [math.log((1 + len(found)) / (1 + df.get(f, 0))) + 1 for f in range(1 << bits)]
+    labels = sorted({lang for _, lang in texts})
+    examples = []
+    for g, (_, lang) in zip(found, texts):
+        x = {f: (1 + math.log(c)) * idf[f] for f, c in g.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        examples.append(({f: v / norm for f, v in x.items()}, labels.index(lang)))
+    alpha, beta, l1, l2, k = 0.5, 1.0, 0.02, 0.02, len(labels)
+    z, n = [[0.0] * k for _ in range((1 << bits) + 1)], [[0.0] * k for _ in range((1 << bits) + 1)]
+
+    def weight(f, y, l1=l1, l2=l2):
+        if abs(z[f][y]) <= l1:
+            return 0.0
+        return -(z[f][y] - math.copysign(l1, z[f][y])) / ((beta + math.sqrt(n[f][y])) / alpha + l2)
+
+    bias = 1 << bits
+    order = np.random.default_rng(0)
+    for _ in range(3):
+        for e in order.permutation(len(examples)):
+            x, label = examples[e]
+            w = {f: [weight(f, y) for y in range(k)] for f in x} | {bias: [weight(bias, y, 0.0, 0.0) for y in range(k)]}
+            x = x | {bias: 1.0}
+            s = [sum(x[f] * w[f][y] for f in x) for y in range(k)]
+            p = [math.exp(v - max(s)) for v in s]
+            p = [v / sum(p) for v in p]
+            for f in x:
+                for y in range(k):
+                    g = x[f] * (p[y] - (y == label))
+                    z[f][y] += g - (math.sqrt(n[f][y] + g * g) - math.sqrt(n[f][y])) / alpha * w[f][y]
+                    n[f][y] += g * g
+    fast = [langid.weights(f, np.array(idf)) for f in langid.features([t.encode() for t, _ in texts], bits)]
+    w, b = langid.ftrl([(*f, label) for f, (_, label) in zip(fast, examples)], 1 << bits, k)
+    want = np.array([[weight(f, y) for y in range(k)] for f in range(1 << bits)])
+    assert np.allclose(w, want, atol=1e-9) and np.allclose(b, [weight(bias, y, 0.0, 0.0) for y in range(k)], atol=1e-9)
+    model = langid.Model(labels, np.array(idf), w, b, 1.7, bits)
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in langid.predict(frame, model).collect():
+        x, _ = examples[r.doc_id]
+        s = [(sum(v * want[f][y] for f, v in x.items()) + b[y]) / 1.7 for y in range(k)]
+        p = [math.exp(v - max(s)) for v in s]
+        assert r.lang_pred == labels[int(np.argmax(s))] and abs(r.score - max(p) / sum(p)) < 1e-9
+
+
+def test_sample_comes_as_counts(spark):
+    rows = spark.createDataFrame([(0.5, b"ab" * 100_000, "x"), (0.25, b"12", "y")], "u double, text binary, label string")
+    got = {r.label: r for r in langid.counted(rows, 8).collect()}
+    at, count = next(langid.features([b"ab" * 100_000], 8))
+    assert got["y"].at is None and (np.frombuffer(got["x"].at, "<i4") == at).all() and (np.frombuffer(got["x"].count_of, "<i4") == count).all()

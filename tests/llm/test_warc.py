@@ -6,6 +6,8 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import EqualTo
 
 from loomgraph.llm import warc
 
@@ -86,3 +88,36 @@ def test_sql(spark, tmp_path, pages):
     sql = con.sql(warc.SQL["op6_warc"])
     key = lambda r: r[0]
     assert sorted(map(tuple, warc.op6_warc(spark, str(tmp_path)).select(*sql.columns).collect()), key=key) == sorted(sql.fetchall(), key=key)
+
+
+def test_reader_takes_the_type_and_skips_payloads(spark, tmp_path, monkeypatch):
+    """A pushed predicate is taken whole, and no payload of another type is inflated."""
+    body = "".join(random.Random(1).choices("abcdefghij", k=200_000))
+    pages = spark.createDataFrame([(i, "http://x/", body if i < 6 else f"{i}{body}") for i in range(12)], "page_id long, url string, html string")
+    warc.write(warc.records(pages), f"{tmp_path}/a")
+    schema = T._parse_datatype_string("record_id bigint, record_type string, payload_bytes bigint")
+    inflated = [0]
+
+    class Counting:
+        def __init__(self, *a):
+            self.inner = zlib_decompressobj(*a)
+
+        def decompress(self, *a):
+            out = self.inner.decompress(*a)
+            inflated[0] += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    zlib_decompressobj = warc.zlib.decompressobj
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    for kind, ids in (("revisit", set(range(5))), ("response", set(range(5, 12)))):
+        reader = warc.WarcReader(schema, {"path": f"{tmp_path}/a"})
+        assert list(reader.pushFilters([EqualTo(("record_type",), kind)])) == []
+        inflated[0] = 0
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert {r["record_id"] for r in rows} == ids
+        assert (inflated[0] < 200_000) == (kind == "revisit")
+    plan = warc.read(spark, f"{tmp_path}/a", "record_id bigint, record_type string").filter("record_type = 'revisit'")
+    assert plan.count() == 5 and "Filter" not in plan._jdf.queryExecution().optimizedPlan().toString().replace("PushedFilters", "")
