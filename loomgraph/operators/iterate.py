@@ -39,21 +39,55 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     return ranks
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, component): the least node that edges connect each node with. Labels spread to neighbours and then to the label's own label, so long paths halve each round."""
-    pairs = edges.filter("src <> dst").select("src", "dst")
-    pairs = cut(pairs.union(pairs.select("dst", "src")).toDF("src", "dst").distinct())
-    labels = cut(pairs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+#: Nodes with more edges than this, and than one in HOT_SHARE of all, are joined by a broadcast; there are at most HOT_SHARE of them.
+HOT_EDGES, HOT_SHARE = 1000, 10_000
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """`edges` (u, v), `n` of them or less, with m, the least v of each u. Edges of a node that has very many stay where they are: their least goes out to them."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")), "least")
+    many = F.col("k") > max(HOT_EDGES, n // HOT_SHARE)
+    hot = F.broadcast(least.filter(many).drop("k"))
+    others = edges.join(F.broadcast(least.filter(many).select("u")), "u", "left_anti").join(least.filter(~many).drop("k"), "u")
+    return edges.join(hot, "u").unionByName(others)
+
+
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).collect()[0]
+    return row["n"], row["x"]
+
+
+def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(node, label) of every node of `edges` (u, v): label is the least node of its component, by alternating large-star and small-star steps.
+
+    Each round is two aggregations with partial sums and two joins, in which no node's edges are
+    gathered however many they are; only counts and a checksum come to the driver. Self loops are
+    dropped, null ends too.
+    """
+    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    state = _state(e)
     for _ in range(max_rounds):
-        near = pairs.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        spread = labels.join(near, "node").select("node", F.least("component", "m").alias("component"))
-        jump = spread.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = cut(spread.join(jump, "component").select("node", F.least("component", "next").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        if not state[0]:
+            break
+        # large star: every larger neighbour of a node points to the least of its neighbourhood
+        both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
+        large = _with_least(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = cut(large, "edges")
+        # small star: a node and its lesser neighbours point to the least of these
+        marked = _with_least(large, state[0])
+        moved = marked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(moved.union(marked.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, state = state, _state(e)
+        if state == last:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that edges (src, dst) connect each node with; a node has a row if it has an edge that is no loop."""
+    return star_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("label", "component")
 
 
 def greedy_modularity(edges: DataFrame, max_edges: int = 200_000) -> DataFrame:

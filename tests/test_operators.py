@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import algebra, corpus, gnn, graphs, iterate, segment, similarity, tasks
+from loomgraph.operators import algebra, corpus, gnn, graphs, iterate, segment, sentences, similarity, tasks
 from loomgraph.operators import tokens as TK
 
 
@@ -293,3 +293,105 @@ def test_segmentation(spark):
     assert segment.best_pieces("abcx", {"ab": -1.0, "c": -1.0, "a": -3.0, "b": -3.0, "abc": -5.0}) == ["ab", "##c", "##x"]
     words = spark.createDataFrame([("abc",), ("abc",), (None,)], "token string")
     assert {r.token: r.pieces for r in segment.segment_words(words, lambda w: segment.merge_word(w, ranks)).collect()} == {"abc": ["abc"], None: []}
+
+
+def test_components_split_hot_nodes(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 300)] + [(1000, 1000 + i) for i in range(1, 80)] + [(2000 + i, 2001 + i) for i in range(120)]
+    pairs += [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(60)] + [(7, 7), (2000, 1050)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    edges_ = spark.createDataFrame(pairs, "src long, dst long").repartition(5)
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(iterate, "HOT_EDGES", most)
+        assert {r.node: r.component for r in iterate.connected_components(edges_).collect()} == {x: find(x) for x in parent}
+    assert iterate.connected_components(edges_.limit(0)).count() == 0
+
+
+def test_greedy_modularity(spark):
+    cliques = [(a, b, 1.0) for base in (0, 10, 20) for a in range(base, base + 6) for b in range(a + 1, base + 6)] + [(0, 10, 1.0), (10, 20, 1.0)]
+    both = spark.createDataFrame(cliques + [(b, a, w) for a, b, w in cliques], "src int, dst int, weight double")
+    assert {r.node: r.component for r in iterate.greedy_modularity(both).collect()} == {x: x // 10 * 10 for base in (0, 10, 20) for x in range(base, base + 6)}
+    assert {r.component for r in iterate.greedy_modularity(both, max_edges=5).collect()} == {0}
+
+
+def test_splits(spark):
+    assert corpus.article_split_counts(1, 0.5) == (0, 0) and corpus.article_split_counts(3, 0.9) == (2, 0) and corpus.article_split_counts(10, 0.01) == (1, 0)
+    assert corpus.dataset_split_counts(10, 0.7, 0.15, 0.15) == (2, 2) and corpus.dataset_split_counts(3, 0, 1, 1) == (1, 1) and corpus.dataset_split_counts(2, 1, 1, 1) == (0, 1)
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(700)], "doc_id int, text_hash string")
+    got = {r.split: r["count"] for r in corpus.split(rows, 0.1, 0.05).groupBy("split").count().collect()}
+    assert got == {"train": 595, "validation": 70, "test": 35}
+    keys = sorted(f"{random.Random(i).getrandbits(64):016x}" for i in range(500))
+    frame = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [corpus.smallest_key(frame, i, "k") for i in (1, 250, 500)] == [keys[0], keys[249], keys[499]]
+
+
+def test_heads_ids_and_node_paths(spark):
+    words = spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 0, "b"), (1, 3, 2, "c"), (2, 1, 0, "a")], "sentence int, word int, head int, text string")
+    nodes, found = graphs.heads_graph(words)
+    assert nodes.count() == 4 and edges(found) == {("1:2", "1:1"): 1.0, ("1:2", "1:3"): 1.0}
+    ids = spark.createDataFrame([(0, [2, 7, 1, 8, 7, 3])], "seq_id int, ids array<long>")
+    assert edges(graphs.ids_graph(ids, 2)) == {(7, 8): 1.0, (8, 7): 1.0}
+    assert edges(graphs.ids_graph(ids, 2, directed=False)) == {(7, 8): 2.0, (8, 7): 2.0}
+    named = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "node_id long, label string")
+    assert [r.path for r in algebra.node_paths(named, 5).orderBy("place").collect()] == ["x -> y", "y -> z"]
+    assert [r.path for r in algebra.node_paths(named, 1).collect()] == ["x"]
+    e = spark.createDataFrame([("کتابم", "گل", "r", 2.0), ("خانه", "گل", "r", 3.0), ("از", "کتاب", "r", 9.0)], "src string, dst string, relation string, weight double")
+    assert [r.src for r in algebra.focus_evidence(e, spark.createDataFrame([("کتاب",)], "term string")).collect()] == ["کتابم"]
+
+
+def test_byte_fallback_round_trip(spark):
+    names = [(f"<0x{b:02X}>", b) for b in range(256)] + [("سلام", 256), ("،", 257)]
+    vocab = spark.createDataFrame(names, "token string, token_id long")
+    a = docs(spark, [["سلام", "،", "واژه"], ["z"], []])
+    got = {r.doc_id: list(r.ids) for r in TK.encode(a, vocab, bos=2, eos=3, byte_fallback=True).collect()}
+    assert got[0] == [2, 261, 262, *[b + 5 for b in "واژه".encode()], 3] and got[1] == [2, 127, 3] and got[2] == [2, 3]
+    back = {r.doc_id: r.text for r in TK.decode(TK.encode(a, vocab, bos=2, eos=3, byte_fallback=True), vocab).collect()}
+    assert back == {0: "سلام، واژه", 1: "z", 2: ""}
+    assert {r.doc_id: r.text for r in TK.decode(spark.createDataFrame([(0, [2, 9999, 261])], "doc_id int, ids array<long>"), vocab, skip_special=False).collect()} == {0: "<bos> <unk> سلام"}
+
+
+def test_windows_pad_and_shift(spark):
+    enc = spark.createDataFrame([(0, [1, 2, 3]), (1, [9]), (2, [4, 5])], "doc_id int, ids array<long>")
+    got = [(r.example, list(r.input_ids), list(r.target_ids)) for r in TK.windows(enc, 3, 2).orderBy("example").collect()]
+    assert got == [(0, [1, 2, 3], [2, 3, 4]), (1, [3, 4, 0], [4, 5, -100])]
+    assert [r.labels for r in TK.curriculum(TK.windows(enc, 3, 2)).collect()] == [2, 3]
+    with pytest.raises(ValueError):
+        TK.windows(enc, 1)
+
+
+def test_attention_summary_is_that_of_the_plain_layer(spark):
+    import re
+
+    text = "alpha beta beta. gamma delta alpha. delta epsilon. beta gamma zeta zeta."
+    found = [x.strip() for x in re.split(r"[.!؟۔]", text) if x.strip()]
+    words = [re.findall(r"\w\w+", x) for x in found]
+    vocab = sorted({w for f in words for w in f})
+    n = len(found)
+    tf = np.array([[f.count(w) for w in vocab] for f in words], float)
+    x = tf * (np.log((1 + n) / (1 + (tf > 0).sum(axis=0))) + 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    rng = np.random.default_rng(0)
+    draw = lambda a, b, *size: rng.uniform(-np.sqrt(6 / (a + b)), np.sqrt(6 / (a + b)), size)
+    w, att, out = draw(len(vocab), 32, len(vocab), 32), draw(len(vocab), 32, 64, 1), draw(32, 16, 32, 16)
+    h = x @ w
+    rows = []
+    for i in range(n):
+        e = np.array([v if (v := float((np.concatenate([h[i], h[j]]) @ att)[0])) > 0 else 0.2 * v for j in range(n)])
+        e = np.where((cosine[i] > 1e-12) | (np.arange(n) == i), e, -np.inf)
+        p = np.exp(e - e.max())
+        rows.append((p / p.sum()) @ h)
+    want = np.linalg.norm(np.array(rows) @ out, axis=1)
+    assert np.allclose(sentences.attention_norms(found, 32, 16, 0), want)
+    got = sentences.attention_summary(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "!!")], "doc_id int, text string"), 2).collect()
+    assert [(r.doc_id, r.rank_pos) for r in got] == [(1, int(i)) for i in sorted(np.argsort(want)[::-1][:2])]
