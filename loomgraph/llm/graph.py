@@ -1,41 +1,7 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.iterate import star_components as components
 
-from .common import cut
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).collect()[0]
-    return row["n"], row["x"]
-
-
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, label) of every node of `edges` (u, v): label is the least node of its component.
-
-    Each round is two aggregations with partial sums and two joins; only a count and a checksum
-    come to the driver. Self loops are dropped, null ends too.
-    """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    e = cut(e, "edges")
-    state = _state(e)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        # large star: every larger neighbour of a node points to the least of its neighbourhood
-        both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its lesser neighbours point to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        last, state = state, _state(e)
-        if state == last:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+__all__ = ["components"]
