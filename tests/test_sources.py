@@ -1,3 +1,5 @@
+import random
+
 import json
 
 import pytest
@@ -120,3 +122,61 @@ def test_streaming_counts_add_up(spark, tmp_path):
     q.stop()
     assert {(r.a, r.b): r.n for r in spark.table("pairs").collect()} == {("a", "b"): 3, ("b", "c"): 1}
     assert spark.table("pairs").select(F.sum("n")).first()[0] == 4
+
+
+def test_eval_rows_and_hashes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"prompt": "p", "answer": 3}\n\n"just text"\nnot json\n')
+    (tmp_path / "b.tsv").write_text("prompt\tanswer\nx\ty z\n")
+    (tmp_path / "c.txt").write_text("one\n \ntwo\n")
+    got = [r.row for r in readers.read_eval_rows(spark, f"{tmp_path}/a.jsonl").orderBy("line").collect()]
+    assert got == [{"prompt": "p", "answer": "3"}, {"text": "just text"}, {"text": "not json"}]
+    assert [r.row for r in readers.read_eval_rows(spark, f"{tmp_path}/b.tsv").collect()] == [{"prompt": "x", "answer": "y z"}]
+    assert [r.row for r in readers.read_eval_rows(spark, f"{tmp_path}/c.txt").orderBy("line").collect()] == [{"text": "one"}, {"text": "two"}]
+    assert readers.read_eval_hashes(spark, [f"{tmp_path}/c.txt", f"{tmp_path}/missing.txt"]).count() == 2
+    assert {r.name for r in readers.list_catalog(spark, str(tmp_path), "*.t*").collect()} == {"b.tsv", "c.txt"}
+
+
+def test_binary_shards(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    enc = spark.createDataFrame([(i, list(range(i, i + i % 4))) for i in range(20)], "doc_id long, ids array<long>").repartition(3)
+    stream = [x for i in range(20) for x in range(i, i + i % 4)]
+    got = sorted(tuple(r) for r in writers.write_binary_shards(enc, f"{tmp_path}/s", "train", 7).collect())
+    assert [g[3] for g in got] == [7] * (len(stream) // 7) + [len(stream) % 7] * (len(stream) % 7 > 0)
+    back = []
+    for split, name, dtype, n, digest in got:
+        data = (tmp_path / "s" / name).read_bytes()
+        assert (split, dtype, digest) == ("train", "int64", hashlib.sha256(data).hexdigest())
+        back += np.frombuffer(data, "<i8").tolist()
+    assert back == stream
+
+
+def test_article_sink(spark, tmp_path):
+    from loomgraph.operators import corpus
+
+    rows = [(i, f"title {i}", f"A body of words {i}. " * 8 if i % 4 else "short", ["k"]) for i in range(12)]
+    prepared = corpus.prepare_articles(spark.createDataFrame(rows, "id long, title string, body string, keywords array<string>"))
+    got = {r.name: r.value for r in writers.write_articles(prepared, f"{tmp_path}/out", 0.3).collect()}
+    assert (got["accepted_records"], got["rejected_records"], got["train"], got["validation"]) == (9, 3, 6, 3)
+    lines = {n: [r.value for r in spark.read.text(f"{tmp_path}/out/{n}").collect()] for n in ("corpus", "train", "validation")}
+    assert sorted(lines["train"] + lines["validation"]) == sorted(lines["corpus"]) and len(lines["corpus"]) == 9
+    assert spark.read.json(f"{tmp_path}/out/rejected_records").count() == 3 and "corpus_text" in spark.read.json(f"{tmp_path}/out/prepared_articles").columns
+
+
+def test_classifier_saved_and_loaded(spark, tmp_path):
+    from loomgraph.operators import gnn
+
+    rng = random.Random(1)
+    rows = [(i, [rng.choice(["awful", "bad"] if i % 2 else ["good", "fine"]) for _ in range(6)] + [rng.choice("abcde")]) for i in range(80)]
+    a = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, "n" if i % 2 else "p") for i in range(80)], "doc_id long, label string")
+    model = gnn.TextClassifier(256).fit(a, labels)
+    model.save(f"{tmp_path}/m")
+    again = gnn.TextClassifier.load(spark, f"{tmp_path}/m")
+    assert again.labels == ["n", "p"] and again.buckets == 256
+    assert sorted(map(tuple, again.predict(a).collect())) == sorted(map(tuple, model.predict(a).collect()))
+    assert tuple(again.evaluate(a, labels).first()) == (1.0, 1.0)
+    report = {r.split: (r.n, r.accuracy) for r in gnn.dataset_report(a, labels).collect()}
+    assert report == {"train": (56, 1.0), "validation": (12, 1.0), "test": (12, 1.0)}
