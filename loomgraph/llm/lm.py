@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..layout import spread
 from .common import crc_mod, cut
 
 BLOCK_TOKENS = 500_000
@@ -359,5 +360,5 @@ def lm_score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return lm_score(docs, crc_mod("doc_id", 7) == 2)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..layout import spread
 from .common import ASCII_SPACE, id_and_text, id_field, map_chunks
 
 SYMBOLS = b"#*$%&|<>"
@@ -175,7 +176,7 @@ def quality_rules(
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("n_covered_words").alias("n_repeat_words"), "base_failed", "kept", "long_repeat"
     )

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..layout import spread
 from .common import id_and_text, id_field, map_chunks
 
 
@@ -248,7 +249,7 @@ def _digest(spans: F.Column) -> F.Column:
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = [r.kind for r in BASE_RULES]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return scan(docs).select(
