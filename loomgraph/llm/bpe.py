@@ -37,14 +37,14 @@ from pyspark.sql import types as T
 from ..layout import spread
 from .common import give_back, id_and_text, small_batches
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of text for each segment of pieces.
 SEGMENT_BYTES = 4 << 20
 LEAST_SEGMENTS = 32
 #: Bytes of text that are cut at once.
 CUT_BYTES = 1 << 20
-#: Pieces put together at once.
-PIECES_AT_ONCE = 200_000
+#: Pieces in one row of a block, and put together at once: rows stay below half a MB, or the longest text.
+PIECES_AT_ONCE = 100_000
 LOST = "a block did not find its ids: the input gave other partitions when it was read again"
 
 # Fixed value: the pattern of byte-level BPE that is cut by array operations; any other goes through the regex library.
@@ -314,13 +314,13 @@ class Block:
         data, lengths, self.counts, one, two = whole
         del whole
         at, number = distinct(one, two)
-        self.key = hashlib.blake2b(one[at].tobytes() + two[at].tobytes(), digest_size=16).hexdigest()
+        one, two = one[at], two[at]
         ends = np.cumsum(lengths)[at]
         blob = memoryview(data)
         self.pieces = [bytes(blob[a:b]) for a, b in zip((ends - lengths[at]).tolist(), ends.tolist())]
         ranks = _ranks(path)
         token = np.fromiter((ranks.get(p, -1) for p in self.pieces), np.int32, len(at))
-        segment = (one[at] % np.uint64(segments)).astype(np.int64)
+        segment = (one % np.uint64(segments)).astype(np.int64)
         #: Pieces that are no tokens, by segment and then by hash.
         asked = np.flatnonzero(token < 0)
         self.asked = asked[np.argsort(segment[asked], kind="stable")]
@@ -329,6 +329,8 @@ class Block:
         place = np.empty(len(at), np.int32)
         place[common] = np.arange(len(at), dtype=np.int32)
         self.numbers, self.token, self.asked_numbers = place[number], token[common], place[self.asked]
+        #: Blocks of one key have the same pieces under the same numbers, and so the same answers.
+        self.key = hashlib.blake2b(one.tobytes() + two.tobytes() + place.tobytes(), digest_size=16).hexdigest()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, segments: int, block_bytes: int) -> Iterator[tuple[pa.Array, Block]]:
@@ -355,6 +357,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, segments
         yield pa.concat_arrays(ids), Block(parts, path, segments)
 
 
+def _runs(counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, done, end): runs of texts [first, last) with their pieces [done, end), about `PIECES_AT_ONCE`; a longer text is alone."""
+    ends, first = np.cumsum(counts), 0
+    while first < len(counts):
+        done = int(ends[first] - counts[first])
+        last = max(first + 1, int(np.searchsorted(ends, done + PIECES_AT_ONCE, "right")))
+        yield first, last, done, int(ends[last - 1])
+        first = last
+
+
 def asked_pieces(rows: DataFrame, path: str, pattern: str, segments: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(seg, block, lengths, pieces): the distinct pieces of each block that are no tokens, by segment."""
 
@@ -423,53 +435,50 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     kind = rows.schema["id"].dataType
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "ids", "counts", "numbers", "token", "asked"]
+
+        def row(key: str, ids: pa.Array, *blobs: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
+
         for ids, block in _blocks(batches, path, pattern, segments, block_bytes):
-            one = lambda x, t: pa.array([x], t)
-            columns = [one(block.key, pa.string()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-            columns += [one(_planes(x), pa.binary()) for x in (block.counts, block.numbers, block.token, block.asked_numbers)]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "numbers", "token", "asked"])
+            yield row(block.key, ids.slice(0, 0), None, None, _planes(block.token), _planes(block.asked_numbers))
+            for first, last, done, end in _runs(block.counts):
+                yield row(block.key, ids.slice(first, last - first), _planes(block.counts[first:last]), _planes(block.numbers[done:end]), None, None)
             del block
         give_back()
 
     fields = [T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(kind))] + [T.StructField(c, T.BinaryType()) for c in ("counts", "numbers", "token", "asked")]
     schema = T.StructType([T.StructField(id_col, kind, True), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * with_decoded)
 
-    def joined(row: dict, ids: pa.Array, found: dict[int, tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        asked, token = _unplanes(row["asked"]), _unplanes(row["token"])
+    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = dict(zip(right.column("seg").to_pylist(), zip(right.column("counts").to_pylist(), right.column("ids").to_pylist())))
+        head = left.filter(pc.is_valid(left.column("token")))
+        if not head.num_rows:
+            raise ValueError(LOST)
+        asked, token = (_unplanes(head.column(c)[0].as_py()) for c in ("asked", "token"))
         back = [found[s] for s in sorted(found)]
-        lengths = np.ones(len(token), np.int64)
-        theirs = np.concatenate([_unplanes(c) for c, _ in back] or [np.zeros(0, np.int32)]).astype(np.int64)
+        lengths = np.ones(len(token), np.int32)
+        theirs = np.concatenate([_unplanes(c) for c, _ in back] or [np.zeros(0, np.int32)])
         if len(theirs) != len(asked):
             raise ValueError(LOST)
         lengths[asked] = theirs
         flat = np.concatenate([token, *(_unplanes(i) for _, i in back)])
         starts = np.arange(len(token))
-        starts[asked] = len(token) + np.cumsum(theirs) - theirs
-        numbers, counts = _unplanes(row["numbers"]), _unplanes(row["counts"]).astype(np.int64)
-        ends, first = np.cumsum(counts), 0
-        while first < len(counts):
-            done = int(ends[first] - counts[first])
-            last = max(first + 1, int(np.searchsorted(ends, done + PIECES_AT_ONCE, "right")))
-            part = numbers[done : ends[last - 1]]
-            tokens = _spread(flat, starts[part], lengths[part])
-            each = np.diff(np.r_[0, np.cumsum(lengths[part])][np.r_[0, ends[first:last] - done]])
-            columns = [ids.slice(first, last - first), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)], pa.int32()), pa.array(tokens, pa.int32()))]
-            if with_decoded:
-                columns.append(decode_ids(tokens, each, path))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            first = last
-
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        # blocks of equal pieces have one key and equal answers
-        found = dict(zip(right.column("seg").to_pylist(), zip(right.column("counts").to_pylist(), right.column("ids").to_pylist())))
+        starts[asked] = len(token) + np.cumsum(theirs, dtype=np.int64) - theirs
+        del found, back, theirs
         out = []
         for i in range(left.num_rows):
             one = left.slice(i, 1)
-            row = {c: one.column(c)[0].as_py() for c in ("counts", "numbers", "token", "asked")}
-            out += joined(row, one.column("ids").combine_chunks().flatten(), found)
+            if one.column("numbers")[0].as_py() is None:
+                continue
+            part, counts = (_unplanes(one.column(c)[0].as_py()) for c in ("numbers", "counts"))
+            tokens = _spread(flat, starts[part], lengths[part])
+            each = np.diff(np.r_[0, np.cumsum(lengths[part], dtype=np.int64)][np.r_[0, np.cumsum(counts, dtype=np.int64)]])
+            columns = [one.column("ids").combine_chunks().flatten(), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)], pa.int32()), pa.array(tokens, pa.int32()))]
+            if with_decoded:
+                columns.append(decode_ids(tokens, each, path))
+            out.append(pa.RecordBatch.from_arrays(columns, names=schema.names))
         give_back()
-        if not out:
-            raise ValueError(LOST)
         return pa.Table.from_batches(out)
 
     known = replayed(asked_pieces(rows, path, pattern, segments, block_bytes), path)
