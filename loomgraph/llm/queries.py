@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard, langid, lm, quality, secrets, sharding, warc
+from . import audit, bpe, chat, decontaminate, jaccard, langid, lm, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_proximity": decontaminate.op8_proximity,
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
-SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **sharding.SQL, **decontaminate.SQL}
+SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **sharding.SQL, **decontaminate.SQL, **audit.SQL}
