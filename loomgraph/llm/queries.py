@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, chat, decontaminate, jaccard, langid, lm, marked, quality, secrets, sharding, warc
+from . import audit, bpe, chat, decontaminate, jaccard, langid, lm, marked, phrases, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -18,7 +18,8 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_collocations": phrases.op12_collocations,
     "op13_sentencepiece": marked.op13_sentencepiece,
 }
 
-SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **sharding.SQL, **decontaminate.SQL, **audit.SQL}
+SQL = {**quality.SQL, **jaccard.SQL, **chat.SQL, **warc.SQL, **sharding.SQL, **decontaminate.SQL, **audit.SQL, **phrases.SQL}
