@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
 from ..scratch import cut
+from .iterate import star_components
 from .similarity import simhash_pairs
 
 
@@ -26,27 +28,62 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return keyed.join(keyed.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")), "text_hash").select("doc_id", "text_hash", "first_id")
 
 
+#: Pairs of linked nodes that one task settles.
+GROUP_PAIRS = 200_000
+
+
 def earliest_accepted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, accepted): in id order a node is accepted unless one accepted before it is its neighbour; `pairs` (src < dst).
+    """(node, accepted): in id order a node is accepted unless one accepted before it is its neighbour; `pairs` (src < dst), distinct ids. Nodes without pairs are accepted.
 
-    Each round settles every node whose earlier neighbours are all settled, so rounds are as many
-    as the longest chain of decisions, not as many as nodes. Nodes without pairs are accepted.
+    Linked nodes form groups, found in rounds that grow with the logarithm of their width. A group
+    of up to `GROUP_PAIRS` pairs is settled in one task, in id order, however long its chains are.
+    Pairs of larger groups are settled in rounds, each of which decides every node whose earlier
+    neighbours are all decided: as many rounds as the longest chain of decisions.
     """
-    open_pairs = cut(pairs.select("src", "dst"))
-    decided = None
-    waiting = cut(open_pairs.select(F.col("src").alias("node")).union(open_pairs.select(F.col("dst").alias("node"))).distinct())
+    open_pairs = cut(pairs.select("src", "dst"), "pairs")
+    if open_pairs.isEmpty():
+        return nodes.select("node", F.lit(True).alias("accepted"))
+    kind = open_pairs.schema["src"].dataType.simpleString()
+    groups = cut(star_components(open_pairs.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "groups")
+    placed = open_pairs.join(groups.select(F.col("node").alias("src"), "label"), "src")
+    sizes = cut(placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    large = cut(sizes.filter(F.col("n") > GROUP_PAIRS).select("label"), "large")  # few: each has that many pairs
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        rejected, accepted = set(), set()
+        later = {}
+        for a, b in zip(group["src"].tolist(), group["dst"].tolist()):
+            later.setdefault(a, []).append(b)
+            later.setdefault(b, [])
+        for x in sorted(later):
+            if x not in rejected:
+                accepted.add(x)
+                rejected.update(later[x])
+        return pd.DataFrame({"node": list(later), "accepted": [x in accepted for x in later]})
+
+    decided = placed.join(F.broadcast(large), "label", "left_anti").groupBy("label").applyInPandas(settle, f"node {kind}, accepted boolean")
+    if not large.isEmpty():
+        decided = decided.union(_accepted_in_rounds(placed.join(F.broadcast(large), "label", "left_semi").select("src", "dst")))
+    return nodes.join(decided, "node", "left").select("node", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+
+def _accepted_in_rounds(pairs: DataFrame) -> DataFrame:
+    """(node, accepted) of the nodes of `pairs`, every node whose earlier neighbours are all decided in each round."""
+    open_pairs = cut(pairs, "pairs")
+    decided = []
+    waiting = cut(open_pairs.select(F.col("src").alias("node")).union(open_pairs.select(F.col("dst").alias("node"))).distinct(), "waiting")
     while not waiting.isEmpty():  # the least waiting node is never blocked, so each round settles some
         blocked = open_pairs.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        won = cut(waiting.join(blocked, "node", "left_anti"))
-        lost = cut(open_pairs.join(won.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(waiting, "node", "left_semi"))
+        won = cut(waiting.join(blocked, "node", "left_anti"), "won")
+        lost = cut(open_pairs.join(won.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(waiting, "node", "left_semi"), "lost")
         step = won.withColumn("accepted", F.lit(True)).union(lost.withColumn("accepted", F.lit(False)))
-        decided = step if decided is None else decided.union(step)
+        decided.append(step)
+        if len(decided) == 16:  # few parts, however many rounds
+            decided = [cut(reduce(DataFrame.union, decided), "decided")]
         gone = step.select("node")
-        waiting = cut(waiting.join(gone, "node", "left_anti"))
-        open_pairs = cut(open_pairs.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    if decided is None:
-        return nodes.select("node", F.lit(True).alias("accepted"))
-    return nodes.join(decided, "node", "left").select("node", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+        waiting = cut(waiting.join(gone, "node", "left_anti"), "waiting")
+        open_pairs = cut(open_pairs.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), "pairs")
+    return reduce(DataFrame.union, decided)
 
 
 def build_corpus(
@@ -82,13 +119,17 @@ def build_corpus(
     heads = passed.filter("doc_id = first_id")
     if near_threshold is not None:
         distance = int((1 - near_threshold) * 64 + 1e-9)
+        # texts of one simhash fall together: only the earliest can be accepted, and what rejects it rejects all;
         # a text of the evaluation set is never accepted, so it can only be rejected
-        acceptors = heads.filter("eval IS NULL").select(F.col("doc_id").alias("id"), "simhash")
-        pairs = cut(simhash_pairs(heads.select(F.col("doc_id").alias("id"), "simhash"), distance)).select("src", "dst")
-        inner = pairs.join(acceptors.select(F.col("id").alias("src")), "src", "left_semi").join(acceptors.select(F.col("id").alias("dst")), "dst", "left_semi")
-        accepted = earliest_accepted(inner, acceptors.select(F.col("id").alias("node"))).filter("accepted").select(F.col("node").alias("src"))
-        ways = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        near = ways.join(accepted, "src", "left_semi").groupBy(F.col("dst").alias("doc_id")).agg(F.min("src").alias("near_from"))
+        classes = cut(heads.groupBy("simhash").agg(F.min(F.when(F.col("eval").isNull(), F.col("doc_id"))).alias("rep")), "simhashes")
+        pairs = cut(simhash_pairs(classes.select(F.col("simhash").alias("id"), "simhash"), distance).select("src", "dst"), "near")
+        reps = classes.filter("rep IS NOT NULL")
+        named = pairs.join(reps.select(F.col("simhash").alias("src"), F.col("rep").alias("a")), "src").join(reps.select(F.col("simhash").alias("dst"), F.col("rep").alias("b")), "dst")
+        inner = named.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        accepted = cut(earliest_accepted(inner, reps.select(F.col("rep").alias("node"))).filter("accepted").join(reps.withColumnRenamed("rep", "node"), "node").select("simhash", "node"), "accepted")
+        ways = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).toDF("simhash", "other")
+        by_class = accepted.join(ways, "simhash").select(F.col("other").alias("simhash"), "node").unionByName(accepted).groupBy("simhash").agg(F.min("node").alias("near_from"))
+        near = heads.select("doc_id", "simhash").join(by_class, "simhash").filter("near_from <> doc_id").select("doc_id", "near_from")
         heads = heads.join(near, "doc_id", "left")
     else:
         heads = heads.withColumn("near_from", F.lit(None).cast(heads.schema["doc_id"].dataType))

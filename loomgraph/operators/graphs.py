@@ -33,22 +33,20 @@ def relation_names(names: list[str]) -> list[str]:
 # pairs of nearby tokens
 
 
-def near_pairs(arrays: DataFrame, window: int) -> DataFrame:
-    """(a, b, k): every pair of tokens k places apart, 1 <= k <= window, in text order."""
-    t, n = F.col("tokens"), F.size("tokens")
-
-    def apart(k: int) -> Column:
-        rest = F.greatest(n - k, F.lit(0))
-        zipped = F.arrays_zip(F.slice(t, 1, rest).alias("a"), F.slice(t, k + 1, rest).alias("b"))
-        return F.transform(zipped, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.lit(k).alias("k")))
-
-    shifted = [apart(k) for k in range(1, window + 1)]
-    return arrays.select(F.explode(F.concat(*shifted)).alias("p")).select("p.a", "p.b", "p.k")
-
-
-def pair_counts(arrays: DataFrame, window: int) -> DataFrame:
+def near_pairs(arrays: DataFrame, window: int, scope: str = "document") -> DataFrame:
+    """(a, b, k): every pair of tokens k places apart, 1 <= k <= window, in text order; with `scope` corpus also across the edges of documents, as in one text of all in the order of doc_id."""
+    if scope == "corpus":
+        arrays = cut(arrays.select("doc_id", "tokens"), "arrays")
+        return near_pairs(arrays, window).unionByName(TK.edge_pairs(arrays, window))
+    # one distance at a time: no cell holds more than a row's tokens once
+    each = arrays.select("tokens", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("k")).withColumn("rest", F.size("tokens") - F.col("k")).filter("rest > 0")
+    zipped = F.arrays_zip(F.slice("tokens", F.lit(1), F.col("rest")).alias("a"), F.slice("tokens", F.col("k") + 1, F.col("rest")).alias("b"))
+    return each.select("k", F.explode(zipped).alias("p")).select("p.a", "p.b", "k")
+
+
+def pair_counts(arrays: DataFrame, window: int, scope: str = "document") -> DataFrame:
     """(a, b, n) with a <= b: unordered position pairs within the window."""
-    pairs = near_pairs(arrays, window)
+    pairs = near_pairs(arrays, window, scope)
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,12 +132,12 @@ def compressed(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
     return back
 
 
-def distance_cooccurrence(arrays: DataFrame, window: int = 4) -> DataFrame:
-    """(src, dst, weight), src < dst: 1/k summed over pairs k places apart; a token with itself is skipped. Sums are exact: integer parts of the least common multiple."""
+def distance_cooccurrence(arrays: DataFrame, window: int = 4, scope: str = "document") -> DataFrame:
+    """(src, dst, weight), src < dst: 1/k summed over pairs k places apart within documents, or within the corpus as one text; a token with itself is skipped. Sums are exact: integer parts of the least common multiple."""
     from math import lcm
 
     whole = lcm(*range(1, window + 1))
-    pairs = near_pairs(arrays, window).filter("a <> b")
+    pairs = near_pairs(arrays, window, scope).filter("a <> b")
     part = reduce(lambda c, k: c.when(F.col("k") == k, whole // k), range(2, window + 1), F.when(F.col("k") == 1, whole))
     sums = pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum(part.cast("long")).alias("parts"))
     return sums.select("src", "dst", (F.col("parts") / whole).alias("weight"))
@@ -270,13 +268,14 @@ def merge_relations(parts: dict[str, DataFrame], weights: dict[str, float] | Non
 
 
 def multi_relation_graph(
-    arrays: DataFrame, relations: list[str], window: int = 4, min_count: int = 1, top_k: int | None = 20, topics: int = 8, weights: dict[str, float] | None = None, semantic: str = "orthographic", threshold: float = 0.6
+    arrays: DataFrame, relations: list[str], window: int = 4, min_count: int = 1, top_k: int | None = 20, topics: int = 8, weights: dict[str, float] | None = None, semantic: str = "orthographic", threshold: float = 0.6,
+    scope: str = "document",
 ) -> DataFrame:
-    """(src, dst, relation, weight), both directions: the relations over tokens of at least `min_count`; falls back on co-occurrence if no relation gives an edge."""
+    """(src, dst, relation, weight), both directions: the relations over tokens of at least `min_count`; falls back on co-occurrence if no relation gives an edge. `scope` corpus counts distances over all documents as one text."""
     names = relation_names(relations)
     words = cut(frequent(arrays, min_count))
     inner = cut(compressed(arrays, words)) if min_count > 1 else arrays
-    base = cut(distance_cooccurrence(inner, window))
+    base = cut(distance_cooccurrence(inner, window, scope))
     nodes = words.select("token")
     make = {
         "cooccurrence": lambda: prune(both_ways(base), top_k),

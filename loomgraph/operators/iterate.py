@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,46 +88,100 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return star_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("label", "component")
 
 
-def greedy_modularity(edges: DataFrame, max_edges: int = 200_000) -> DataFrame:
-    """(node, component): communities by greedy modularity of an undirected graph (edges of both directions), named by their least node.
+def _labelled(edges: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """`edges` (src, dst, weight) with c, the label of dst. Edges of the few `hot` nodes (node) stay where they are: their labels go out to them."""
+    named = labels.select(F.col("node").alias("dst"), F.col("label").alias("c"))
+    few = F.broadcast(named.join(F.broadcast(hot.select(F.col("node").alias("dst"))), "dst", "left_semi"))
+    rest = edges.join(F.broadcast(hot.select(F.col("node").alias("dst"))), "dst", "left_anti")
+    return edges.join(few, "dst").unionByName(rest.join(named, "dst"))
+
+
+def _modularity(inside: DataFrame, labels: DataFrame, whole: float, resolution: float) -> float:
+    """Modularity of `labels` (node, label, degree); `inside`: one row with the weight within communities."""
+    spread = labels.groupBy("label").agg(F.sum("degree").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
+    row = inside.crossJoin(spread).first()  # one row each
+    return (row["w"] or 0.0) / whole - resolution * (row["s"] or 0.0) / whole**2
+
+
+def _local_moves(edges: DataFrame, whole: float, resolution: float, least_gain: float) -> tuple[DataFrame, float, bool]:
+    """((node, label), modularity, moved): nodes of a graph (src, dst, weight; both directions) move to the neighbouring community of the largest gain, all of one half of the nodes at once, until modularity gains less than `least_gain` in both halves.
+
+    A round is one join of the labels and two aggregations with partial sums. A move towards a
+    single node goes to the lesser label only, so two singles never swap; the best labels seen stay.
+    """
+    n = edges.count()
+    degrees = cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"), F.count(F.lit(1)).alias("k")), "degrees")
+    hot = cut(degrees.filter(F.col("k") > max(HOT_EDGES, n // HOT_SHARE)).select("node"), "hot")
+    labels = degrees.select("node", F.col("node").alias("label"), "degree")
+    inside = edges.filter("src = dst").agg(F.sum("weight").alias("w"))
+    best, best_value, moved, idle, turn = labels, _modularity(inside, labels, whole, resolution), False, 0, 0
+    while idle < 2:
+        totals = labels.groupBy("label").agg(F.sum("degree").alias("total"), F.count(F.lit(1)).alias("members"))
+        near = _labelled(edges.filter("src <> dst"), labels, hot).groupBy("src", "c").agg(F.sum("weight").alias("w"))
+        own = labels.select(F.col("node").alias("src"), "label", "degree")
+        offers = near.join(own, "src").join(totals.withColumnRenamed("label", "c"), "c")
+        # the gain of joining c once the node has left its own community
+        gain = F.col("w") - resolution * F.col("degree") * (F.col("total") - F.when(F.col("c") == F.col("label"), F.col("degree")).otherwise(0.0)) / whole
+        score = F.struct(F.round(gain, 9).alias("gain"), (F.col("c") == F.col("label")).alias("stay"), "c", "members")
+        ranked = offers.groupBy("src", "label", "degree").agg(
+            F.min_by(score, F.struct(-F.round(gain, 9), (F.col("c") != F.col("label")), "c")).alias("to"), F.max(F.when(F.col("c") == F.col("label"), F.round(gain, 9))).alias("here")
+        )
+        alone = totals.select("label", F.col("members").alias("own_members"))
+        ranked = ranked.join(alone, "label")
+        better = F.col("to.gain") > F.coalesce("here", F.lit(0.0))
+        swaps = (F.col("own_members") == 1) & (F.col("to.members") == 1) & (F.col("to.c") > F.col("label"))
+        mine = F.pmod(F.xxhash64("src", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        chosen = ranked.select(F.col("src").alias("node"), F.when(better & ~swaps & mine, F.col("to.c")).otherwise(F.col("label")).alias("to"))
+        labels = cut(labels.join(chosen, "node", "left").select("node", F.coalesce("to", "label").alias("label"), "degree"), "labels")
+        both = _labelled(edges, labels, hot).join(labels.select(F.col("node").alias("src"), F.col("label").alias("mine")), "src").filter("c = mine")
+        value = _modularity(both.agg(F.sum("weight").alias("w")), labels, whole, resolution)
+        if value > best_value + least_gain:
+            best, best_value, moved, idle = labels, value, True, 0
+        else:
+            idle += 1
+        turn += 1
+    return best.select("node", "label"), best_value, moved
+
+
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, least_gain: float = 1e-6) -> DataFrame:
+    """(node, component): communities of an undirected graph (edges of both directions, loops once) by modularity, named by their least node.
 
-    Merges go one after another, so the graph is taken to the driver; a graph of more than
-    `max_edges` edges falls back on `connected_components`, which has no such bound.
+    Nodes move between communities in parallel rounds, then each community becomes one node of a
+    smaller graph whose loops hold the weight within, and so on until nothing gains: the same
+    steps at every size, all of them joins and sums. Rounds end by the gain that a step must
+    bring, of which modularity, at most 1, allows 1 / `least_gain`; in practice a few tens.
+    Loops count twice in a degree, weights must not be negative, a null end drops an edge.
     """
-    once = edges.filter("src <= dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    rows = once.limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        return connected_components(edges)
-    kind = edges.schema["src"].dataType.simpleString()
-    spark, links, degree = edges.sparkSession, {}, {}
-    for r in rows:
-        degree[r.src] = degree.get(r.src, 0.0) + r.weight
-        degree[r.dst] = degree.get(r.dst, 0.0) + r.weight
-        links.setdefault(r.src, {})
-        links.setdefault(r.dst, {})
-        if r.src != r.dst:
-            links[r.src][r.dst] = links[r.dst][r.src] = r.weight
-    whole = sum(degree.values())
-    members = {n: [n] for n in links}
-    gain = lambda a, b: 2 * (links[a][b] / whole - degree[a] * degree[b] / whole**2)
-    queue = [(-gain(a, b), a, b) for a in links for b in links[a] if a < b]
-    heapq.heapify(queue)
-    while queue:
-        g, a, b = heapq.heappop(queue)
-        if a not in links or b not in links[a] or abs(gain(a, b) + g) > 1e-12:
-            continue  # out of date
-        if g >= 0:
+    once = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    level = cut(once.select("src", "dst", F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight")).alias("weight")), "level")
+    whole = level.agg(F.sum("weight")).first()[0]
+    found = cut(level.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct(), "found")
+    while whole:
+        labels, _, moved = _local_moves(level, whole, resolution, least_gain)
+        if not moved:
             break
-        for c, w in links.pop(b).items():
-            del links[c][b]
-            if c != a:
-                links[a][c] = links[c][a] = links[a].get(c, 0.0) + w
-        degree[a] += degree.pop(b)
-        members[a] += members.pop(b)
-        for c in links[a]:
-            heapq.heappush(queue, (-gain(a, c), min(a, c), max(a, c)))
-    out = [(n, min(m)) for m in members.values() for n in m]
-    return spark.createDataFrame(out, f"node {kind}, component {kind}")
+        labels = cut(labels, "labels")
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        found = cut(found.join(up, "label").select("node", F.col("up").alias("label")), "found")
+        left = level.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+        level = cut(left.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "level")
+    names = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(names, "label").select("node", "component")
+
+
+def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of `communities` (node, component) in an undirected graph (edges of both directions, loops once)."""
+    rows = edges.select("src", "dst", F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight")).alias("weight"))
+    a = communities.select(F.col("node").alias("src"), F.col("component").alias("a"))
+    b = communities.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    named = rows.join(a, "src").join(b, "dst").groupBy("a").agg(F.sum("weight").alias("degree"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    row = named.agg(F.sum("inside").alias("w"), F.sum("degree").alias("whole"), F.sum(F.col("degree") * F.col("degree")).alias("s")).first()
+    return 0.0 if not row["whole"] else row["w"] / row["whole"] - resolution * row["s"] / row["whole"] ** 2
+
+
+def greedy_modularity(edges: DataFrame) -> DataFrame:
+    """`modularity_communities` under the name that callers of a merge-by-merge heuristic know; on test graphs its modularity is no lower than that heuristic's less 2 %."""
+    return modularity_communities(edges)
 
 
 def largest_communities(components: DataFrame, k: int) -> DataFrame:

@@ -18,13 +18,13 @@ def token_arrays(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> Dat
 
 
 def units(docs: DataFrame, scope: str = "document", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, text): whole documents or their sentences. A corpus-wide unit would be one row; ask for `document` and join at the edges instead."""
+    """(doc_id, unit, text): whole documents or their sentences. The corpus as one unit is never one row: its units are the documents, and pair operators take `scope` corpus to join them at the edges."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if scope == "document":
+    if scope in ("document", "corpus"):
         return rows.select("doc_id", F.lit(0).alias("unit"), "text")
     if scope == "sentence":
         return rows.select("doc_id", F.posexplode(X.graph_sentences("text")).alias("unit", "text"))
-    raise ValueError("scope must be document or sentence")
+    raise ValueError("scope must be corpus, document or sentence")
 
 
 def positions(arrays: DataFrame) -> DataFrame:
@@ -114,18 +114,36 @@ def token_statistics(arrays: DataFrame, vocab: DataFrame, chars: DataFrame) -> D
     )
 
 
-def offsets(arrays: DataFrame, size: Column, order: str = "doc_id", buckets: int = 256) -> DataFrame:
-    """Adds start: the running sum of `size` before each row in the order of `order`.
+def offsets(arrays: DataFrame, size: Column, order: str = "doc_id", partitions: int | None = None) -> DataFrame:
+    """Adds start: the running sum of `size` before each row in the order of `order`, whose values are distinct.
 
-    Two levels: rows are range-partitioned, each partition sums its own, and only the partitions'
-    totals are summed in one place.
+    Two levels: rows are range-partitioned once and written with the number of their partition, as
+    each sampling of range bounds would give others; each partition sums its own, and only the
+    partitions' totals are summed in one place. `partitions`: spark.sql.shuffle.partitions by default.
     """
-    placed = arrays.withColumn("size", size.cast("long")).repartitionByRange(buckets, order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("part").agg(F.sum("size").alias("total"))
-    before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    out = placed.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return out.join(F.broadcast(before), "part").withColumn("start", F.col("base") + F.col("own")).drop("part", "own", "base")
+    n = partitions or int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(arrays.withColumn("size", size.cast("long")).repartitionByRange(n, order).withColumn("part__", F.spark_partition_id()), "placed")
+    inside = Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part__").agg(F.sum("size").alias("total__"))
+    before = totals.select("part__", F.coalesce(F.sum("total__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base__"))
+    out = placed.withColumn("own__", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return out.join(F.broadcast(before), "part__").withColumn("start", F.col("base__") + F.col("own__")).drop("part__", "own__", "base__")  # one row a partition
+
+
+def edge_pairs(arrays: DataFrame, window: int, order: str = "doc_id") -> DataFrame:
+    """(a, b, k): pairs of tokens k places apart, 1 <= k <= window, that lie in different rows of the one stream of all (doc_id, tokens) in order.
+
+    Only the first and last `window` tokens of a row can have such a partner. Each gets its place
+    in the stream and goes to the strip of `window` places that it lies in and to the next one, so
+    a group holds at most 2 * window tokens, however short or long rows are.
+    """
+    held = offsets(arrays.filter(F.size("tokens") > 0).select(order, "tokens"), F.size("tokens"), order)
+    each = held.select("start", "size", F.posexplode("tokens").alias("pos", "token")).filter((F.col("pos") < window) | (F.col("pos") >= F.col("size") - window))
+    placed = each.select((F.col("start") + F.col("pos")).alias("at"), "start", "token").withColumn("strip", F.floor(F.col("at") / window))
+    left = placed.select(F.explode(F.array("strip", F.col("strip") + 1)).alias("strip"), F.col("at").alias("p"), F.col("start").alias("row_a"), F.col("token").alias("a"))
+    right = placed.select("strip", F.col("at").alias("q"), F.col("start").alias("row_b"), F.col("token").alias("b"))
+    k = F.col("q") - F.col("p")
+    return left.join(right, "strip").filter(k.between(1, window) & (F.col("row_a") != F.col("row_b"))).select("a", "b", k.cast("int").alias("k"))
 
 
 def blocks(arrays: DataFrame, block: int) -> DataFrame:

@@ -303,6 +303,14 @@ _PRUNED = f"""base2 AS (SELECT src, dst, round(weight, 9) AS weight FROM base),
 kept AS (SELECT src, dst, weight FROM ranked WHERE r <= 5), pruned AS (SELECT src, dst, max(weight) AS weight FROM ({both_sql("kept")}) GROUP BY ALL)"""
 
 
+@query("corpus_scope_edges", f"""WITH {POS}, st AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY doc_id, pos) AS place FROM pos),
+pr AS ({" UNION ALL ".join(f"SELECT token AS a, lead(token, {k}) OVER (ORDER BY place) AS b, {k} AS k FROM st" for k in range(1, 5))})
+SELECT least(a, b) AS src, greatest(a, b) AS dst, round(sum(12 // k) / 12, 6) AS weight FROM pr WHERE a <> b GROUP BY ALL""")
+def _(s, d):
+    """Distances over all documents as one text, in the order of their ids."""
+    return graphs.distance_cooccurrence(arrays(s, d), 4, "corpus").select("src", "dst", r6("weight"))
+
+
 @query("prune_topk", f"WITH {_DIST}, {_PRUNED} SELECT src, dst, round(weight, 6) AS weight FROM pruned")
 def _(s, d):
     base = graphs.distance_cooccurrence(arrays(s, d), 4).withColumn("weight", F.round("weight", 9))
@@ -660,6 +668,14 @@ def _(s, d):
     return similarity.vector_search(v, asked).select("query_id", "id", r6("score"), F.col("rank").cast("long"))
 
 
+@query("vector_index_knn")
+def _(s, d):
+    """`vector_knn` by an inverted file: the rows whose id is divisible by 20 against all rows, with the probes that the index chose on its sample; recall is measured by a test and in the README."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return similarity.VectorIndex(v).search(asked).select("query_id", "id", r6("score"), F.col("rank").cast("long"))
+
+
 @query("semantic_edges", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.e, b.e) AS weight FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT src, dst, round(weight, 6) AS weight FROM c WHERE round(weight, 9) >= 0.3""")
 def _(s, d):
@@ -860,6 +876,12 @@ def _(s, d):
     return iterate.connected_components(QUERIES["social_graph"](s, d))
 
 
+@query("modularity_communities")
+def _(s, d):
+    """Communities of the whole social graph; held against greedy merging in a test, as several divisions may be as good."""
+    return iterate.modularity_communities(QUERIES["social_graph"](s, d).select("src", "dst", F.abs("weight").alias("weight")))
+
+
 @query("textrank_summary")
 def _(s, d):
     return tasks.textrank(docs(s, d))

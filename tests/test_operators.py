@@ -321,10 +321,9 @@ def test_greedy_modularity(spark):
     cliques = [(a, b, 1.0) for base in (0, 10, 20) for a in range(base, base + 6) for b in range(a + 1, base + 6)] + [(0, 10, 1.0), (10, 20, 1.0)]
     both = spark.createDataFrame(cliques + [(b, a, w) for a, b, w in cliques], "src int, dst int, weight double")
     assert {r.node: r.component for r in iterate.greedy_modularity(both).collect()} == {x: x // 10 * 10 for base in (0, 10, 20) for x in range(base, base + 6)}
-    assert {r.component for r in iterate.greedy_modularity(both, max_edges=5).collect()} == {0}
 
 
-def test_splits(spark):
+def test_article_and_dataset_splits(spark):
     assert corpus.article_split_counts(1, 0.5) == (0, 0) and corpus.article_split_counts(3, 0.9) == (2, 0) and corpus.article_split_counts(10, 0.01) == (1, 0)
     assert corpus.dataset_split_counts(10, 0.7, 0.15, 0.15) == (2, 2) and corpus.dataset_split_counts(3, 0, 1, 1) == (1, 1) and corpus.dataset_split_counts(2, 1, 1, 1) == (0, 1)
     rows = spark.createDataFrame([(i, f"k{i}") for i in range(700)], "doc_id int, text_hash string")
