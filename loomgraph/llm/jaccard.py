@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -305,6 +305,11 @@ def verified(members: DataFrame, threshold_percent: int, tolerance: float) -> Da
     return dealt.mapInArrow(run, "u binary, v binary, links bigint")
 
 
+def text_hash(text: Column) -> Column:
+    """What a text is fetched by once its class is known; two texts may share it."""
+    return F.xxhash64(text)
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold_percent: int = 80, tolerance: float = 1e-6) -> DataFrame:
     """One row for each document: `id_col`, class_id, n_links, n_shingles, copies.
 
@@ -316,7 +321,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 80 <= threshold_percent <= 100:
         raise ValueError("threshold_percent must be from 80 to 100")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("id"), text.alias("text"))
+    docs = df.select(F.struct(F.col(id_col).alias("id"), text_hash(text).alias("h")).alias("id"), text.alias("text"))
     signed = cut(_sets(docs, width, True).select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "digest", "n", "bands", "sketch"), "signatures")
     first = lambda c: F.first(c).alias(c)
     classes = cut(
@@ -326,7 +331,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the shingle sets of the classes in groups, each from one text
     held = classes.join(grouped, "digest").select("digest", "label", "copies", "n", "h", "sketch")
     held = cut(held, "held")
-    texts = docs.select(F.col("id.h").alias("h"), "text").join(broadcast_if_small(held.select("h"), BROADCAST_ROWS), "h", "left_semi").dropDuplicates(["h"])
+    # one text of each hash and second hash: should two texts share the first, both stay, and each class finds its own by the digest
+    texts = docs.select(F.col("id.h").alias("h"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text").join(broadcast_if_small(held.select("h"), BROADCAST_ROWS), "h", "left_semi").dropDuplicates(["h", "h2"])
     sets = _sets(texts.select(F.struct("h").alias("id"), "text"), width, False).select(F.col("id.h").alias("h"), F.col("digest").alias("d"), "shingles")
     per = held.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks"))
     placed = _blocks(held.drop("n").join(per, "label"), "label", "blocks")

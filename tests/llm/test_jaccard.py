@@ -108,3 +108,18 @@ def test_components(spark):
     out = components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {r.node: r.label for r in out} == label and len(out) == len(label)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_texts_of_one_hash_lose_no_link(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):  # texts of one length share the hash
+        base = [f"{rng.randrange(1000):03d}" for _ in range(60)]
+        other = list(base)
+        other[0] = f"{rng.randrange(1000):03d}"
+        texts += [" ".join(base), " ".join(other)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "text_hash", lambda text: F.length(text).cast("long"))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
