@@ -16,7 +16,6 @@ name do no harm. Memory per task grows with a chunk of texts or the longest text
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,8 @@ from ..layout import spread
 from .common import crc_mod, id_and_text, id_field, map_chunks
 
 UNKNOWN = "und"
+#: Most bytes of a model that is broadcast.
+MODEL_BYTES = 256 << 20
 BITS = 15
 ORDERS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,21 +99,35 @@ def document_frequency(df: DataFrame, text_col: str = "text", bits: int = BITS)
     return out[:-1], int(out[-1])
 
 
-@dataclass
 class Model:
-    """labels, idf, weights (features x labels), bias and temperature; `bits` gives the features."""
-
-    labels: list[str]
-    idf: np.ndarray
-    w: np.ndarray
-    bias: np.ndarray
-    temperature: float = 1.0
-    bits: int = BITS
-    held: dict = field(default_factory=dict)
+    """labels, idf, sparse weights, bias and temperature; `bits` gives the features. Only weights other than zero are kept, feature by feature."""
+
+    def __init__(self, labels: list[str], idf: np.ndarray, w: np.ndarray, bias: np.ndarray, temperature: float = 1.0, bits: int = BITS, rows: np.ndarray | None = None):
+        """`w`: one row a feature, or one for each feature of `rows`, which ascend."""
+        self.labels, self.idf, self.bias, self.temperature, self.bits = labels, idf, bias, temperature, bits
+        row, self.label = np.nonzero(w)
+        self.weight = w[row, self.label]
+        feature = row if rows is None else rows[row]
+        self.starts = np.searchsorted(feature, np.arange((1 << bits) + 1))
+
+    @property
+    def w(self) -> np.ndarray:
+        """The weights as a dense array of features by labels."""
+        out = np.zeros((1 << self.bits, len(self.labels)))
+        out[np.repeat(np.arange(1 << self.bits), np.diff(self.starts)), self.label] = self.weight
+        return out
+
+    @property
+    def size(self) -> int:
+        """Bytes of what is broadcast."""
+        return sum(x.nbytes for x in (self.idf, self.bias, self.label, self.weight, self.starts))
 
     def logits(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         at, x = weights(found, self.idf)
-        return x @ self.w[at] + self.bias
+        n = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        held = np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.bincount(self.label[held], np.repeat(x, n) * self.weight[held], len(self.labels)) + self.bias
 
     def predict(self, found: tuple[np.ndarray, np.ndarray] | None) -> tuple[str, float]:
         if found is None or not self.labels:
@@ -175,8 +190,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Fit the classifier. `df` holds training documents only.
 
     The sample: ids whose hash falls below rows per label / (documents of the label), and the
-    least hash of each label, so about that many of each label reach the driver as packed counts,
-    at most twice as many of all labels together. Rows per label: `sample_per_label`, lowered so that all labels
+    least hash of each label, so about that many of each label reach the driver as packed counts.
+    N-grams are counted where the documents lie; no text travels. Rows per label: `sample_per_label`, lowered so that all labels
     have no more than `full_labels` labels would have. The model grows with the labels.
     """
     labelled = df.filter(F.col(label_col).isNotNull())
@@ -198,17 +213,21 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     share = df.sparkSession.createDataFrame(shares, "label string, share double")
     rows = labelled.select(u.alias("u"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), label.alias("label"))
     rows = rows.join(F.broadcast(share), "label").filter("u < share").select("u", "text", "label").distinct()  # rows that repeat an id and text have one hash
-    sample = sorted(counted(rows.limit(2 * per_label * len(labels)), bits).collect(), key=lambda r: (r.u, r.label, r.at or b"", r.count_of or b""))
+    sample = sorted(counted(rows, bits).collect(), key=lambda r: (r.u, r.label, r.at or b"", r.count_of or b""))
     learn, calibrate, known = [], [], set()
     for k, r in enumerate(sample):
         if r.at is not None:
             found = np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.count_of, "<i4").astype(np.int64)
             (calibrate if k % 5 == 4 and r.label in known else learn).append((*weights(found, idf), number[r.label]))
             known.add(r.label)
-    w, bias = ftrl(learn, 1 << bits, len(labels))
-    model = Model(labels, idf, w, bias, bits=bits)
+    # learned over the features that the sample touches only
+    touched = np.unique(np.concatenate([at for at, _, _ in learn] or [np.zeros(0, np.int64)]))
+    w, bias = ftrl([(np.searchsorted(touched, at), x, y) for at, x, y in learn], len(touched), len(labels))
+    model = Model(labels, idf, w, bias, bits=bits, rows=touched)
+    if model.size > MODEL_BYTES:
+        raise ValueError(f"a model of {model.size} bytes, more than the {MODEL_BYTES} that are broadcast; raise l1 or lower bits")
     if calibrate:
-        logits = np.array([x @ w[at] + bias for at, x, _ in calibrate])
+        logits = np.array([x[found] @ w[np.searchsorted(touched, at[found])] + bias for at, x, _ in calibrate for found in [np.isin(at, touched)]])
         model.temperature = best_temperature(logits, np.array([y for _, _, y in calibrate]))
     return model
 
