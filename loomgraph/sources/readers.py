@@ -1,20 +1,20 @@
 """Readers: line corpora, records in several formats, labelled sets, articles, lexicons, edges.
 
-Line numbers come from one numbered read a file, so they hold for files of any size: a file's
-lines are numbered by `monotonically_increasing_id` order within the file's splits and ranked
-per file only where a caller asks for them.
+Lines and records are numbered by all tasks that a file's splits give (`numbered`); no file is
+brought into one task for it.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import text as X
+from .numbered import lines_by_split, numbered_lines, read_table, running_count
 
 _SUFFIXES = {".jsonl": "jsonl", ".json": "json", ".csv": "csv", ".tsv": "tsv"}
 _EDGE = f"^{K.SPACE}+|{K.SPACE}+$"
@@ -30,12 +30,6 @@ def _strip(c):
     return F.regexp_replace(c, _EDGE, "")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value): lines of text files with their number from 1 in each file."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("at"))
-    return rows.select("path", F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("long").alias("line"), "value")
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(text): lines without surrounding white space, blank ones dropped; fails if none is left."""
     out = spark.read.text(path).select(_strip("value").alias("text")).filter("text <> ''")
@@ -74,12 +68,8 @@ def read_records(spark: SparkSession, path: str, fmt: str = "auto", text_fields:
         plain = F.when(~F.col("item").startswith("{"), F.col("item"))
         return each.select("path", (F.col("i") + 1).cast("long").alias("line"), F.coalesce(plain, F.nullif(F.concat_ws("\n", *parts), F.lit("")), F.get_json_object("item", "$.text"), F.lit("")).alias("text"), no)
     if fmt in ("csv", "tsv"):
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(path)
-        if not rows.columns:
-            raise ValueError("a table needs a header row")
-        text = _joined(rows.columns, text_fields)
-        placed = rows.select(F.input_file_name().alias("path"), text.alias("text"), F.monotonically_increasing_id().alias("at"))
-        return placed.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("at")) + 1).cast("long").alias("line"), "text", no)
+        rows = read_table(spark, path, "\t" if fmt == "tsv" else ",")
+        return rows.select(F.col("path__").alias("path"), F.col("record__").alias("line"), _joined(rows.columns, text_fields).alias("text"), no)
     raise ValueError("format must be auto, txt, json, jsonl, csv or tsv")
 
 
@@ -127,28 +117,27 @@ def read_articles(spark: SparkSession, path: str, fmt: str = "auto") -> DataFram
         return _articles(rows.select(F.col("line").alias("number"), *fields.values()), "source_line")
     if fmt not in ("csv", "tsv"):
         raise ValueError("format must be auto, txt, jsonl, csv or tsv")
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(path)
+    rows = read_table(spark, path, "\t" if fmt == "tsv" else ",")
     if "body" not in rows.columns:
         raise ValueError("articles need a body column")
-    numbered = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("number", (F.row_number().over(Window.partitionBy(F.input_file_name()).orderBy("at")) + 1).cast("long"))
+    numbered = rows.withColumn("number", F.col("record__"))
     have = [F.col(f).cast("string").alias(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in ("title", "body", "summary", "keywords", "metadata")]
     return _articles(numbered.select("number", *have), "source_row")
 
 
 def _text_articles(spark: SparkSession, path: str) -> DataFrame:
-    lines = numbered_lines(spark, path).withColumn("value", _strip("value"))
-    w = Window.partitionBy("path").orderBy("line")
+    lines = lines_by_split(spark, path).withColumn("value", _strip("value"))
     heading = F.regexp_extract("value", r"^#(?!#)\s*(.+)$", 1)
     if not lines.filter(heading != "").isEmpty():
-        part = F.sum((heading != "").cast("int")).over(w)
+        rows = running_count(lines, heading != "", "part")
         title, body = F.max(heading), F.when(heading == "", F.col("value"))
     else:
-        split = lines.withColumn("gap", ((F.col("value") == "") & (F.lag("value", 1, "").over(w) != "")).cast("int"))
-        blocks = split.withColumn("part", F.sum("gap").over(w)).filter("value <> ''").select("path", "part").distinct().groupBy("path").count().filter("count > 1")
-        lines = split
-        part = F.sum("gap").over(w) if not blocks.isEmpty() else F.col("line")
+        # lines of one block have as many blank lines before them
+        rows = running_count(lines, F.col("value") == "", "part").filter("value <> ''")
+        if rows.groupBy("path").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").isEmpty():
+            rows = rows.withColumn("part", F.col("line"))
         title, body = F.lit(""), F.col("value")
-    rows = lines.withColumn("part", part).withColumn("body_line", body).filter("value <> ''")
+    rows = rows.withColumn("body_line", body).filter("value <> ''")
     grouped = rows.groupBy("path", "part").agg(title.alias("title"), F.array_sort(F.collect_list(F.when(F.col("body_line") != "", F.struct("line", F.col("body_line").alias("x"))))).alias("b"), F.min("line").alias("number"))
     return grouped.select("number", "title", F.array_join(F.transform("b", lambda s: s["x"]), " ").alias("body"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.create_map().cast("map<string,string>").alias("metadata"))
 
@@ -209,9 +198,9 @@ def read_eval_rows(spark: SparkSession, path: str) -> DataFrame:
     """(line, row): evaluation rows as maps of strings; a line that is no JSON object, or a line of plain text, is the map of its `text`. Blank lines go."""
     fmt = detect_format(path)
     if fmt in ("csv", "tsv"):
-        table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(path)
-        pairs = [x for c in table.columns for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
-        return table.select((F.monotonically_increasing_id() + 1).alias("line"), F.create_map(*pairs).alias("row"))
+        table = read_table(spark, path, "\t" if fmt == "tsv" else ",")
+        pairs = [x for c in table.columns if c not in ("path__", "record__") for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
+        return table.select((F.col("record__") - 1).alias("line"), F.create_map(*pairs).alias("row"))
     lines = numbered_lines(spark, path).filter(_strip("value") != "")
     text = F.create_map(F.lit("text"), F.col("value"))
     if fmt != "jsonl":
