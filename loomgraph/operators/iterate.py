@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
@@ -187,8 +187,6 @@ def greedy_modularity(edges: DataFrame) -> DataFrame:
 def largest_communities(components: DataFrame, k: int) -> DataFrame:
     """(node, community): the k - 1 largest components by number 0, 1, ..., all others as the last."""
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(k - 1)
-    from pyspark.sql import Window
-
     ranked = sizes.select("component", (F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1).alias("community"))
     return components.join(F.broadcast(ranked), "component", "left").select("node", F.coalesce("community", F.lit(k - 1)).alias("community"))
 
@@ -227,6 +225,59 @@ def retrieve(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int
     return top, best.select("src", "dst", "relation", "weight", "rank_score")
 
 
+def retrieve_many(
+    edges: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 32, max_edges: int = 256, relation_weights: dict[str, float] | None = None, min_score: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the scored neighbourhoods of many prompts at once; `seeds`: (prompt, node), `edges`: (src, dst, relation, weight).
+
+    nodes: (prompt, node, score, rank), at most `max_nodes` a prompt, scores as in `retrieve` and at
+    least `min_score`; edges: (prompt, src, dst, relation, weight, rank_score, rank) among them, at
+    most `max_edges`. Ties, at nine digits, by name. All prompts go one hop together: a frontier
+    row is a (prompt, node), so a hop is one join and one aggregation with partial sums whatever
+    the number of prompts, and hot nodes are for the planner's skew handling to split. A null
+    prompt or node is no seed; nodes that no edge knows stay as seeds.
+    """
+    named = F.col("weight")
+    for name, w in (relation_weights or {}).items():
+        named = F.when(F.col("relation") == name, F.col("weight") * w).otherwise(named)
+    steps = edges.select("src", "dst", named.alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w"))  # only the best of parallel edges can count
+    steps = cut(steps, "steps") if depth > 1 else steps
+    scores = cut(seeds.select("prompt", "node").filter("prompt IS NOT NULL AND node IS NOT NULL").distinct().select("prompt", "node", F.lit(1.0).alias("score"), F.lit(True).alias("new")), "scores")
+    for h in range(depth):
+        frontier = scores.filter("new").select("prompt", F.col("node").alias("src"), "score")
+        found = frontier.join(steps, "src").groupBy("prompt", F.col("dst").alias("node")).agg(F.max(F.col("score") + F.col("w") / (h + 2)).alias("score"), F.lit(True).alias("new"))
+        both = scores.withColumn("new", F.lit(False)).unionByName(found)
+        scores = cut(both.groupBy("prompt", "node").agg(F.max("score").alias("score"), F.max("new").alias("new")), "scores")
+    by = Window.partitionBy("prompt").orderBy(F.desc(F.round("score", 9)), "node")
+    top = scores.filter(F.col("score") >= min_score).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(1, max_nodes)).select("prompt", "node", "score", "rank")
+    top = cut(top, "top")
+    left, right = top.select("prompt", F.col("node").alias("src"), F.col("score").alias("ss")), top.select("prompt", F.col("node").alias("dst"), F.col("score").alias("sd"))
+    inside = edges.select("src", "dst", "relation", "weight").join(left, "src").join(right, ["prompt", "dst"]).withColumn("rank_score", F.col("ss") + F.col("sd") + F.col("weight"))
+    by = Window.partitionBy("prompt").orderBy(F.desc(F.round("rank_score", 9)), "src", "dst", "relation")
+    best = inside.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(0, max_edges))
+    return top, best.select("prompt", "src", "dst", "relation", "weight", "rank_score", "rank")
+
+
+def retrieval_reports(prompts: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """(prompt, fallback, seed_nodes, retrieved_nodes, retrieved_edges, coverage, top_nodes, relation_counts), a row for each of `prompts` (prompt).
+
+    coverage: the share of the prompt's seeds that were kept. fallback: no_prompt_nodes if it has
+    no seed, empty_after_scoring if nothing was kept, else null.
+    """
+    asked = seeds.filter("prompt IS NOT NULL AND node IS NOT NULL").select("prompt", "node").distinct()
+    kept = asked.join(nodes.select("prompt", "node", F.lit(1).alias("kept")), ["prompt", "node"], "left").groupBy("prompt").agg(F.count(F.lit(1)).alias("seed_nodes"), F.count("kept").alias("kept"))
+    best = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "node")))), lambda s: s["node"])
+    found = nodes.groupBy("prompt").agg(F.count(F.lit(1)).alias("retrieved_nodes"), best.alias("top_nodes"))
+    relations = edges.groupBy("prompt", "relation").agg(F.count(F.lit(1)).alias("n")).groupBy("prompt").agg(F.sum("n").alias("retrieved_edges"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "n")))).alias("relation_counts"))
+    out = prompts.select("prompt").distinct().join(kept, "prompt", "left").join(found, "prompt", "left").join(relations, "prompt", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    fallback = F.when(F.col("seed_nodes").isNull(), "no_prompt_nodes").when(F.col("retrieved_nodes").isNull(), "empty_after_scoring")
+    return out.select(
+        "prompt", fallback.alias("fallback"), zero("seed_nodes"), zero("retrieved_nodes"), zero("retrieved_edges"), (F.coalesce("kept", F.lit(0)) / F.greatest("seed_nodes", F.lit(1))).alias("coverage"),
+        F.coalesce("top_nodes", F.array().cast("array<string>")).alias("top_nodes"), F.coalesce("relation_counts", F.create_map().cast("map<string,bigint>")).alias("relation_counts"),
+    )
+
+
 def retrieval_report(prompt_tokens: DataFrame, nodes: DataFrame, edges: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row: coverage (share of distinct prompt tokens in the graph), nodes and edges retrieved."""
     words = prompt_tokens.select("token").distinct()

@@ -13,7 +13,8 @@ from ..functions import text as X
 from ..layout import spread
 from ..operators import algebra, corpus, gnn, graphs, iterate, sentences, similarity, tasks
 from ..operators import tokens as TK
-from ..scratch import cut
+from ..scratch import cut, drop_at_exit, scratch_path
+from ..streaming.store import PairStore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -299,6 +300,20 @@ def _(s, d):
     return graphs.association(graphs.distance_cooccurrence(a, 4), graphs.frequent(a, 1), "ppmi").select("src", "dst", r6("weight"))
 
 
+@query("stored_pair_counts", f"WITH {_PPMI} SELECT src, dst, round(weight, 6) AS weight FROM ppmi WHERE weight > 0")
+def _(s, d):
+    """As `ppmi_edges`, from counts stored in two batches of all documents, English and other ones, the first of them sent twice, and compacted."""
+    path = scratch_path(s, "pairs")
+    store = PairStore(s, path)
+    drop_at_exit(s, path)
+    rows = table(s, d, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for name, part in (("en", rows.filter(english)), ("rest", rows.filter(~english)), ("en", rows.filter(english))):
+        store.add(TK.token_arrays(spread(part), X.tokenize(F.lower("text"))), name)
+    store.compact()
+    return store.association("ppmi").select("src", "dst", r6("weight"))
+
+
 _PRUNED = f"""base2 AS (SELECT src, dst, round(weight, 9) AS weight FROM base), sym AS ({both_sql("base2")}), ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sym),
 kept AS (SELECT src, dst, weight FROM ranked WHERE r <= 5), pruned AS (SELECT src, dst, max(weight) AS weight FROM ({both_sql("kept")}) GROUP BY ALL)"""
 
@@ -602,6 +617,41 @@ def _(s, d):
     return iterate.retrieve(multi(s, d), seeds)[1].select("src", "dst", "relation", r6("weight"), r6("rank_score"))
 
 
+_PROMPTS = f"""WITH {_G2}, pp AS (SELECT src, dst, ln(greatest(weight / (SELECT 2 * sum(weight) FROM base), 1e-12) / (greatest(x.f / (SELECT sum(f) FROM freq), 1e-12) * greatest(y.f / (SELECT sum(f) FROM freq), 1e-12))) AS weight FROM base JOIN freq x ON x.token = src JOIN freq y ON y.token = dst),
+pq AS (SELECT * FROM pp WHERE weight > 0), {_pruned_sql("pq", "pr5")}, gr AS MATERIALIZED (SELECT * FROM pr5),
+first AS (SELECT conv_id, coalesce(text, '') AS text FROM conversations WHERE turn = 0),
+seed AS MATERIALIZED (SELECT DISTINCT conv_id AS prompt, node FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{K.WORD}')) AS node FROM first) JOIN (SELECT DISTINCT src FROM gr) ON node = src),
+f1 AS MATERIALIZED (SELECT prompt, dst AS node, max(1 + weight / 2) AS score FROM seed JOIN gr ON node = src GROUP BY ALL),
+s1 AS MATERIALIZED (SELECT prompt, node, max(score) AS score, max(new) AS new FROM (SELECT prompt, node, 1.0 AS score, 0 AS new FROM seed UNION ALL SELECT *, 1 FROM f1) GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT prompt, dst AS node, max(score + weight / 3) AS score FROM s1 JOIN gr ON node = src WHERE new = 1 GROUP BY ALL),
+s2 AS (SELECT prompt, node, max(score) AS score FROM (SELECT prompt, node, score FROM s1 UNION ALL SELECT * FROM f2) GROUP BY ALL HAVING max(score) >= 2),
+top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY round(score, 9) DESC, node) AS rank FROM s2 QUALIFY rank <= 32)"""
+
+
+def prompts(s, d):
+    """The first turn of every conversation against the graph of word pairs by PPMI: two hops, scores of 2 and more."""
+    graph = cut(graphs.multi_relation_graph(arrays(s, d), ["ppmi"], 4, 2, 5))
+    first = table(s, d, "conversations").filter("turn = 0")
+    words = first.select(F.col("conv_id").alias("prompt"), F.explode(X.tokenize(F.lower(F.coalesce("text", F.lit(""))))).alias("node"))
+    seeds = cut(words.join(graph.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("prompt", "node").distinct())
+    return first.select(F.col("conv_id").alias("prompt")), seeds, *iterate.retrieve_many(graph, seeds, 2, min_score=2.0)
+
+
+@query("graph_memory_prompts", f"""{_PROMPTS}, e AS (SELECT x.prompt, g.src, g.dst, 'ppmi' AS relation, round(g.weight, 6) AS weight, x.score + y.score + g.weight AS rank_score FROM gr g JOIN top x ON x.node = g.src JOIN top y ON y.prompt = x.prompt AND y.node = g.dst)
+SELECT prompt, src, dst, relation, weight, round(rank_score, 6) AS rank_score, row_number() OVER (PARTITION BY prompt ORDER BY round(rank_score, 9) DESC, src, dst) AS rank FROM e QUALIFY rank <= 256""")
+def _(s, d):
+    return prompts(s, d)[3].select("prompt", "src", "dst", "relation", r6("weight"), r6("rank_score"), F.col("rank").cast("long"))
+
+
+@query("graph_memory_reports", f"""{_PROMPTS}, e AS (SELECT x.prompt, row_number() OVER (PARTITION BY x.prompt ORDER BY round(x.score + y.score + g.weight, 9) DESC, g.src, g.dst) AS r FROM gr g JOIN top x ON x.node = g.src JOIN top y ON y.prompt = x.prompt AND y.node = g.dst QUALIFY r <= 256),
+c AS (SELECT prompt, count(*) AS seeds, count(top.node) AS kept FROM seed LEFT JOIN top USING (prompt, node) GROUP BY prompt)
+SELECT first.conv_id AS prompt, CASE WHEN seeds IS NULL THEN 'no_prompt_nodes' WHEN t.n IS NULL THEN 'empty_after_scoring' END AS fallback, coalesce(seeds, 0) AS seed_nodes, coalesce(t.n, 0) AS retrieved_nodes, coalesce(k.n, 0) AS retrieved_edges,
+round(coalesce(kept, 0) / coalesce(seeds, 1), 6) AS coverage, coalesce(t.names, '') AS top_nodes FROM (SELECT DISTINCT conv_id FROM first) first LEFT JOIN c ON c.prompt = conv_id
+LEFT JOIN (SELECT prompt, count(*) AS n, string_agg(node, ' ' ORDER BY rank) FILTER (rank <= 10) AS names FROM top GROUP BY prompt) t ON t.prompt = conv_id LEFT JOIN (SELECT prompt, count(*) AS n FROM e GROUP BY prompt) k ON k.prompt = conv_id""")
+def _(s, d):
+    return iterate.retrieval_reports(*prompts(s, d)).select("prompt", "fallback", "seed_nodes", "retrieved_nodes", "retrieved_edges", r6("coverage"), F.array_join("top_nodes", " ").alias("top_nodes"))
+
+
 @query("ids_graph", f"""WITH {POS}, v AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, first) + 4 AS id FROM (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS first FROM pos GROUP BY token HAVING count(*) >= 3)),
 ip AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, id AS token FROM pos JOIN v USING (token)), {pairs_sql(4, "ip")}
 SELECT a AS src, b AS dst, round(sum(12 // k) / 12, 6) AS weight FROM pr WHERE a <> b GROUP BY a, b""")
