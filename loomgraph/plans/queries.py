@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..layout import spread
 from ..operators import algebra, corpus, gnn, graphs, iterate, sentences, similarity, tasks
 from ..operators import tokens as TK
+from ..operators.convolution import TextGraphClassifier
 from ..scratch import cut, drop_at_exit, scratch_path
 from ..streaming.store import PairStore
 
@@ -1011,6 +1012,16 @@ def _(s, d):
     return gnn.TextClassifier().fit(a.filter(F.size("tokens") > 0), labels).predict(a)
 
 
+@query("graph_text_classifier")
+def _(s, d):
+    """A graph convolution over words and documents, taught by the labels whose crc32(doc_id as text) mod 4 is not 2; a row for each document. A test holds every step against dense arrays."""
+    a = arrays(s, d)
+    labels = table(s, d, "labels").filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").alias("label"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    clf = TextGraphClassifier(64, hidden=8, epochs=10, learning_rate=0.1).fit(a, labels.filter(~held))
+    return clf.predict(a).select("doc_id", "label_pred", r6("score"), held.alias("held_out"))
+
+
 @query("dataset_report")
 def _(s, d):
     """Labelled documents split, learned from and measured."""
