@@ -1,9 +1,11 @@
 """Quality rules by suffix-array repetition.
 
 For every text a suffix array over its words is built by prefix doubling, many texts at a
-time. Neighbours in that array with a long common prefix give the maximal repeated
-substrings; the union of their spans gives the covered fraction, the longest of them the
-longest repeat. Both are limited.
+time. Longest common prefixes of neighbours in that array form intervals; those whose suffixes
+are not all preceded by one word are the maximal repeated substrings. The union of their spans
+gives the covered fraction, the longest of them the longest repeat. Both are limited. The spans
+of an interval lie within those of the intervals inside it but for the suffixes that have none,
+so the union takes each suffix's deepest interval only.
 
 Defined results: null text has no words; a text without words has no repeats and covered
 fraction 0; repeated input rows give one row each; only the id and text columns are read, so
@@ -25,15 +27,15 @@ from .common import ASCII_SPACE, id_and_text, id_field, map_chunks
 SYMBOLS = b"#*$%&|<>"
 
 
-def repeat_lengths(words: np.ndarray, doc: np.ndarray, min_words: int) -> np.ndarray:
-    """For each position the words of its longest match elsewhere in its document, 0 below `min_words`.
+def common_prefixes(words: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, slots, lengths): where neighbours of the suffix array, at a slot and the next, begin with the same `min_words` words or more of one document, and with how many.
 
     words: word numbers, doc: ascending document numbers, both over concatenated documents.
     """
     n = len(words)
-    best = np.zeros(n, np.int64)
+    none = np.zeros(0, np.int64)
     if n < 2:
-        return best
+        return np.arange(n), none, none
     ends = np.searchsorted(doc, doc, "right")
     key = doc * (int(words.max()) + 1) + words
     sa = np.argsort(key, kind="stable")
@@ -65,10 +67,9 @@ def repeat_lengths(words: np.ndarray, doc: np.ndarray, min_words: int) -> np.nda
     # neighbours that share the largest power of two up to min_words can share min_words
     start = min(len(levels) - 1, max(0, min_words.bit_length() - 1))
     if 1 << start > min_words or min_words >= 2 << start:
-        return best  # no prefix that long occurs twice
-    left, right = sa[:-1], sa[1:]
-    near = levels[start][left] == levels[start][right]
-    left, right = left[near], right[near]
+        return sa, none, none  # no prefix that long occurs twice
+    slots = np.flatnonzero(levels[start][sa[:-1]] == levels[start][sa[1:]])
+    left, right = sa[slots], sa[slots + 1]
     lcp = np.zeros(len(left), np.int64)
     for j in range(len(levels) - 1, -1, -1):
         a, b = left + lcp, right + lcp
@@ -76,13 +77,63 @@ def repeat_lengths(words: np.ndarray, doc: np.ndarray, min_words: int) -> np.nda
         same = inside & (levels[j][np.where(inside, a, 0)] == levels[j][np.where(inside, b, 0)])
         lcp += same << j
     keep = lcp >= min_words
-    np.maximum.at(best, left[keep], lcp[keep])
-    np.maximum.at(best, right[keep], lcp[keep])
+    return sa, slots[keep], lcp[keep]
+
+
+def repeat_lengths(words: np.ndarray, doc: np.ndarray, min_words: int) -> np.ndarray:
+    """For each position the words of its longest match elsewhere in its document, 0 below `min_words`: the length of the deepest interval that holds its suffix."""
+    return _deepest(len(words), *common_prefixes(words, doc, min_words))
+
+
+def _deepest(n: int, sa: np.ndarray, slots: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    best = np.zeros(n, np.int64)
+    np.maximum.at(best, sa[slots], lcp)
+    np.maximum.at(best, sa[slots + 1], lcp)
     return best
 
 
-def maximal_repeats(best: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Positions where a maximal repeat starts: one that no repeat from the word before contains."""
+def lcp_intervals(slots: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first, last) of each interval of the suffix array: the suffixes from slot first to last share that many words, no neighbour shares as many, and two of them no more."""
+    lengths, firsts, lasts = [], [], []
+    open_lengths, open_firsts, before = [], [], -2
+    for slot, length in zip(slots.tolist(), lcp.tolist()):
+        if slot != before + 1:  # the run of common prefixes ended
+            lengths += open_lengths
+            firsts += open_firsts
+            lasts += [before + 1] * len(open_lengths)
+            open_lengths, open_firsts = [], []
+        first = slot
+        while open_lengths and open_lengths[-1] > length:
+            lengths.append(open_lengths.pop())
+            first = open_firsts.pop()
+            firsts.append(first)
+            lasts.append(slot)
+        if not open_lengths or open_lengths[-1] < length:
+            open_lengths.append(length)
+            open_firsts.append(first)
+        before = slot
+    lengths += open_lengths
+    firsts += open_firsts
+    lasts += [before + 1] * len(open_lengths)
+    return np.array(lengths, np.int64), np.array(firsts, np.int64), np.array(lasts, np.int64)
+
+
+def maximal_repeats(words: np.ndarray, doc: np.ndarray, sa: np.ndarray, slots: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, copies, position of one copy) of each maximal repeat: an interval whose copies are not all preceded by one same word, so that none can be made longer on either side."""
+    length, first, last = lcp_intervals(slots, lcp)
+    if not len(length):
+        return length, length, length
+    before = sa - 1
+    starts = np.r_[True, doc[1:] != doc[:-1]]
+    # the word before each suffix, a number of its own where a document starts
+    word = np.where(starts[sa], -1 - sa, words[np.maximum(before, 0)])
+    changes = np.cumsum(np.r_[0, word[1:] != word[:-1]])
+    keep = changes[last] > changes[first]
+    return length[keep], (last - first + 1)[keep], sa[first[keep]]
+
+
+def span_starts(best: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Positions whose longest repeat no repeat from the word before contains: their spans are the union of all."""
     if not len(best):
         return np.zeros(0, np.int64)
     before = np.r_[0, np.where(doc[1:] == doc[:-1], best[:-1], 0)]
@@ -103,8 +154,13 @@ def _measure(texts: list[bytes], min_words: int) -> dict[str, list | np.ndarray]
         chars.append(len(text.decode("utf-8", "replace")) - len(text) + len(text.translate(None, ASCII_SPACE)))
     n_words = np.array(counts, np.int64)
     doc = np.repeat(np.arange(len(texts)), n_words)
-    best = repeat_lengths(np.array(flat, np.int64), doc, min_words)
-    starts = maximal_repeats(best, doc)
+    number = np.array(flat, np.int64)
+    prefixes = common_prefixes(number, doc, min_words)
+    best = _deepest(len(flat), *prefixes)
+    starts = span_starts(best, doc)
+    _, copies, where = maximal_repeats(number, doc, *prefixes)
+    most = np.zeros(len(texts), np.int64)
+    np.maximum.at(most, doc[where], copies)
     edge = np.zeros(len(flat) + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.subtract.at(edge, starts + best[starts], 1)
@@ -125,6 +181,8 @@ def _measure(texts: list[bytes], min_words: int) -> dict[str, list | np.ndarray]
         "n_dup_lines": doubled,
         "n_covered_words": np.bincount(doc[covered], minlength=len(texts)) if len(flat) else np.zeros(len(texts), np.int64),
         "longest_repeat": longest,
+        "n_maximal_repeats": np.bincount(doc[where], minlength=len(texts)) if len(where) else np.zeros(len(texts), np.int64),
+        "most_copies": most,
         "spans": (np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)))], begin - base[owner], end - base[owner]),
     }
 
@@ -133,14 +191,15 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """Word, line and symbol counts of each text, with the union of its repeated word spans.
 
     Returns `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_covered_words (words inside a
-    substring of at least `min_words` words that occurs twice), longest_repeat (words) and
-    repeat_spans (the union, as [start, end) in words).
+    substring of at least `min_words` words that occurs twice), longest_repeat (words),
+    n_maximal_repeats (different substrings of that length or more that occur twice and cannot be
+    made longer), most_copies (of one of them) and repeat_spans (the union, as [start, end) in words).
     """
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
     rows = id_and_text(df, id_col, text_col)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_covered_words", "longest_repeat"]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_covered_words", "longest_repeat", "n_maximal_repeats", "most_copies"]
     schema = T.StructType([id_field(rows, id_col), *(T.StructField(c, T.LongType()) for c in counts), T.StructField("repeat_spans", T.ArrayType(span))])
 
     def work(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:

@@ -55,3 +55,43 @@ def test_rules_on_odd_rows(spark):
     assert (out[3, 6].word_chars, out[3, 6].n_symbols, out[3, 6].n_dup_lines) == (12, 3, 1)
     assert out[None, 200].kept and not out[5, 400].kept and out[5, 400].longest_repeat == 200
     assert quality.quality_rules(df.limit(0)).count() == 0
+
+
+def plain_maximal(words, min_words):
+    """{substring: copies} of all that occur twice and that no word on either side extends for all copies."""
+    found = {}
+    n = len(words)
+    for k in range(min_words, n):
+        places = {}
+        for i in range(n - k + 1):
+            places.setdefault(tuple(words[i : i + k]), []).append(i)
+        for gram, at in places.items():
+            before = {words[i - 1] if i else ("start", i) for i in at}
+            after = {words[i + k] if i + k < n else ("end", i) for i in at}
+            if len(at) > 1 and len(before) > 1 and len(after) > 1:
+                found[gram] = len(at)
+    return found
+
+
+@pytest.mark.parametrize("min_words", [1, 2, 3])
+def test_intervals_give_every_maximal_repeat(min_words):
+    rng = random.Random(20 + min_words)
+    texts = [[rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 25))] for _ in range(60)] + [list("abxabyab"), list("aaaa"), list("abcabc")]
+    number = {w: k for k, w in enumerate("abcxy")}
+    flat = np.array([number[w] for t in texts for w in t], np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    length, copies, where = quality.maximal_repeats(flat, doc, *quality.common_prefixes(flat, doc, min_words))
+    names = "abcxy"
+    got = [dict() for _ in texts]
+    for k, c, at in zip(length.tolist(), copies.tolist(), where.tolist()):
+        gram = tuple(names[x] for x in flat[at : at + k])
+        assert gram not in got[doc[at]]
+        got[doc[at]][gram] = c
+    assert got == [plain_maximal(t, min_words) for t in texts]
+    found = quality._measure([" ".join(t).encode() for t in texts], min_words)
+    assert found["n_maximal_repeats"].tolist() == [len(x) for x in got] and found["most_copies"].tolist() == [max(x.values(), default=0) for x in got]
+
+
+def test_query_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert quality.op1_quality_rules(spark, str(tmp_path)).collect() == []
