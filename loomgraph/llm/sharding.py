@@ -17,6 +17,7 @@ exceed the target by what one task wrote.
 from __future__ import annotations
 
 import json
+import time
 import math
 import uuid
 from functools import reduce
@@ -125,14 +126,21 @@ class ShardStore:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p}" for p in paths))
 
-    def append(self, df: DataFrame, compression: str = "zstd") -> int:
-        """Add the rows of `df` as one shard a task and commit."""
+    def append(self, df: DataFrame, compression: str = "zstd", tries: int = 5) -> int:
+        """Add the rows of `df` as one shard a task and commit. A lost race is tried again on the new version; the shards are not written again."""
         if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in self.schema]:
             raise ValueError("the columns of an arrival must be those of the store")
-        now = self.manifest()
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.option("compression", compression).parquet(f"{self.path}/{folder}")
-        return self.commit(now["version"], now["shards"] + self._written(folder, now["version"] + 1))
+        new = self._written(folder, 0)
+        for k in range(tries):
+            now = self.manifest()
+            try:
+                return self.commit(now["version"], now["shards"] + [s | {"added": now["version"] + 1} for s in new])
+            except Conflict:
+                if k == tries - 1:
+                    raise
+        raise ValueError("tries must be at least 1")
 
     def compact(self, target: int = 256 << 20, min_runs: int = 4, max_merges: int = 64, compression: str = "zstd") -> int:
         """Merge runs until none is due; each round is one job of at most `max_merges` runs and one commit. Returns the version."""
@@ -150,18 +158,32 @@ class ShardStore:
                 raise RuntimeError("a merge lost rows")
             self.commit(now["version"], [s for s in now["shards"] if s["path"] not in gone] + new)
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete the shards that none of the last versions names, and older manifests. Returns how many shards went."""
+    def vacuum(self, keep_versions: int = 1, grace_seconds: float = 86_400.0) -> int:
+        """Delete the shards that none of the last versions names, and older manifests. Returns how many shards went.
+
+        Shards that no version names, of an append or merge that was lost, go once they are older
+        than `grace_seconds`: younger ones may belong to a writer at work.
+        """
         found = self.versions()
         keep = set(found[-keep_versions:])
         named = {s["path"] for v in keep for s in self.manifest(v)["shards"]}
-        old = {s["path"] for v in found if v not in keep for s in self.manifest(v)["shards"]} - named
-        for p in old:
+        gone = {s["path"] for v in found if v not in keep for s in self.manifest(v)["shards"]} - named
+        last = (time.time() - grace_seconds) * 1000
+        top = self._path("shards")
+        for folder in self._fs.listStatus(top) if self._fs.exists(top) else []:
+            name = folder.getPath().getName()
+            files = {f"shards/{name}/{s.getPath().getName()}": s.getModificationTime() for s in self._fs.listStatus(folder.getPath())}
+            shards = {p for p in files if p.rsplit("/", 1)[1].startswith("part-")}
+            gone |= {p for p in shards - named if files[p] < last}
+            if not shards - gone and folder.getModificationTime() < last:
+                gone |= shards
+                self._fs.delete(folder.getPath(), True)
+        for p in gone:
             self._fs.delete(self._path(p), False)
         for v in found:
             if v not in keep:
                 self._fs.delete(self._path(f"manifest/v{v:010d}.json"), False)
-        return len(old)
+        return len(gone)
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""

@@ -73,3 +73,36 @@ def test_query(spark, tmp_path):
     got = sharding.op7_sharding(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text_sha256, r.n_bytes) for r in got) == sorted((i, hashlib.sha256((t or "").encode()).hexdigest(), len((t or "").encode())) for i, t in rows)
     assert 1 <= len({r.shard for r in got}) < 40
+
+
+def test_lost_appends_try_again_and_orphans_go(spark, tmp_path, monkeypatch):
+    long = [(1, "é" * 3_000_000), (2, None), (3, "")]
+    df = spark.createDataFrame(long, "doc_id long, text string")
+    store, other = (ShardStore(spark, str(tmp_path / "d"), df.schema) for _ in range(2))
+    real, calls = ShardStore.commit, []
+
+    def late(self, base, shards):  # another writer commits first, once
+        if not calls:
+            calls.append(1)
+            other.append(df.limit(1))
+        return real(self, base, shards)
+
+    monkeypatch.setattr(ShardStore, "commit", late)
+    assert store.append(df) == 2 and store.read().count() == 4
+    assert sorted(len(r.text or "") for r in store.read().collect())[-1] == 3_000_000
+
+    def lose(self, base, shards):
+        raise sharding.Conflict("lost")
+
+    monkeypatch.setattr(ShardStore, "commit", lose)
+    with pytest.raises(sharding.Conflict):
+        store.append(df, tries=2)
+    monkeypatch.setattr(ShardStore, "commit", real)
+    folders = lambda: len(list((tmp_path / "d" / "shards").iterdir()))
+    assert folders() == 3 and store.vacuum() == 0 and folders() == 3
+    assert store.vacuum(grace_seconds=-10) > 0 and folders() == 2 and store.read().count() == 4
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sharding.op7_sharding(spark, str(tmp_path)).collect() == []
