@@ -33,6 +33,8 @@ STOP_WORDS = (
 NODE_TYPES_WITHOUT_CONCEPT = ("doc", "document", "sentence", "topic", "context")
 # Nouns that open a name.
 NAME_NOUNS = ("شرکت", "سازمان", "دانشگاه", "وزارت", "پژوهشگاه", "مرکز", "دکتر", "مهندس")
+# Prefixes that belong to the verb after them.
+VERB_PREFIXES = ("می", "نمی")
 # Labels that count as hate and as normal.
 HATE_LABELS = ("1", "true", "hate", "hateful", "toxic", "نفرت")
 NORMAL_LABELS = ("0", "false", "normal", "safe", "neutral", "عادی")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..scratch import cut
+from . import tokens as TK
 from .iterate import star_components
-from .similarity import simhash_pairs
+from .similarity import shingle_pairs, simhash_pairs
 
 
 def gate_reason(text: Column, min_chars: int = 20, min_ratio: float = 0.35, script: str = K.ARABIC_BLOCK) -> Column:
@@ -210,10 +211,27 @@ def split(records: DataFrame, val: float = 0.1, test: float = 0.05, seed: int =
     return ranked.withColumn("split", kind).drop("split_key")
 
 
+#: Hashes in one group of `split_hashes`, about.
+GROUP_HASHES = 4096
+
+
 def split_hashes(records: DataFrame, key: str = "text_hash") -> DataFrame:
-    """(split, n, digest): sha256 of the sorted hashes of each split, by groups of their first two digits, so no split is gathered whole."""
-    part = records.groupBy("split", F.substring(key, 1, 2).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h"))
-    return part.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), "\n"), 256).alias("digest"))
+    """(split, n, digest): a hash tree of the sorted hashes of each split.
+
+    Hashes are counted, then grouped by as many leading digits as leave about `GROUP_HASHES` in a
+    group; groups are hashed, sixteen at a time, up to one digest, so nothing is gathered beyond
+    that and a hash that a third of all records share is one entry.
+    """
+    each = cut(records.groupBy("split", F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")), "hashes")
+    digits, most = 1, each.count()
+    while most > GROUP_HASHES * 16**digits:
+        digits += 1
+    entry = F.struct("k", F.when(F.col("n") > 1, F.concat_ws(":", "k", "n")).otherwise(F.col("k")).alias("x"))
+    joined = lambda s: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(s)), lambda e: e["x"]), "\n"), 256).alias("x")
+    level = each.groupBy("split", F.substring("k", 1, digits).alias("k")).agg(F.sum("n").alias("n"), joined(entry))
+    for d in range(digits - 1, -1, -1):
+        level = level.groupBy("split", F.substring("k", 1, d).alias("k")).agg(F.sum("n").alias("n"), joined(F.struct("k", "x")))
+    return level.select("split", "n", F.col("x").alias("digest"))
 
 
 def quality_report(verdicts: DataFrame, by: str | None = None) -> DataFrame:
@@ -272,6 +290,65 @@ def audit(docs: DataFrame, text_col: str = "text", metadata_col: str | None = No
     return reduce(DataFrame.unionByName, parts)
 
 
+def surface_counts(docs: DataFrame, text_col: str = "body") -> DataFrame:
+    """One row: half-spaces, verb prefixes that a space parts from their verb, and question marks of both scripts."""
+    c = F.coalesce(F.col(text_col), F.lit(""))
+    count = lambda p: F.coalesce(F.sum(F.regexp_count(c, F.lit(p))), F.lit(0)).cast("long")
+    return docs.agg(
+        count(K.ZWNJ).alias("zwnj_count"),
+        count(rf"(?:^|{K.SPACE})(?:{'|'.join(K.VERB_PREFIXES)}){K.SPACE}+[{K.ARABIC_BLOCK}]+").alias("space_after_mi_prefix_count"),
+        count(r"\?").alias("ascii_question_mark_count"),
+        count("؟").alias("persian_question_mark_count"),
+    )
+
+
+def audit_articles(
+    articles: DataFrame, id_col: str = "number", min_body: int = 80, tokenizers: dict[str, Column] | None = None, validation: float = 0.1, seed: int = 0, near_ngram: int = 13, near_threshold: float = 0.82
+) -> DataFrame:
+    """(section, name, value) of articles (`id_col`, title, body, summary, keywords, metadata), names distinct within a section.
+
+    Sections: records (accepted, rejected, and of the accepted ones without title, with summary,
+    with key words), rejection_reasons, body_chars, title_chars, characters (of titles and bodies),
+    surface, duplicates (copies, near pairs of classes, and articles near to another class),
+    metadata key, metadata source, and for each of `tokenizers` (name: column of tokens of `line`)
+    tokenizer NAME train and validation: statistics of both parts by the words of the first. All
+    but the first two are of accepted articles. Near pairs are exact and not limited in number.
+    """
+    def long(row: DataFrame, section: str, *names: str) -> DataFrame:
+        named = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names or row.columns))
+        return row.select(F.lit(section).alias("section"), F.explode(named).alias("x")).select("section", "x.name", "x.value")
+
+    judged = cut(prepare_articles(articles, min_body), "judged")
+    kept = judged.filter("reason IS NULL")
+    filled = lambda c: F.sum(F.when(F.coalesce(c, F.lit("")) != "", 1).otherwise(0)).cast("long")
+    total = judged.agg(F.sum(F.col("reason").isNull().cast("int")).alias("accepted_records"), F.sum(F.col("reason").isNotNull().cast("int")).alias("rejected_records"))
+    has = kept.agg((F.count(F.lit(1)) - filled(F.col("title"))).alias("missing_title_count"), filled(F.col("summary")).alias("summary_present_count"), F.sum((F.coalesce(F.size("keywords"), F.lit(0)) > 0).cast("int")).alias("keywords_present_count"))
+    reasons = judged.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("rejection_reasons").alias("section"), F.col("reason").alias("name"), "value")
+    body, title = kept.select(F.col("body").alias("text")), kept.filter("coalesce(title, '') <> ''").select(F.col("title").alias("text"))
+    sizes = ("min_chars", "max_chars", "mean_chars")
+    parts = [long(total, "records"), long(has, "records"), reasons, long(length_stats(body), "body_chars", *sizes), long(length_stats(title), "title_chars", *sizes)]
+    parts += [long(char_profile(title.unionByName(body)), "characters"), long(surface_counts(kept), "surface"), long(duplicate_count(body), "duplicates")]
+    members, pairs = shingle_pairs(kept.select(F.col(id_col).alias("doc_id"), F.col("body").alias("text")), near_ngram, near_threshold)
+    pairs = cut(pairs, "near")
+    ends = pairs.select(F.col("src").alias("rep")).union(pairs.select("dst")).distinct()
+    parts += [long(pairs.agg(F.count(F.lit(1)).alias("near_duplicate_pairs")), "duplicates"), long(members.join(ends, "rep", "left_semi").agg(F.count(F.lit(1)).alias("near_duplicate_articles")), "duplicates")]
+    parts.append(metadata_profile(kept).select(F.concat(F.lit("metadata "), "kind").alias("section"), "name", F.col("n").cast("double").alias("value")))
+    if tokenizers:
+        rows = kept.select(F.col(id_col).alias("doc_id"), "line", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("h"))
+        n = rows.count()
+        size = min(max(1, round(n * validation)), n - 1) if validation > 0 and n > 1 else 0
+        bound = smallest_key(rows.select(F.format_string("%016x", "h").alias("k")), size, "k") if size else ""
+        placed = cut(rows.withColumn("part", F.when(F.format_string("%016x", "h") <= bound, "validation").otherwise("train")), "placed")
+        for name, tokens in tokenizers.items():
+            arrays = cut(placed.select("doc_id", "part", F.length("line").cast("long").alias("n"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")), "tokens")
+            vocab = cut(arrays.filter("part = 'train'").select(F.explode("tokens").alias("token")).distinct(), "vocab")
+            for part in ("train", "validation"):
+                mine = arrays.filter(F.col("part") == part)
+                parts.append(long(TK.token_statistics(mine, vocab, mine.select("doc_id", "n")), f"tokenizer {name} {part}"))
+            parts.append(long(vocab.agg(F.count(F.lit(1)).alias("vocab_size")), f"tokenizer {name} train"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def select_poems(rows: DataFrame, poets: list[str] | None = None, keep_prose: bool = False, min_chars: int = 20, max_chars: int | None = None, limit: int | None = None, seed: int = 0, id_col: str = "id") -> DataFrame:
     """Rows (id, poet, text) of the named poets that look like verse, cleaned to one line, in a hashed order; `limit` takes the first so many."""
     out = rows.filter(F.trim("poet").isin(*poets)) if poets else rows

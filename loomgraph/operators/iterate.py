@@ -55,16 +55,17 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of `edges` (u, v): label is the least node of its component, by alternating large-star and small-star steps.
 
     Each round is two aggregations with partial sums and two joins, in which no node's edges are
     gathered however many they are; only counts and a checksum come to the driver. Self loops are
-    dropped, null ends too.
+    dropped, null ends too. Rounds end when nothing changes; they grow with the square of the
+    logarithm of the number of edges at most, beyond which an error says that the input changed.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     state = _state(e)
-    for _ in range(max_rounds):
+    for _ in range(8 + 2 * state[0].bit_length() ** 2):
         if not state[0]:
             break
         # large star: every larger neighbour of a node points to the least of its neighbourhood

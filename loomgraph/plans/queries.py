@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..layout import spread
-from ..operators import algebra, corpus, gnn, graphs, iterate, sentences, similarity, tasks
+from ..operators import algebra, corpus, embedding, gnn, graphs, iterate, sentences, similarity, tasks
 from ..operators import tokens as TK
 from ..operators.convolution import TextGraphClassifier
 from ..scratch import cut, drop_at_exit, scratch_path
@@ -221,8 +221,8 @@ def _(s, d):
 W3 = pairs_sql(3)
 
 
-@query("cooccurrence_edges", f"""WITH {POS}, {FREQ}, {W3} SELECT a AS src, b AS dst, CAST(CASE WHEN a = b THEN 4 * n ELSE 2 * n END AS DOUBLE) AS weight FROM cnt
-WHERE a IN (SELECT token FROM freq WHERE f >= 3) AND b IN (SELECT token FROM freq WHERE f >= 3)""")
+@query("cooccurrence_edges", f"""WITH {POS}, {FREQ}, {W3}, keep AS MATERIALIZED (SELECT token FROM freq WHERE f >= 3)
+SELECT a AS src, b AS dst, CAST(CASE WHEN a = b THEN 4 * n ELSE 2 * n END AS DOUBLE) AS weight FROM cnt JOIN keep x ON x.token = a JOIN keep y ON y.token = b""")
 def _(s, d):
     return graphs.cooccurrence(arrays(s, d), 3, 3)
 
@@ -430,7 +430,7 @@ def persian_words(s, d):
     return persian(s, d).select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct()
 
 
-@query("stem_edges", f"""WITH {PERSIAN_WORDS}, t AS (SELECT DISTINCT token, {_rest_sql("w", K.SUFFIXES, 1)} AS stem FROM (SELECT token, trim(replace(token, '##', ''), '{K.ZWNJ}') AS w FROM fv))
+@query("stem_edges", f"""WITH {PERSIAN_WORDS}, t AS MATERIALIZED (SELECT DISTINCT token, {_rest_sql("w", K.SUFFIXES, 1)} AS stem FROM (SELECT token, trim(replace(token, '##', ''), '{K.ZWNJ}') AS w FROM fv))
 SELECT a.token AS src, b.token AS dst, CAST(1 AS DOUBLE) AS weight FROM t a JOIN t b ON a.stem = b.stem AND a.token < b.token WHERE length(a.stem) >= 2""")
 def _(s, d):
     return graphs.stem_edges(persian_words(s, d))
@@ -500,14 +500,10 @@ def _(s, d):
     return persian(s, d).select("doc_id", F.sha2(F.array_join(X.keywords("text"), "|"), 256).alias("digest"))
 
 
-_LABELS = (" Hate ", "toxic", "1", "0", "Normal", "spam", "نفرت", "عادی", "yes")
-
-
 @query("hate_labels", f"""SELECT doc_id, CASE WHEN l IN ({", ".join(f"'{x}'" for x in K.HATE_LABELS)}) THEN 'hate' WHEN l IN ({", ".join(f"'{x}'" for x in K.NORMAL_LABELS)}) THEN 'normal' ELSE l END AS label
-FROM (SELECT doc_id, lower(trim([{", ".join(f"'{x}'" for x in _LABELS)}][doc_id % {len(_LABELS)} + 1])) AS l FROM documents)""")
+FROM (SELECT doc_id, lower(trim(CAST(toxic AS VARCHAR))) AS l FROM labels)""")
 def _(s, d):
-    given = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("doc_id") % len(_LABELS) + 1).cast("int"))
-    return docs(s, d).select("doc_id", X.hate_label(given).alias("label"))
+    return table(s, d, "labels").select("doc_id", X.hate_label("toxic").alias("label"))
 
 
 @query("char_profile_persian", f"""WITH {PERSIAN}, n AS (SELECT CAST(sum(length(text)) AS BIGINT) AS total, CAST(sum(length(regexp_replace(text, '[^{K.ARABIC_BLOCK}]', '', 'g'))) AS BIGINT) AS script_letters,
@@ -933,6 +929,25 @@ def _(s, d):
     return iterate.modularity_communities(QUERIES["social_graph"](s, d).select("src", "dst", F.abs("weight").alias("weight")))
 
 
+@query("text_embedding_knn")
+def _(s, d):
+    """Documents as mean word vectors of their PPMI graph; of those whose id is divisible by 20 the five nearest of all. Tests hold the directions against dense ones."""
+    a = cut(arrays(s, d))
+    words = graphs.multi_relation_graph(a, ["ppmi"], 4, 2, None)
+    v = cut(embedding.embed_texts(a, embedding.word_vectors(words, 16, rounds=3), 16)).select(F.col("doc_id").alias("id"), "vector")
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return similarity.vector_search(v, asked).select("query_id", "id", r6("score"), F.col("rank").cast("long"))
+
+
+@query("article_audit")
+def _(s, d):
+    """All documents as articles, their source as title; both tokenizers over their lines. A test holds every section against plain counts."""
+    meta = F.map_filter(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), lambda _, v: v.isNotNull())
+    rows = docs(s, d).select(F.col("doc_id").alias("number"), F.col("source").alias("title"), F.col("text").alias("body"), F.lit(None).cast("string").alias("summary"), F.array("lang").alias("keywords"), meta.alias("metadata"))
+    tokens = {"word": X.tokenize(F.col("line")), "lower": X.tokenize(F.lower("line"))}
+    return corpus.audit_articles(rows, tokenizers=tokens).select("section", "name", r6("value"))
+
+
 @query("textrank_summary")
 def _(s, d):
     return tasks.textrank(docs(s, d))
@@ -945,12 +960,13 @@ def _(s, d):
 
 # tasks and metrics
 
-_PRED = "p AS (SELECT l.quality AS y_true, CASE WHEN d.n_chars % 3 = 0 THEN 0 ELSE 1 END AS y_pred FROM labels l JOIN documents d USING (doc_id))"
+_PRED = f"{_GATE}, p AS (SELECT l.quality AS y_true, CASE WHEN v.reason IS NULL THEN 1 ELSE 0 END AS y_pred FROM labels l JOIN v USING (doc_id))"
 
 
 def predictions(s, d):
-    rows = table(s, d, "labels").join(docs(s, d).select("doc_id", "n_chars"), "doc_id")
-    return rows.select(F.col("quality").cast("long").alias("y_true"), F.when(F.col("n_chars") % 3 == 0, 0).otherwise(1).cast("long").alias("y_pred"))
+    """The quality labels, and what the corpus gate says of the same documents."""
+    rows = table(s, d, "labels").join(gate(s, d), "doc_id")
+    return rows.select(F.col("quality").cast("long").alias("y_true"), F.when(F.col("reason").isNull(), 1).otherwise(0).cast("long").alias("y_pred"))
 
 
 @query("accuracy", f"WITH {_PRED} SELECT round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p")
@@ -968,14 +984,17 @@ def _(s, d):
     return tasks.macro_f1(predictions(s, d)).select(r6("macro_f1"))
 
 
-@query("qa_f1", """WITH t AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS a FROM conversations GROUP BY conv_id),
-w AS (SELECT conv_id, list_filter(string_split(trim(regexp_replace(lower(q), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS p, list_filter(string_split(trim(regexp_replace(lower(a), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS g FROM t WHERE q IS NOT NULL AND a IS NOT NULL),
-x AS (SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, unnest(p) AS word FROM w) GROUP BY ALL), y AS (SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, unnest(g) AS word FROM w) GROUP BY ALL), o AS (SELECT conv_id, sum(least(x.n, y.n)) AS b FROM x JOIN y USING (conv_id, word) GROUP BY conv_id)
-SELECT conv_id AS id, CASE WHEN p = g THEN 1 ELSE 0 END AS exact, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CASE WHEN len(p) = len(g) THEN 1 ELSE 0 END ELSE 2 * coalesce(b, 0) / (len(p) + len(g)) END, 6) AS f1 FROM w LEFT JOIN o USING (conv_id)""")
+@query("qa_f1", """WITH t AS (SELECT x.conv_id, x.turn, x.text AS q, y.text AS a FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
+w AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(lower(q), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS p, list_filter(string_split(trim(regexp_replace(lower(a), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS g FROM t WHERE q IS NOT NULL AND a IS NOT NULL),
+x AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS word FROM w) GROUP BY ALL), y AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(g) AS word FROM w) GROUP BY ALL), o AS (SELECT conv_id, turn, sum(least(x.n, y.n)) AS b FROM x JOIN y USING (conv_id, turn, word) GROUP BY conv_id, turn)
+SELECT conv_id, turn, CASE WHEN p = g THEN 1 ELSE 0 END AS exact, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CASE WHEN len(p) = len(g) THEN 1 ELSE 0 END ELSE 2 * coalesce(b, 0) / (len(p) + len(g)) END, 6) AS f1 FROM w LEFT JOIN o USING (conv_id, turn)""")
 def _(s, d):
-    turn = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
-    rows = table(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turn(0).alias("prediction"), turn(1).alias("a")).filter("prediction IS NOT NULL AND a IS NOT NULL")
-    return tasks.answer_scores(rows.select("id", "prediction", F.array("a").alias("answers"))).select("id", "exact", r6("f1"))
+    """Every turn of every conversation against the turn after it."""
+    rows = table(s, d, "conversations").select("conv_id", "turn", "text")
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    pairs = rows.join(after, ["conv_id", "turn"]).filter("text IS NOT NULL AND a IS NOT NULL")
+    scores = tasks.answer_scores(pairs.select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("prediction"), F.array("a").alias("answers")))
+    return scores.select("id.conv_id", "id.turn", "exact", r6("f1"))
 
 
 @query("bow_features", f"WITH {_TFIDF} SELECT doc_id, token, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS value FROM tf")

@@ -203,3 +203,18 @@ def test_a_long_chain_takes_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == plain_accepted([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])], range(n))
     assert jobs < 400, jobs
+
+
+def test_split_hashes_do_not_depend_on_order_or_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    keys = [f"{rng.getrandbits(64):016x}" for _ in range(300)] + ["ab" * 8] * 200
+    rows = [(("train", "test")[k % 2], x) for k, x in enumerate(keys)]
+    one = spark.createDataFrame(rows, "split string, text_hash string")
+    rng.shuffle(rows)
+    other = spark.createDataFrame(rows, "split string, text_hash string").repartition(5)
+    monkeypatch.setattr(corpus, "GROUP_HASHES", 3)
+    got = {r.split: (r.n, r.digest) for r in corpus.split_hashes(one).collect()}
+    assert got == {r.split: (r.n, r.digest) for r in corpus.split_hashes(other).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"train": 250, "test": 250}
+    changed = one.filter("text_hash <> 'abababababababab'").unionByName(one.filter("text_hash = 'abababababababab'").limit(199))
+    assert len({r.digest for r in corpus.split_hashes(changed).collect()} & {d for _, d in got.values()}) == 1
