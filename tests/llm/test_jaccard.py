@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import jaccard
-from loomgraph.llm.graph import components
+from loomgraph.operators.iterate import star_components as components
 
 
 def shingles(text, k=5):
