@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import more_queries  # noqa: F401, registers its own
 from . import queries as _q
 
 
