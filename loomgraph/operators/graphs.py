@@ -83,12 +83,14 @@ def cooccurrence_matrix(arrays: DataFrame, window: int = 2) -> DataFrame:
     return pair_counts(arrays, window).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.when(F.col("a") == F.col("b"), F.col("n") * 2).otherwise(F.col("n")).cast("double").alias("weight"))
 
 
-def pmi(arrays: DataFrame, window: int = 20, min_count: int = 1) -> DataFrame:
+def pmi(arrays: DataFrame, window: int = 20, min_count: int = 1, vocab: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight), src < dst: positive pointwise mutual information of tokens within the window.
 
-    The pair total counts every ordered visit, a token with itself included.
+    The pair total counts every ordered visit, a token with itself included. `vocab` (token) freezes
+    the words: others keep their places, but neither they nor their pairs count.
     """
-    words = cut(frequent(arrays, min_count))
+    words = frequent(arrays, min_count)
+    words = cut(words if vocab is None else words.join(vocab.select("token").distinct(), "token", "left_semi"))
     counts = pair_counts(arrays, window)
     counts = counts.join(words.select(F.col("token").alias("a"), F.col("freq").alias("fa")), "a").join(words.select(F.col("token").alias("b"), F.col("freq").alias("fb")), "b")
     counts = cut(counts)  # read twice: for its sum and for itself
@@ -114,10 +116,12 @@ def doc_node(doc_id: str | Column) -> Column:
     return F.concat(F.lit("doc_"), F.col(doc_id) if isinstance(doc_id, str) else doc_id)
 
 
-def text_graph(arrays: DataFrame, window: int = 20, min_count: int = 1, smooth: bool = True) -> DataFrame:
-    """(src, dst, relation, weight): words by PMI and words with documents by TF-IDF, once each pair."""
+def text_graph(arrays: DataFrame, window: int = 20, min_count: int = 1, smooth: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+    """(src, dst, relation, weight): words by PMI and words with documents by TF-IDF, once each pair. `vocab` (token) freezes the words, as a fitted classifier needs for texts that it has not seen."""
     words = frequent(arrays, min_count).select("token") if min_count > 1 else None
-    word = pmi(arrays, window, min_count).select("src", "dst", F.lit("word_word").alias("relation"), "weight")
+    if vocab is not None:
+        words = vocab.select("token").distinct() if words is None else words.join(vocab.select("token").distinct(), "token", "left_semi")
+    word = pmi(arrays, window, min_count, vocab).select("src", "dst", F.lit("word_word").alias("relation"), "weight")
     doc = tfidf(arrays, smooth, words).select(F.col("token").alias("src"), doc_node("doc_id").alias("dst"), F.lit("word_document").alias("relation"), "weight")
     return word.unionByName(doc)
 

@@ -11,7 +11,7 @@ from ..operators import algebra, gnn, graphs, tasks
 from ..operators import tokens as TK
 from ..scratch import cut, drop_at_exit, scratch_path
 from ..sources import readers, writers
-from .queries import _EVENT, _MULTI, POS, arrays, both_sql, docs, event_edges, gate, multi, query, r6, table
+from .queries import _EVENT, _MULTI, POS, arrays, both_sql, event_edges, gate, multi, pairs_sql, query, r6, table
 from .queries import _GATE as GATE
 
 CSV = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": ""}
@@ -193,3 +193,17 @@ def _(s, d):
     nodes = graphs.graph_nodes(e)
     return algebra.payload_edges(e, nodes, 80, 160)
 
+
+
+@query("text_graph_frozen", f"""WITH {POS}, v AS MATERIALIZED (SELECT token, count(*) AS f FROM pos WHERE token IN (SELECT token FROM pos JOIN documents USING (doc_id) WHERE lang = 'en') GROUP BY token), {pairs_sql(5)},
+c AS (SELECT a, b, n, x.f AS fa, y.f AS fb FROM cnt JOIN v x ON x.token = a JOIN v y ON y.token = b),
+pmi AS (SELECT a AS src, b AS dst, ln((n / (SELECT 2 * sum(n) FROM c)) / ((fa / (SELECT sum(f) FROM v)) * (fb / (SELECT sum(f) FROM v)))) AS weight FROM c WHERE a <> b),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM pos JOIN v USING (token) GROUP BY ALL), dfr AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+SELECT src, dst, 'word_word' AS relation, round(weight, 6) AS weight FROM pmi WHERE weight > 0
+UNION ALL SELECT token, 'doc_' || doc_id, 'word_document', round(tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1), 6) FROM tf JOIN dfr USING (token)""")
+def _(s, d):
+    """The text graph of all documents over the words of the English ones, as for texts that a fitted vocabulary meets."""
+    a = arrays(s, d)
+    english = table(s, d, "documents").filter("lang = 'en'").select("doc_id")
+    vocab = TK.positions(a.join(english, "doc_id", "left_semi")).select("token").distinct()
+    return graphs.text_graph(a, 5, vocab=vocab).select("src", "dst", "relation", r6("weight"))
