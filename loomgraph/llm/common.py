@@ -33,7 +33,7 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Have Arrow batches hold at most about `size` bytes, not only so many rows: whole texts are long."""
+    """Have Arrow batches hold at most about `size` bytes, not only so many rows: whole texts are long. The session keeps this setting, since frames run after they are made."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > size:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
