@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graphs
+from ..operators.pairs import distance_parts, pair_sums
 
 
 class Conflict(RuntimeError):
@@ -85,9 +86,9 @@ class PairStore:
         """Counts the documents (doc_id, tokens) under the name `batch`; False if a batch of that name is counted already. A lost race is tried again: what was counted is not."""
         if batch in self._manifest()["batches"]:
             return False
-        pairs = graphs.near_pairs(arrays, self.window).filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pair_sums(arrays, self.window, distance_parts(self.window)[1], loops=False)
         words = arrays.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-        name = self._write(pairs.agg(F.sum((F.lit(self.whole) / F.col("k")).cast("long")).alias("parts")), words)
+        name = self._write(pairs.select("a", "b", F.col("n").alias("parts")), words)
         for k in range(tries):
             held = self._manifest()
             if batch in held["batches"]:
