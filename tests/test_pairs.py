@@ -68,3 +68,14 @@ def test_no_row_is_made_for_a_pair_before_it_is_summed(spark):
     _, d = rows_of(spark)
     for e in (graphs.pmi(d), graphs.distance_cooccurrence(d, 4), graphs.cooccurrence(d, 3, 2), graphs.pair_counts(d, 2)):
         assert "arrays_zip" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_of_a_row_are_counted_in_the_row(spark):
+    docs, d = rows_of(spark, 5)
+    want = {(k, w, n, max(Counter(t).values())) for k, t in docs for w, n in Counter(t).items()}
+    counts = graphs.token_counts(d)
+    assert sorted(map(tuple, counts.collect())) == sorted(want)
+    whole = graphs.merge_relations({"word_document": graphs.both_ways(graphs.word_document_edges(d))}, summed=True)
+    assert "hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString()
+    again = graphs.merge_relations({"word_document": graphs.both_ways(graphs.word_document_edges(d))})
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, again.collect()))
