@@ -79,3 +79,14 @@ def test_tokens_of_a_row_are_counted_in_the_row(spark):
     assert "hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString()
     again = graphs.merge_relations({"word_document": graphs.both_ways(graphs.word_document_edges(d))})
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_keys_of_simhashes_are_not_broadcast(spark, tmp_path):
+    """A table of hashes is below the planner's limit for a broadcast; its keys, 56 times as many rows, are not."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import similarity
+
+    spark.range(1000).select("id", F.xxhash64("id").alias("simhash")).write.parquet(f"{tmp_path}/hashes")
+    found = similarity.simhash_pairs(spark.read.parquet(f"{tmp_path}/hashes"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
