@@ -103,3 +103,40 @@ def test_null_and_empty(spark):
     df = spark.createDataFrame([(None,), ("",)], "t string")
     for f in (X.normalize, X.tokenize, X.sentences, X.char_chunks, X.surface_stem, X.text_hash, X.script_ratio, X.duplicate_key):
         df.select(f("t")).collect()
+
+
+def test_collapsed_and_ratio_equal_plain_python(spark):
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
+    texts = ["", " ", "a b", "  a  b ", " a\n", "a 　b\t c", "\x85\xa0x\x1f y", *(f"{x}a{x}{y}b {x}c{y}" for x in spaces for y in spaces), "ΟΔΟΣ   ΣΑ İ"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r for r in rows.select("i", X.collapse_space("t").alias("c"), X.text_hash("t").alias("h"), X.collapsed_hash(X.collapse_space("t")).alias("k"), X.script_ratio("t", "A-Za-z").alias("r")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i].c == " ".join(x.split()) and got[i].h == got[i].k
+        letters = [c for c in x if c.isalpha()]
+        assert got[i].r == (sum(c.isascii() for c in letters) / len(letters) if letters else 0.0)
+    assert got[len(texts)].c is None and got[len(texts)].r is None
+
+
+def test_gate_of_letters_makes_no_array_of_characters(spark):
+    """A count of matches is an array of all characters of a text; `build_corpus` without near duplicates makes no simhash."""
+    from loomgraph.operators import corpus
+
+    row = spark.createDataFrame([(1, "some text of words")], "doc_id int, text string")
+    assert "regexp_extract_all" not in row.select(X.script_ratio("text"))._jdf.queryExecution().optimizedPlan().toString()
+    seen, X_simhash = [], X.simhash
+    X.simhash = lambda t: (seen.append(1), X_simhash(t))[1]
+    try:
+        corpus.build_corpus(row, near_threshold=None).collect()
+    finally:
+        X.simhash = X_simhash
+    assert not seen
+
+
+def test_stems_are_made_once_a_word(spark):
+    """The filter on stems would go below a distinct of words otherwise, and stem every occurrence."""
+    from loomgraph.operators import graphs
+
+    words = spark.createDataFrame([("کتاب کتابها کتاب x",)], "t string").select(F.explode(F.split("t", " ")).alias("token")).distinct()
+    for make in (graphs.stem_edges, graphs.subword_edges):
+        assert "Generate" not in make(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.src, r.dst) for r in graphs.stem_edges(words).collect()] == [("کتاب", "کتابها")]
