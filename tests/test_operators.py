@@ -394,3 +394,42 @@ def test_attention_summary_is_that_of_the_plain_layer(spark):
     assert np.allclose(sentences.attention_norms(found, 32, 16, 0), want)
     got = sentences.attention_summary(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "!!")], "doc_id int, text string"), 2).collect()
     assert [(r.doc_id, r.rank_pos) for r in got] == [(1, int(i)) for i in sorted(np.argsort(want)[::-1][:2])]
+
+
+def test_arrays_are_looked_up_in_blocks(spark):
+    """Encoding and windows against plain Python, with nulls, empty rows, ids that repeat and structs as ids; no row for a token is made."""
+    rng = random.Random(3)
+    lists = [[rng.choice(["a", "b", "c", "", "é", None]) for _ in range(rng.choice([0, 1, 2, 9, 40]))] for _ in range(60)]
+    a = spark.createDataFrame([(i // 2, x) for i, x in enumerate(lists)], "doc_id long, tokens array<string>").repartition(3)
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("<0xC3>", 2), ("<0xA9>", 3)], "token string, token_id long")
+    plain = lambda t: [{"a": 5, "b": 6}.get(t, 1)]
+    spelled = lambda t: [7, 8] if t == "é" else [{"a": 5, "b": 6}.get(t, 1)]
+    for fallback, one in ((False, plain), (True, spelled)):
+        found = TK.encode(a, vocab, byte_fallback=fallback)
+        assert sorted((r.doc_id, list(r.ids)) for r in found.collect()) == sorted((i // 2, [y for t in x for y in one(t)]) for i, x in enumerate(lists))
+        assert "posexplode(tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
+    structs = TK.encode(a.select(F.struct("doc_id", F.lit(1).alias("k")).alias("doc_id"), "tokens"), vocab)
+    assert structs.filter("doc_id.k = 1").count() == 60
+    kept = graphs.compressed(a, spark.createDataFrame([("a",), ("é",)], "token string"))
+    assert sorted((r.doc_id, list(r.tokens)) for r in kept.collect()) == sorted((i // 2, y) for i, x in enumerate(lists) if (y := [t for t in x if t in ("a", "é")]))
+    for block, step in ((3, 2), (4, 4), (2, 7), (8, 1)):
+        enc = spark.createDataFrame([(i, [100 * i + k for k in range(len(x))]) for i, x in enumerate(lists)], "doc_id long, ids array<long>")
+        stream = [100 * i + k for i, x in enumerate(lists) if len(x) > 1 for k in range(len(x))]
+        want = {}
+        for e in range(0, -(-max(len(stream) - 1, 1) // step)):
+            c = stream[e * step : e * step + block + 1]
+            if len(c) > 1:
+                want[e] = (c[:-1] + [0] * (block - len(c) + 1), c[1:] + [-100] * (block - len(c) + 1))
+        assert {r.example: (list(r.input_ids), list(r.target_ids)) for r in TK.windows(enc, block, step).collect()} == want
+
+
+def test_words_come_back_from_their_ids(spark, tmp_path):
+    """The query's round trip: rare words in a row, known words between them."""
+    from loomgraph.plans.queries import QUERIES
+
+    texts = ["rare1x rare2x the the the rare3x", "", None, "été the ü_1 12 34 the", "the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text_sha256 for r in QUERIES["decode_ids"](spark, str(tmp_path)).collect()}
+    import hashlib
+
+    assert got == {i: hashlib.sha256((x or "").encode()).hexdigest() for i, x in enumerate(texts)}
