@@ -218,3 +218,25 @@ def test_split_hashes_do_not_depend_on_order_or_groups(spark, monkeypatch):
     assert {k: n for k, (n, _) in got.items()} == {"train": 250, "test": 250}
     changed = one.filter("text_hash <> 'abababababababab'").unionByName(one.filter("text_hash = 'abababababababab'").limit(199))
     assert len({r.digest for r in corpus.split_hashes(changed).collect()} & {d for _, d in got.values()}) == 1
+
+
+def test_shingle_pairs_write_no_row_for_each_gram(spark):
+    import glob
+    import os
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)) for _ in range(8)]
+    texts += [texts[0][:29_000], texts[1] + "x", texts[1] + "x", texts[2][:20_000]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    written = lambda: sum(os.path.getsize(p) for p in glob.glob(f"{folder}/loomgraph/**/*.parquet", recursive=True))
+    before = written()
+    members, pairs = similarity.shingle_pairs(docs, 13, 0.6)
+    got = {(r.src, r.dst): r.weight for r in pairs.collect()}
+    assert written() - before < 5 * sum(map(len, texts))
+    grams = [{t[i : i + 13] for i in range(len(t) - 12)} for t in texts]
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in range(11) for b in range(a + 1, 12) if b != 10}
+    want = {p: w for p, w in want.items() if w >= 0.6 and 10 not in p}
+    assert got == pytest.approx(want) and set(want) == {(0, 8), (1, 9), (2, 11)}
+    assert {r.doc_id: r.rep for r in members.collect()} == {i: min(i, 9) if i == 10 else i for i in range(12)}
