@@ -433,3 +433,13 @@ def test_words_come_back_from_their_ids(spark, tmp_path):
     import hashlib
 
     assert got == {i: hashlib.sha256((x or "").encode()).hexdigest() for i, x in enumerate(texts)}
+
+
+def test_orthographic_edges_at_the_threshold_and_of_one_common_gram(spark):
+    # 0.55 * 20 is a little over 11 in doubles; sets of 11 and 20 trigrams, one within the other, reach it all the same
+    word = "abcdefghijklmnopqrstuv"
+    words = [word, word[:13], *(f"xyz{c}{d}" for c in "0123456789" for d in "0123456789"), "ab", "a", "xy"]
+    got = edges(graphs.orthographic_edges(spark.createDataFrame([(w,) for w in words], "token string"), 0.55, None))
+    grams = {w: {w[i : i + 3] for i in range(max(1, len(w) - 2))} for w in words}
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in words for b in words if a != b}
+    assert got == pytest.approx({p: w for p, w in want.items() if w >= 0.55}) and got[word, word[:13]] == 0.55
