@@ -266,3 +266,32 @@ def test_scores_of_a_round_are_never_broadcast(spark):
             new[b] += 0.85 * want[a] * w / out[a]
         want = new
     assert got == pytest.approx(want)
+
+
+def test_similar_rows_meet_few_pairs_and_lose_none(spark, monkeypatch):
+    """Rows of random contexts with some near copies: all pairs of the brute force, of candidates a quarter of the pairs that share a context at most."""
+    rng = random.Random(8)
+    weights = {}
+    for k in range(300):
+        weights |= {(f"a{k}", f"c{rng.randrange(1000)}"): rng.uniform(0.5, 3) for _ in range(rng.choice([2, 12, 60]))}
+    for k in range(0, 300, 10):  # a near copy
+        weights |= {(f"b{k}", c): w * rng.uniform(0.8, 1.2) for (a, c), w in list(weights.items()) if a == f"a{k}" and rng.random() < 0.9}
+    rows = {}
+    for (a, c), w in weights.items():
+        rows.setdefault(a, {})[c] = rows.setdefault(c, {})[a] = w
+    norm = {a: sum(w * w for w in r.values()) ** 0.5 for a, r in rows.items()}
+    names, want, met = sorted(rows), {}, 0
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            common = [c for c in rows[a].keys() & rows[b].keys() if len(rows[c]) <= 50]
+            met += bool(common)
+            if (x := sum(rows[a][c] * rows[b][c] for c in common) / norm[a] / norm[b]) >= 0.6:
+                want[a, b] = want[b, a] = x
+    candidates, write = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df, name="cut": [out := write(df, name), candidates.append(out.count()) if name == "near" else None][0])
+    monkeypatch.setattr(graphs, "PAIR_ROWS", 50)
+    monkeypatch.setattr(graphs, "ENTRY_ROWS", 400)
+    edges = spark.createDataFrame([(a, c, w) for (a, c), w in weights.items()], "src string, dst string, weight double").repartition(3)
+    got = {(r.src, r.dst): r.weight for r in graphs.similar_rows(edges, 0.6, None, 50).collect()}
+    assert got == pytest.approx(want) and len(want) >= 40
+    assert len(candidates) == 1 and len(want) / 2 <= candidates[0] <= met / 4
