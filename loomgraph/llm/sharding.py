@@ -20,6 +20,8 @@ import json
 import time
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,21 @@ def plan_merges(shards: list[dict], target: int, min_runs: int = 4, factor: int
     return [m for m in merges if len(m) > 1]
 
 
+@contextmanager
+def _unions_apart(spark: SparkSession) -> Iterator[None]:
+    """A union keeps the partitions of its parts. Spark 4.1 would make one partition of parts that have one each, so all runs would be one task and one file."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class ShardStore:
     """A store of shards below `path`, a folder that all executors share."""
 
@@ -151,7 +168,8 @@ class ShardStore:
                 return now["version"]
             folder = f"shards/{uuid.uuid4().hex}"
             runs = [self._read([s["path"] for s in run]).coalesce(1) for run in merges]
-            reduce(DataFrame.union, runs).write.option("compression", compression).parquet(f"{self.path}/{folder}")
+            with _unions_apart(self.spark):
+                reduce(DataFrame.union, runs).write.option("compression", compression).parquet(f"{self.path}/{folder}")
             gone = {s["path"] for run in merges for s in run}
             new = self._written(folder, now["version"] + 1)
             if sum(s["rows"] for s in new) != sum(s["rows"] for run in merges for s in run):

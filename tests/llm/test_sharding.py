@@ -106,3 +106,17 @@ def test_lost_appends_try_again_and_orphans_go(spark, tmp_path, monkeypatch):
 def test_queries_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert sharding.op7_sharding(spark, str(tmp_path)).collect() == []
+
+
+def test_each_run_is_a_task_of_its_own(spark, tmp_path):
+    """Runs of one round stay apart: as many files as runs, none of them above the target."""
+    df = spark.range(40_000).selectExpr("id AS doc_id", "sha2(CAST(id AS STRING), 256) AS text")
+    store = ShardStore(spark, str(tmp_path / "r"), df.schema)
+    store.append(df.repartition(16))
+    target = 5 * max(s["bytes"] for s in store.manifest()["shards"])
+    runs = plan_merges(store.manifest()["shards"], target)
+    before = spark.conf.get("spark.sql.unionOutputPartitioning", None)
+    store.compact(target=target)
+    found = store.manifest()["shards"]
+    assert len(runs) == 3 and len([s for s in found if s["added"] == 2]) == 3 and max(s["bytes"] for s in found) <= 1.1 * target
+    assert store.read().count() == 40_000 and spark.conf.get("spark.sql.unionOutputPartitioning", None) == before
