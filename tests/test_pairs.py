@@ -90,3 +90,16 @@ def test_keys_of_simhashes_are_not_broadcast(spark, tmp_path):
     spark.range(1000).select("id", F.xxhash64("id").alias("simhash")).write.parquet(f"{tmp_path}/hashes")
     found = similarity.simhash_pairs(spark.read.parquet(f"{tmp_path}/hashes"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("min_count", [1, 12])
+def test_thinned_edges_come_from_counts_of_partners(spark, small, min_count, monkeypatch):
+    from loomgraph.operators import algebra
+
+    docs, d = rows_of(spark)
+    freq = Counter(t for _, ts in docs for t in ts)
+    got = [tuple(r) for r in graphs.cooccurrence_thinned(d, 3, min_count, 9, 20).collect()]
+    assert got == [tuple(r) for r in algebra.thin(graphs.both_ways(graphs.cooccurrence(d, 3, min_count)), 9, 20).collect()] and got
+    ends = {p for p in plain(docs, 3, keep=[w for w in freq if freq[w] >= min_count])}
+    words = graphs.frequent(d, min_count) if min_count > 1 else None
+    assert {r.node: r.n for r in pairs.partners(d, 3, words).collect()} == dict(Counter(w for p in ends for w in set(p)))
