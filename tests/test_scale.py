@@ -295,3 +295,27 @@ def test_similar_rows_meet_few_pairs_and_lose_none(spark, monkeypatch):
     got = {(r.src, r.dst): r.weight for r in graphs.similar_rows(edges, 0.6, None, 50).collect()}
     assert got == pytest.approx(want) and len(want) >= 40
     assert len(candidates) == 1 and len(want) / 2 <= candidates[0] <= met / 4
+
+
+def test_given_edges_meet_pairs_of_vectors_in_their_blocks(spark, monkeypatch):
+    """Blocks of few rows, relations stated twice, in both orders and with words without a vector; only the vectors and the relations are shuffled."""
+    monkeypatch.setattr(similarity, "BLOCK_NUMBERS", 200)
+    rng = np.random.default_rng(5)
+    vectors = {f"w{k}": rng.normal(size=8).tolist() for k in range(90)} | {"w90": [0.0] * 8}
+    unit = {w: np.array(v) / (np.linalg.norm(v) or 1) for w, v in vectors.items()}
+    given = [(f"w{rng.integers(110)}", f"w{rng.integers(110)}") for _ in range(400)]
+    given += [(b, a) for a, b in given[:50]] + given[:20]
+    want = {}
+    for a in unit:
+        for b in unit:
+            if a < b and (s := float(unit[a] @ unit[b])) >= 0.4:
+                want[a, b] = s
+    for a, b in given:
+        if a != b:
+            want[min(a, b), max(a, b)] = max(want.get((min(a, b), max(a, b)), 0), 0.6)
+    want |= {(b, a): w for (a, b), w in want.items()}
+    out = graphs.semantic_graph(spark.createDataFrame(given, "a string, b string"), spark.createDataFrame(list(vectors.items()), "word string, vector array<double>"), 0.4, None, 0.6)
+    got = out.collect()
+    assert len(got) == len(want) and {(r.src, r.dst): r.weight for r in got} == pytest.approx(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan  # pairs are not summed after they are found
