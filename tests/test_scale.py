@@ -319,3 +319,16 @@ def test_given_edges_meet_pairs_of_vectors_in_their_blocks(spark, monkeypatch):
     assert len(got) == len(want) and {(r.src, r.dst): r.weight for r in got} == pytest.approx(want)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "SortAggregate" not in plan  # pairs are not summed after they are found
+
+
+def test_tokens_of_documents_are_counted_in_their_rows(spark, monkeypatch):
+    """Nothing is shuffled by document and token before it is packed, and counts are not sent to the driver for a broadcast."""
+    import re
+
+    rng = random.Random(4)
+    docs = [(k, [f"t{rng.randrange(30)}" for _ in range(20)]) for k in range(60)]
+    plans, write = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, name="cut": [write(df, name), plans.append(df._jdf.queryExecution().executedPlan().toString())][0])
+    members, pairs = similarity.document_pairs(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), 0.5)
+    assert members.count() == 60 and pairs.count() > 0
+    assert len(plans) == 2 and not any(re.search(r"keys=\[rep#\d+L?, token", p) for p in plans) and "BroadcastHashJoin" not in plans[1] and "SortMergeJoin" in plans[1]
