@@ -368,6 +368,22 @@ def test_windows_pad_and_shift(spark):
         TK.windows(enc, 1)
 
 
+def test_simhashes_are_voted_in_one_pass_and_compared_in_tasks(spark):
+    """Bits against votes token by token, in batches of many rows; candidates are no rows of a join."""
+    rng = random.Random(5)
+    lists = [[f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 1, 2, 7, 300]))] for _ in range(3000)]
+    rows = spark.createDataFrame([*enumerate(lists), (9000, None)], "id long, tokens array<string>")
+    h = {r.t: r.h & (2**64 - 1) for r in spark.createDataFrame([(f"w{k}",) for k in range(50)], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    hashed = rows.select("id", X.simhash("tokens").alias("simhash"))
+    assert "aggregate(" not in hashed._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.simhash & (2**64 - 1) for r in hashed.collect()}
+    want = {k: sum(1 << b for b in range(64) if sum(1 if h[t] >> b & 1 else -1 for t in x) >= 0) for k, x in enumerate(lists)}
+    assert got == want | {9000: 0}
+    nodes = hashed.groupBy("simhash").agg(F.min("id").alias("id"))
+    found = similarity.simhash_pairs(nodes)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sentence_edges_without_shuffle(spark, monkeypatch):
     """Against dense rows, also with few pairs at a time; texts without sentences or words have no edges, and no row leaves its task."""
     import pyarrow as pa
